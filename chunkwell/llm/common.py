@@ -117,3 +117,26 @@ def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> Data
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """Run ``fn(*lists) -> list of lists`` over Arrow batches of ``columns``, in bounded slices.
+
+    The last of ``columns`` holds the texts by which slices are bounded.  ``fn`` returns one
+    list per field of ``schema``; their length need not be that of the input.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in slices(batch.column(batch.num_columns - 1).to_pylist()):
+                part = batch.slice(lo, hi - lo)
+                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, StructType.fromDDL(schema))

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwell.llm import mixing
+from chunkwell.llm import license_scan, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_mixing": op7_mixing}
-ORACLE_SQL: dict[str, str] = {}
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.base_and_verdict(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "op7_mixing": op7_mixing, "op8_quality_cascade": op8_quality_cascade}
+ORACLE_SQL = {"op8_quality_cascade": quality.ORACLE_SQL}
