@@ -128,7 +128,7 @@ def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         import pyarrow as pa
