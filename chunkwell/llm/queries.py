@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwell.llm import license_scan, mixing, quality
+from chunkwell.llm import fingerprint, license_scan, mixing, quality, sentencepiece_codec
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +27,15 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.base_and_verdict(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op7_mixing": op7_mixing, "op8_quality_cascade": op8_quality_cascade}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.load_model(spark))
+
+
+QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_mixing": op7_mixing,
+    "op8_quality_cascade": op8_quality_cascade,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 ORACLE_SQL = {"op8_quality_cascade": quality.ORACLE_SQL}
