@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwell.llm import fingerprint, language_id, license_scan, mixing, quality, sentencepiece_codec, substring_dedup
+from chunkwell.llm import fingerprint, language_id, license_scan, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_dedup": op6_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_sentencepiece": op10_sentencepiece,
