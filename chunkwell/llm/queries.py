@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwell.llm import fingerprint, language_id, license_scan, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup
+from chunkwell.llm import chat, fingerprint, language_id, license_scan, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.base_and_verdict(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_table(spark, sf_dir, "conversations"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.load_model(spark))
 
@@ -49,10 +57,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_dedup": op6_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_chat_linking": op9_chat_linking,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL = {"op8_quality_cascade": quality.ORACLE_SQL}
