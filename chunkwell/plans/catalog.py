@@ -2,9 +2,329 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chunkwell.functions import varint as V
+from chunkwell.functions.messages import Spec
+from chunkwell.operators import messages as M
+from chunkwell.operators import positions as P
+from chunkwell.operators.projection import Field, Projection, project
+from chunkwell.plans.scratch import scratch
+from chunkwell.sources import index
+from chunkwell.sources.recordfile import register
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey")
+LINEITEM = (
+    Spec("l_orderkey", 1, "uint64"), Spec("l_partkey", 2, "uint64"), Spec("l_suppkey", 3, "uint64"), Spec("l_linenumber", 4, "int32"), Spec("l_quantity", 5, "double"),
+    Spec("l_extendedprice", 6, "double"), Spec("l_discount", 7, "double"), Spec("l_tax", 8, "double"), Spec("l_returnflag", 9, "string"), Spec("l_linestatus", 10, "string"), Spec("l_shipdate", 11, "sfixed64"),
+)
+EVENT = (Spec("event_id", 1, "uint64"), Spec("user_id", 2, "uint64"), Spec("event_type", 3, "string"))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    register(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``lineitem`` as a message."""
+    t = _table(spark, sf_dir, "lineitem")
+    micros = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    return t.select(M.encode_message(LINEITEM, *[micros if s.name == "l_shipdate" else s.name for s in LINEITEM]).alias("record"))
+
+
+def _write(records: DataFrame, path: str, **options) -> str:
+    records.write.format("recordfile").options(**options).mode("append").save(path)
+    return path
+
+
+def _read(spark: SparkSession, path: str, **options) -> DataFrame:
+    return spark.read.format("recordfile").options(**options).load(path)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``lineitem`` as record files, read them back, and sum up by return flag."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "flagship"), compression="zstd", chunkSize=65_536)
+    wanted = [s for s in LINEITEM if s.name in ("l_quantity", "l_extendedprice", "l_returnflag")]
+    rows = _read(spark, path).select(M.decode_message(F.col("record"), wanted).alias("m")).select("m.*")
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sum_qty"), F.max("l_extendedprice").alias("max_price"))
+
+
+def message_roundtrip(spark, sf_dir):
+    """All columns of ``lineitem`` through messages in zstd record files."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "roundtrip"), compression="zstd", chunkSize=65_536)
+    rows = _read(spark, path).select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.*")
+    kind = dict(_table(spark, sf_dir, "lineitem").dtypes)["l_shipdate"]
+    return rows.withColumn("l_shipdate", F.timestamp_micros("l_shipdate").cast(kind)).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+
+
+def record_count(spark, sf_dir):
+    """Records of written files, by chunk headers alone."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "count"), chunkSize=65_536)
+    return index.record_count(spark, path).select(F.col("num_records").cast("long").alias("num_records"))
+
+
+def scan_count(spark, sf_dir):
+    """Records of written files, read one by one with all hashes."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "scan"), chunkSize=65_536)
+    return _read(spark, path).agg(F.count("record").alias("num_records"))
+
+
+def extract_varint_column(spark, sf_dir):
+    return M.extract_varints(_lineitem(spark, sf_dir), 1)
+
+
+def extract_repeated(spark, sf_dir):
+    """Orders as messages with one ``l_partkey`` per line; every occurrence is a row."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    parts = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    spec = (Spec("o_orderkey", 1, "uint64"), Spec("parts", 2, "uint64", repeated=True))
+    rows = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select(M.encode_message(spec).alias("record"))
+    return M.extract_varints(rows, 2)
+
+
+def project_fields(spark, sf_dir):
+    kept = _lineitem(spark, sf_dir).select(project(F.col("record"), Projection.parse("1;5")).alias("record"))
+    return kept.select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.l_orderkey", "m.l_quantity")
+
+
+def project_nested(spark, sf_dir):
+    """Order messages with a customer inside; path 2.2 keeps its name alone."""
+    customer = (Spec("c_custkey", 1, "uint64"), Spec("c_name", 2, "string"), Spec("c_nationkey", 3, "int32"))
+    spec = (Spec("o_orderkey", 1, "uint64"), Spec("customer", 2, customer), Spec("o_totalprice", 3, "double"))
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.struct("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey")).alias("customer"), "o_totalprice")
+    kept = rows.select(project(M.encode_message(spec), Projection(Field((1,)), Field((2, 2)))).alias("record"))
+    m = kept.select(M.decode_message(F.col("record"), spec).alias("m"))
+    return m.where("m.customer.c_custkey is null and m.o_totalprice is null").select("m.o_orderkey", F.col("m.customer.c_name").alias("c_name"))
+
+
+def project_existence_only(spark, sf_dir):
+    kept = _lineitem(spark, sf_dir).select(project(F.col("record"), Projection.parse("1?;2")).alias("record"))
+    return kept.select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.l_orderkey", "m.l_partkey")
+
+
+def filter_fields_file(spark, sf_dir):
+    """File to file: only fields 1 and 3 of each message."""
+    source = _write(_lineitem(spark, sf_dir), scratch(spark, "filter-in"), chunkSize=65_536)
+    kept = _read(spark, source).select(M.copy_message_fields(F.col("record"), [1, 3]).alias("record"))
+    target = _write(kept, scratch(spark, "filter-out"), compression="snappy", chunkSize=65_536)
+    return _read(spark, target).select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.l_orderkey", "m.l_suppkey")
+
+
+def _sorted_events(spark, sf_dir, tag: str, **options) -> str:
+    """Events as messages sorted by id: range-partitioned, so that part files follow one another."""
+    t = _table(spark, sf_dir, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    return _write(t.select(M.encode_message(EVENT).alias("record")), scratch(spark, tag), **{"chunkSize": 4096, **options})
+
+
+def _event_of(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(*columns, M.decode_message(F.col("record"), EVENT).alias("m"))
+
+
+def search_key(spark, sf_dir):
+    """Binary search for event 500 in sorted files."""
+    from chunkwell.functions.messages import fields_of
+
+    def compare(record: bytes) -> int:
+        key = next(f.value for f in fields_of(record) if f.number == 1)
+        return (key > 500) - (key < 500)
+
+    path = _sorted_events(spark, sf_dir, "search")
+    return _event_of(P.search(spark, path, compare)).select("m.event_id", "m.user_id", "m.event_type")
+
+
+def seek_tail(spark, sf_dir):
+    """The records from number 900 on."""
+    path = _sorted_events(spark, sf_dir, "seek")
+    rows = P.with_ordinals(_read(spark, path), spark, path).where("ordinal >= 900")
+    return _event_of(rows).select("m.event_id")
+
+
+def seek_numeric_tail(spark, sf_dir):
+    """One sorted file from the numeric position of its 900th record on; positions prune the chunks."""
+    t = _table(spark, sf_dir, "events").select("event_id").orderBy("event_id").coalesce(1)
+    path = _write(t.select(F.expr("unhex(lpad(hex(event_id), 16, '0'))").alias("record")), scratch(spark, "numeric"), chunkSize=4096)
+    start = P.with_ordinals(_read(spark, path), spark, path).where("ordinal = 900").select("pos").first()
+    if start is None:
+        return t.where("false")
+    return P.seek_numeric(spark, path, start[0]).select(F.conv(F.hex("record"), 16, 10).cast("long").alias("event_id"))
+
+
+def seek_back_pairs(spark, sf_dir):
+    """Each record of one sorted file and its predecessor."""
+    t = _table(spark, sf_dir, "events").orderBy("event_id").coalesce(1)
+    path = _write(t.select(M.encode_message(EVENT).alias("record")), scratch(spark, "back"), chunkSize=4096)
+    pairs = P.seek_back(_read(spark, path))
+    now, before = M.decode_message(F.col("record"), EVENT[:1]), M.decode_message(F.col("prev_record"), EVENT[:1])
+    return pairs.select(now.alias("m"), before.alias("p")).select("m.event_id", F.col("p.event_id").alias("prev_event_id"))
+
+
+def _numbered(spark, sf_dir, tag: str) -> str:
+    """One file of 8-byte ids in order, 256 to a chunk of 4096 at a cost of 16 each."""
+    t = _table(spark, sf_dir, "events").select("event_id").orderBy("event_id").coalesce(1)
+    return _write(t.select(F.expr("unhex(lpad(hex(event_id), 16, '0'))").alias("record")), scratch(spark, tag), chunkSize=4096)
+
+
+def chunk_packing(spark, sf_dir):
+    from pyspark.sql import Window
+
+    chunks = index.chunk_index(spark, _numbered(spark, sf_dir, "packing")).where("chunk_type = 'r'")
+    return chunks.select((F.row_number().over(Window.partitionBy("path").orderBy("chunk_begin")) - 1).cast("long").alias("chunk_no"), "num_records")
+
+
+def varint_length(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", V.varint_length(F.col("l_orderkey")).alias("n"))
+
+
+def varint_hex(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", V.varint_hex(F.col("p_partkey")).alias("enc"))
+
+
+def zigzag(spark, sf_dir):
+    v = (F.lit(500).cast("long") - F.col("l_partkey")).alias("v")
+    return _table(spark, sf_dir, "lineitem").select(v).select("v", V.zigzag_of(F.col("v")).alias("z"))
+
+
+def field_tags(spark, sf_dir):
+    """Tags of field numbers and back."""
+    t = V.tag(F.col("l_linenumber").cast("long"), F.lit(2))
+    tags = _table(spark, sf_dir, "lineitem").select("l_linenumber", t.alias("tag"))
+    return tags.groupBy("l_linenumber", "tag").agg(F.count(F.lit(1)).alias("n"), F.max(V.tag_number(F.col("tag"))).alias("number"), F.max(V.tag_wire_type(F.col("tag"))).cast("long").alias("wire"))
+
+
+def field_iterator(spark, sf_dir):
+    spec = (Spec("l_partkey", 1, "uint64"), Spec("l_suppkey", 2, "uint64"), Spec("l_linenumber", 3, "uint64"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec"), M.encode_message(spec).alias("record"))
+    return M.explode_fields(rows, keep=["rec"]).select("rec", "field_number", F.col("varint").alias("value"))
+
+
+def handlers_fold(spark, sf_dir):
+    """Handlers sum two fields of every message, task by task; Spark adds the parts."""
+
+    def make():
+        sums = {1: 0, 2: 0, "n": 0}
+        handlers = M.DynamicHandlers()
+
+        def first(v):
+            sums[1] += v
+            sums["n"] += 1
+
+        handlers.on(1, V.VARINT, first)
+        handlers.on(2, V.VARINT, lambda v: sums.__setitem__(2, sums[2] + v))
+        return handlers, lambda i, r: None, lambda: (sums[1], sums[2], sums["n"])
+
+    parts = M.fold_records(_lineitem(spark, sf_dir), make, "s1 long, s2 long, n long")
+    return parts.agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")])
+
+
+def nonproto_fallback(spark, sf_dir):
+    """Events as messages among documents that are none; told apart by content."""
+    events = _table(spark, sf_dir, "events").select(M.encode_message(EVENT).alias("record"))
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.unhex(F.lit("07")), F.encode("text", "UTF-8")).alias("record"))
+    path = _write(events.unionByName(docs), scratch(spark, "nonproto"), compression="zstd", chunkSize=262_144)
+    return _read(spark, path).select(M.is_proto(F.col("record")).alias("is_proto")).groupBy("is_proto").agg(F.count(F.lit(1)).alias("n"))
+
+
+def concat_files(spark, sf_dir):
+    """Two padded files joined byte by byte read as one."""
+    from chunkwell.sources import storage
+
+    paths = []
+    for t, c in (("region", "r_name"), ("nation", "n_name")):
+        rows = _table(spark, sf_dir, t).select(F.encode(c, "UTF-8").alias("record")).coalesce(1)
+        paths.append(_write(rows, scratch(spark, f"concat-{t}"), finalPadding=65_536))
+    joined = scratch(spark, "concat") + "/joined.rec"
+    parts = []
+    for p in paths:
+        for name, size in storage.files_of(p):
+            with storage.open_file(name) as f:
+                parts.append(f.read(size))
+    storage.write_file(joined, parts)
+    return _read(spark, joined).select(F.decode("record", "UTF-8").alias("name"))
+
+
+def recovery_skip(spark, sf_dir):
+    """The data of the second chunk is damaged; a recovering read loses that chunk alone."""
+    from chunkwell.sources import storage
+
+    path = _numbered(spark, sf_dir, "recovery")
+    second = index.chunk_index(spark, path).where("chunk_type = 'r'").orderBy("chunk_begin").limit(2).collect()[1]
+    name, size = storage.files_of(path)[0]
+    with storage.open_file(name) as f:
+        raw = bytearray(f.read(size))
+    at = second["chunk_begin"] + 60
+    raw[at if at % 65_536 >= 24 else at + 24] ^= 255
+    storage.write_file(name, [bytes(raw)])
+    rows = _read(spark, path, mode="DROPMALFORMED")
+    return rows.select(F.conv(F.hex("record"), 16, 10).cast("long").alias("event_id"))
+
+
+def tail_stream(spark, sf_dir):
+    """A stream over a folder in which files appear between its runs; both runs together see every record once."""
+    from chunkwell.streaming.tail import tail
+
+    folder, state = scratch(spark, "tail"), scratch(spark, "tail-state")
+    events = _table(spark, sf_dir, "events").select("event_id", M.encode_message(EVENT).alias("record"))
+    out = scratch(spark, "tail-out")
+    for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0")):
+        _write(part.select("record"), folder, chunkSize=65_536)
+        query = tail(spark, folder).select("_path", "pos").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
+        query.start().awaitTermination()
+    return spark.read.parquet(out).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def skipped_regions(spark, sf_dir):
+    """Rows only: what a recovering read of a damaged file skips."""
+    from chunkwell.sources import storage
+
+    path = _numbered(spark, sf_dir, "regions")
+    name, size = storage.files_of(path)[0]
+    with storage.open_file(name) as f:
+        raw = bytearray(f.read(size))
+    raw[200] ^= 1
+    storage.write_file(name, [bytes(raw)])
+    return index.skipped_regions(spark, path).select("begin", "end", "length")
+
+
+def validate_files(spark, sf_dir):
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "validate"), compression="zstd", chunkSize=262_144)
+    return index.validate(spark, path).groupBy("ok").agg((F.count(F.lit(1)) > 0).alias("some"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        message_roundtrip, record_count, scan_count, extract_varint_column, extract_repeated, project_fields, project_nested, project_existence_only, filter_fields_file, search_key, seek_tail,
+        seek_numeric_tail, seek_back_pairs, chunk_packing, varint_length, varint_hex, zigzag, field_tags, field_iterator, handlers_fold, nonproto_fallback, concat_files, recovery_skip, tail_stream, skipped_regions, validate_files,
+    )
+}
+
+_NUMBERED = "(SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events) t"
+ORACLE_SQL = {
+    "message_roundtrip": "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem",
+    "record_count": "SELECT CAST(count(*) AS BIGINT) AS num_records FROM lineitem",
+    "scan_count": "SELECT CAST(count(*) AS BIGINT) AS num_records FROM lineitem",
+    "extract_varint_column": "SELECT l_orderkey AS value FROM lineitem",
+    "extract_repeated": "SELECT l_partkey AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)",
+    "project_fields": "SELECT l_orderkey, l_quantity FROM lineitem",
+    "project_nested": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
+    "project_existence_only": "SELECT CAST(0 AS BIGINT) AS l_orderkey, l_partkey FROM lineitem",
+    "filter_fields_file": "SELECT l_orderkey, l_suppkey FROM lineitem",
+    "search_key": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 500",
+    "seek_tail": f"SELECT event_id FROM {_NUMBERED} WHERE n >= 900",
+    "seek_numeric_tail": f"SELECT event_id FROM {_NUMBERED} WHERE n >= 900",
+    "seek_back_pairs": "SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS prev_event_id FROM events",
+    "chunk_packing": f"SELECT CAST(n // 256 AS BIGINT) AS chunk_no, CAST(count(*) AS BIGINT) AS num_records FROM {_NUMBERED} GROUP BY 1",
+    "varint_length": "SELECT l_orderkey, CAST(CASE WHEN l_orderkey < 128 THEN 1 WHEN l_orderkey < 16384 THEN 2 WHEN l_orderkey < 2097152 THEN 3 WHEN l_orderkey < 268435456 THEN 4 ELSE 5 END AS INTEGER) AS n FROM lineitem",
+    "varint_hex": "SELECT p_partkey, CASE WHEN p_partkey < 128 THEN printf('%02X', p_partkey) WHEN p_partkey < 16384 THEN printf('%02X%02X', (p_partkey & 127) | 128, p_partkey >> 7) ELSE printf('%02X%02X%02X', (p_partkey & 127) | 128, ((p_partkey >> 7) & 127) | 128, p_partkey >> 14) END AS enc FROM part",
+    "zigzag": "SELECT v, CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS z FROM (SELECT CAST(500 AS BIGINT) - l_partkey AS v FROM lineitem) t",
+    "field_tags": "SELECT l_linenumber, CAST(l_linenumber * 8 + 2 AS BIGINT) AS tag, CAST(count(*) AS BIGINT) AS n, CAST(l_linenumber AS BIGINT) AS number, CAST(2 AS BIGINT) AS wire FROM lineitem GROUP BY l_linenumber",
+    "field_iterator": "SELECT l_orderkey AS rec, CAST(1 AS INTEGER) AS field_number, l_partkey AS value FROM lineitem UNION ALL SELECT l_orderkey, CAST(2 AS INTEGER), l_suppkey FROM lineitem UNION ALL SELECT l_orderkey, CAST(3 AS INTEGER), CAST(l_linenumber AS BIGINT) FROM lineitem",
+    "handlers_fold": "SELECT CAST(sum(l_orderkey) AS BIGINT) AS s1, CAST(sum(l_partkey) AS BIGINT) AS s2, CAST(count(*) AS BIGINT) AS n FROM lineitem",
+    "nonproto_fallback": "SELECT true AS is_proto, CAST(count(*) AS BIGINT) AS n FROM events UNION ALL SELECT false, CAST(count(*) AS BIGINT) FROM documents",
+    "concat_files": "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation",
+    "recovery_skip": f"SELECT event_id FROM {_NUMBERED} WHERE n // 256 <> 1",
+    "tail_stream": "SELECT CAST(count(*) AS BIGINT) AS n FROM events",
+    "validate_files": "SELECT true AS ok, true AS some",
+}
