@@ -292,11 +292,57 @@ def validate_files(spark, sf_dir):
     return index.validate(spark, path).groupBy("ok").agg((F.count(F.lit(1)) > 0).alias("some"))
 
 
+def transposed_roundtrip(spark, sf_dir):
+    """All columns of ``lineitem`` through transposed chunks."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "transposed"), compression="zstd", chunkSize=262_144, transpose=True)
+    rows = _read(spark, path).select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.*")
+    return rows.select("l_orderkey", "l_suppkey", "l_linenumber", "l_discount", "l_linestatus")
+
+
+def project_transposed_file(spark, sf_dir):
+    """The projection as an option of the scan: transposed chunks give narrow messages."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "narrow"), compression="zstd", chunkSize=262_144, transpose=True)
+    rows = _read(spark, path, projection="1;5;9?").select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.*")
+    return rows.where("l_partkey is null").select("l_orderkey", "l_quantity", "l_returnflag")
+
+
+def project_simple_file(spark, sf_dir):
+    """The same option leaves simple chunks as they are."""
+    path = _write(_lineitem(spark, sf_dir), scratch(spark, "simple"), chunkSize=262_144)
+    return _read(spark, path, projection="1").select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.l_orderkey", "m.l_partkey")
+
+
+def file_metadata(spark, sf_dir):
+    """Metadata written into each part and read back."""
+    import base64
+
+    from chunkwell.functions.messages import encode_one
+
+    spec = (Spec("comment", 1, "string"), Spec("type", 2, "string"), Spec("n", 5, "int64"))
+    raw = encode_one({"comment": "regions", "type": "tpc.Region", "n": 5}, spec)
+    rows = _table(spark, sf_dir, "region").select(F.encode("r_name", "UTF-8").alias("record")).coalesce(1)
+    path = _write(rows, scratch(spark, "metadata"), metadata=base64.b64encode(raw).decode(), compression="brotli")
+    return index.metadata(spark, path).select("file_comment", "record_type_name", "num_records")
+
+
+def mixed_codecs(spark, sf_dir):
+    """One folder of files of every codec and both layouts reads as one table."""
+    rows = _table(spark, sf_dir, "nation").select(M.encode_message((Spec("n_nationkey", 1, "uint64"), Spec("n_name", 2, "string")), F.col("n_nationkey").cast("long"), "n_name").alias("record"))
+    folder = scratch(spark, "codecs")
+    for codec in ("none", "brotli", "zstd", "snappy"):
+        for transpose in (False, True):
+            _write(rows, folder, compression=codec, transpose=transpose)
+    spec = (Spec("n_nationkey", 1, "uint64"), Spec("n_name", 2, "string"))
+    m = _read(spark, folder).select(M.decode_message(F.col("record"), spec).alias("m")).select("m.*")
+    return m.groupBy("n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         message_roundtrip, record_count, scan_count, extract_varint_column, extract_repeated, project_fields, project_nested, project_existence_only, filter_fields_file, search_key, seek_tail,
         seek_numeric_tail, seek_back_pairs, chunk_packing, varint_length, varint_hex, zigzag, field_tags, field_iterator, handlers_fold, nonproto_fallback, concat_files, recovery_skip, tail_stream, skipped_regions, validate_files,
+        transposed_roundtrip, project_transposed_file, project_simple_file, file_metadata, mixed_codecs,
     )
 }
 
@@ -326,5 +372,10 @@ ORACLE_SQL = {
     "concat_files": "SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation",
     "recovery_skip": f"SELECT event_id FROM {_NUMBERED} WHERE n // 256 <> 1",
     "tail_stream": "SELECT CAST(count(*) AS BIGINT) AS n FROM events",
+    "transposed_roundtrip": "SELECT l_orderkey, l_suppkey, l_linenumber, l_discount, l_linestatus FROM lineitem",
+    "project_transposed_file": "SELECT l_orderkey, l_quantity, '' AS l_returnflag FROM lineitem",
+    "project_simple_file": "SELECT l_orderkey, l_partkey FROM lineitem",
+    "file_metadata": "SELECT 'regions' AS file_comment, 'tpc.Region' AS record_type_name, CAST(5 AS BIGINT) AS num_records",
+    "mixed_codecs": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(8 AS BIGINT) AS n FROM nation",
     "validate_files": "SELECT true AS ok, true AS some",
 }
