@@ -81,8 +81,9 @@ def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> Data
 
     Each round is two joins of the edges with the smallest neighbour of each node.  The minimum
     is combined before it is shuffled, and a node with very many edges is one side of a plain
-    equi-join, which adaptive execution can split; no list of neighbours is ever built and no
-    edge leaves the executors.  Rounds grow with the logarithm of a component's size.
+    equi-join, which adaptive execution can split because the minima are stored first (an
+    aggregate in the join's own stage would forbid that); no list of neighbours is ever built and
+    no edge leaves the executors.  Rounds grow with the logarithm of a component's size.
     """
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
@@ -97,14 +98,15 @@ def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> Data
         if mark[0] == 0:
             break
         both = current.unionByName(current.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy(a.alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, least_path = store(both.groupBy(a.alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
         large = both.join(least, both["a"] == least["u"]).where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         large, large_path = store(large, tag)
-        least = large.groupBy(a.alias("u")).agg(F.min("b").alias("m"))
+        drop_stored(spark, least_path)
+        least, least_path = store(large.groupBy(a.alias("u")).agg(F.min("b").alias("m")), tag)
         small = large.join(least, large["a"] == least["u"]).where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where(a != b).distinct()
         following, next_path = store(small, tag)
-        drop_stored(spark, path, large_path)
+        drop_stored(spark, path, large_path, least_path)
         current, path, before = following, next_path, mark
         mark = _mark(current)
         if mark == before:

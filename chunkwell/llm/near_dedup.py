@@ -207,7 +207,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, sketches array<long>"), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
-    first = wordy.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
+    first, _ = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
     with_rep = base.select("doc_id", F.when(F.expr("size(sketches) > 0"), F.col("digest")).alias("digest")).join(first.withColumnRenamed("digest", "d2"), F.col("digest") == F.col("d2"), "left")
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
@@ -215,6 +216,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
     leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").select(F.col("sketch").alias("s2"), "leader")
+    leaders, _ = store(leaders, "near-leaders")
     pairs = buckets.join(leaders, F.col("sketch") == F.col("s2")).where("doc_id > leader").select("doc_id", "leader").distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
     drop_stored(docs.sparkSession, buckets_path)
