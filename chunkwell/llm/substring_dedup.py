@@ -141,6 +141,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHU
     emitted = map_texts(docs.where("doc_id is not null and text is not null"), ["doc_id", "text"], _emit, "digest long, doc_id long")
     emitted, _ = store(emitted, "substring-chunks")
     firsts = emitted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first"))
+    firsts, _ = store(firsts, "substring-firsts")  # a join with a stored side can be split where a chunk is in very many documents
     repeats = emitted.join(firsts.select(F.col("digest").alias("d2"), "first"), F.col("digest") == F.col("d2")).where(F.col("doc_id") > F.col("first"))
     by_doc = repeats.groupBy(F.col("doc_id").alias("__sub_id")).agg(F.collect_set("digest").alias("__sub_digests"))
     joined = docs.join(by_doc, docs["doc_id"] == by_doc["__sub_id"], "left").drop("__sub_id")
