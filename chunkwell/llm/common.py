@@ -60,17 +60,36 @@ def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def slices(texts, most_chars: int = 4_000_000):
-    """Index ranges of ``texts`` with at most ``most_chars`` characters each (a longer text is alone)."""
+SLICE_BYTES = 2_000_000
+
+
+def slices(column, most: int = SLICE_BYTES):
+    """Index ranges of an Arrow string column with at most ``most`` bytes each (a longer text is alone)."""
+    import pyarrow.compute as pc
+
     start, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and total + n > most_chars:
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
             yield start, i
             start, total = i, 0
         total += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker outlives its task and serves other stages."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
@@ -121,11 +140,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn, schema: str, finish=None) -> DataFrame:
     """Run ``fn(*lists) -> list of lists`` over Arrow batches of ``columns``, in bounded slices.
 
     The last of ``columns`` holds the texts by which slices are bounded.  ``fn`` returns one
-    list per field of ``schema``; their length need not be that of the input.
+    list per field of ``schema``; their length need not be that of the input.  ``finish()`` drops what
+    ``fn`` has cached, when the task ends.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -135,10 +155,15 @@ def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for lo, hi in slices(batch.column(batch.num_columns - 1).to_pylist()):
-                part = batch.slice(lo, hi - lo)
-                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in batches:
+                for lo, hi in slices(batch.column(batch.num_columns - 1)):
+                    part = batch.slice(lo, hi - lo)
+                    out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+        finally:
+            if finish is not None:
+                finish()
+            give_back()
 
     return df.select(*columns).mapInArrow(run, StructType.fromDDL(schema))

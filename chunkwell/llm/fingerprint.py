@@ -150,7 +150,7 @@ def _walk(batches):
     """Results for all but the last document of a sorted range; its first and last as they are."""
     part, last = TaskContext.get().partitionId(), None
     for batch in batches:
-        for lo, hi in slices(batch.column(1).to_pylist()):
+        for lo, hi in slices(batch.column(1)):
             ids, texts, rows = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), []
             for i, t in zip(ids, texts, strict=True):
                 t = t or ""

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import map_texts
+from chunkwell.llm.common import give_back, map_texts, slices
 
 SAMPLE_DOCS = 10_000
 MAX_WORDS = 100_000
@@ -35,7 +35,7 @@ ORDERS = (5, 4, 3, 2, 1)
 MIN_SCORE = 0.5
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_KNOWN_LIMIT = 300_000
+_KNOWN_LIMIT = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -92,6 +92,11 @@ class Model:
         self._rows[word] = row
         return row
 
+    def forget(self) -> None:
+        """Drop the scores of words seen since training."""
+        self._rows.clear()
+        self._scores = np.zeros((1024, max(len(self.languages), 1)))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(words_of(text))
         if not found or not self.languages:
@@ -155,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         out = [shared.value.predict(t) for t in texts]
         return ids, [o[0] for o in out], [o[1] for o in out]
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, lang_pred string, score double")
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, lang_pred string, score double", lambda: shared.value.forget())
 
 
 def held_out():
@@ -176,7 +181,11 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
         import pyarrow as pa
 
         for b in batches:
-            kept = [lang != UNDETERMINED and score >= min_score for lang, score in map(shared.value.predict, b.column(at).to_pylist())]
-            yield b.filter(pa.array(kept, pa.bool_()))
+            for lo, hi in slices(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                kept = [lang != UNDETERMINED and score >= min_score for lang, score in map(shared.value.predict, part.column(at).to_pylist())]
+                yield part.filter(pa.array(kept, pa.bool_()))
+        shared.value.forget()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

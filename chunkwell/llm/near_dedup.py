@@ -44,7 +44,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
 _CACHE: dict[str, int] = {}
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 200_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -205,7 +205,7 @@ def _verify(similarity: float):
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` of its class."""
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, sketches array<long>"), "near-base")
+    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, sketches array<long>", _CACHE.clear), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
     first, _ = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")

@@ -35,7 +35,7 @@ from chunkwell.llm.common import map_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Segments kept between batches.
-CACHE = 200_000
+CACHE = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -245,7 +245,7 @@ _CODECS: dict[tuple, Codec] = {}
 
 
 def _codec(data: bytes, threads: int) -> Codec:
-    """One codec for each worker process and model."""
+    """One codec for the task's model; :func:`encode` drops it when the task ends."""
     key = (hash(data), threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
         back = [t is None or codec.decode(ids) == codec.expected(t) for t, (ids, _) in zip(texts, out, strict=True)]
         return doc_ids, [len(ids or ()) for ids, _ in out], [ids for ids, _ in out], [p for _, p in out], back
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean")
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean", _CODECS.clear)
 
 
 def decode(encoded: DataFrame, model: bytes, threads: int = 2) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwell.llm.common import map_texts, slices, store
+from chunkwell.llm.common import give_back, map_texts, slices, store
 
 WINDOW = 16
 #: Places on either side that a cut's hash has to undercut; a power of two.
@@ -169,7 +169,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHU
 
         spans_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "words")]))
         for batch in batches:
-            for lo, hi in slices(batch.column(at_text).to_pylist()):
+            for lo, hi in slices(batch.column(at_text)):
                 b = batch.slice(lo, hi - lo)
                 columns = list(b.columns)
                 texts = columns[at_text].to_pylist()
@@ -179,5 +179,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHU
                     kind = b.schema.field(at_chars).type
                     columns[at_chars] = pa.array([len(t) if s else old for (t, s), old in zip(done, columns[at_chars].to_pylist(), strict=True)], type=kind)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in done], type=spans_type)], names=schema.names)
+        give_back()
 
     return joined.select(*docs.columns, "__sub_digests").mapInArrow(run, schema)
