@@ -138,13 +138,21 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in found]
 
 
+#: Before the pieces that no text may match (a noncharacter, so texts do not hold it).
+HIDDEN = "\U0010ffff"
+
+
 def build(spec: Spec):
-    """A Tokenizers tokenizer of normalised text (see :class:`Codec` for what comes before)."""
+    """A Tokenizers tokenizer of normalised text (see :class:`Codec` for what comes before).
+
+    Its Unigram would match control and byte pieces that stand in a text literally, which
+    SentencePiece never does; so they are hidden there, and :class:`Codec` turns unknown characters into bytes.
+    """
     from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
     if spec.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback)
+        model = models.Unigram([(p if kind in (NORMAL, USER) else HIDDEN + p, s) for p, s, kind in spec.pieces], unk_id=unknown, byte_fallback=False)
     else:
         model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges=merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
     t = Tokenizer(model)
@@ -173,6 +181,10 @@ class Codec:
         self.threads = threads
         plain = [p for p, _, kind in spec.pieces if kind in (NORMAL, USER)]
         self.by_segment = spec.dummy_prefix and not spec.trim_spaces and not any(MARKER in p.lstrip(MARKER) for p in plain)
+        self._unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
+        self._byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE} if spec.kind == UNIGRAM and spec.byte_fallback else {}
+        # the fast form keeps no surfaces, which unknown characters are read from
+        self._batch = self.tokenizer.encode_batch if self._byte_ids else self.tokenizer.encode_batch_fast
         self._cached: dict[str, list[int]] = {}
         self._differs: set[str] = set()
         self._cut = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
@@ -188,6 +200,16 @@ class Codec:
             return ""
         return (MARKER if self.spec.dummy_prefix else "") + text.replace(" ", MARKER)
 
+    def _ids(self, encoding) -> list[int]:
+        """The ids of a Tokenizers encoding; unknown characters of a unigram model become bytes."""
+        ids = encoding.ids
+        if not self._byte_ids or self._unknown not in ids:
+            return ids
+        out: list[int] = []
+        for i, token in zip(ids, encoding.tokens, strict=True):
+            out += map(self._byte_ids.__getitem__, token.encode()) if i == self._unknown else (i,)
+        return out
+
     def _segments(self, text: str) -> list[str]:
         if not text:
             return []
@@ -200,7 +222,7 @@ class Codec:
         new = list(segments - self._cached.keys())
         # a bare segment "w" stands for marker + "w"; one that begins with the marker stands for itself
         full = [s if s[0] == MARKER else MARKER + s for s in new]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(full, add_special_tokens=False)]
+        got = [self._ids(e) for e in self._batch(full, add_special_tokens=False)]
         # SentencePiece adds the first marker itself
         want = self.reference.encode([s[1:].replace(MARKER, " ") for s in full], num_threads=self.threads)
         for s, f, g, w in zip(new, full, got, want, strict=True):
@@ -214,11 +236,11 @@ class Codec:
         """(ids, whether Tokenizers and SentencePiece agreed) of each text; ids are SentencePiece's."""
         if not self.by_segment:
             given = [i for i, t in enumerate(texts) if t is not None]
-            got = self.tokenizer.encode_batch_fast([self.normalised(texts[i]) for i in given], add_special_tokens=False)
+            got = self._batch([self.normalised(texts[i]) for i in given], add_special_tokens=False)
             want = self.reference.encode([texts[i] for i in given], num_threads=self.threads)
             out: list = [(None, True)] * len(texts)
             for i, g, w in zip(given, got, want, strict=True):
-                out[i] = (w, g.ids == w)
+                out[i] = (w, self._ids(g) == w)
             return out
         cut = [None if t is None else self._segments(t) for t in texts]
         if len(self._cached) > self.most:
