@@ -62,13 +62,13 @@ def seek(spark: SparkSession, path: str, position: Position, **options) -> DataF
     from chunkwell.functions.layout import canonical
 
     at = canonical(position.chunk_begin)
-    rows = _load(spark, path, options).where(F.col("chunk_begin") >= at)
+    rows = _load(spark, path, {**options, "chunkFrom": at}).where(F.col("chunk_begin") >= at)
     return rows.where((F.col("chunk_begin") > at) | (F.col("record_index") >= position.record_index))
 
 
 def seek_numeric(spark: SparkSession, path: str, number: int, **options) -> DataFrame:
     """The records of one file whose numeric position is ``number`` or behind it."""
-    return _load(spark, path, options).where(F.col("pos") >= number)
+    return _load(spark, path, {**options, "posFrom": number}).where(F.col("pos") >= number)
 
 
 def seek_back(records: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ whose record bytes are the decompressed chunk.
 
 Read options: ``mode`` (FAILFAST, DROPMALFORMED), ``maxSkippedRegions``, ``verifyHashes`` (all,
 headers), ``payload`` (records, none), ``projection`` (such as ``1;2.3;4?``), ``projectSimple``,
-``splitBytes``.  Write options: ``compression``, ``compressionLevel``, ``windowLog``, ``chunkSize``,
+``splitBytes``, and the limits ``posFrom``, ``posTo``, ``chunkFrom``, ``chunkTo`` (inclusive), by which
+chunks and ranges outside are neither read nor decoded; records of a chunk on the edge stay in, so
+filter by the columns too.  (Filters are not pushed down by themselves: Spark keeps the pushed ones
+with the relation, so a frame that is filtered once and read again without would lose rows.)
+Write options: ``compression``, ``compressionLevel``, ``windowLog``, ``chunkSize``,
 ``transpose``, ``bucketFraction``, ``initialPadding``, ``finalPadding``, ``metadata`` (base64).
 """
 
@@ -23,7 +27,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from chunkwell.sources import storage
 
@@ -34,23 +38,15 @@ _BATCH_ROWS = 64_000
 
 @dataclass
 class Bounds:
-    """Inclusive limits that filters set on a position column."""
+    """Inclusive limits of a position."""
 
     low: int = 0
     high: int = (1 << 63) - 1
 
-    def take(self, f) -> None:
-        v = int(f.value)
-        if isinstance(f, EqualTo):
-            self.low, self.high = max(self.low, v), min(self.high, v)
-        elif isinstance(f, GreaterThan):
-            self.low = max(self.low, v + 1)
-        elif isinstance(f, GreaterThanOrEqual):
-            self.low = max(self.low, v)
-        elif isinstance(f, LessThan):
-            self.high = min(self.high, v - 1)
-        elif isinstance(f, LessThanOrEqual):
-            self.high = min(self.high, v)
+    @staticmethod
+    def of(low, high) -> Bounds:
+        b = Bounds()
+        return Bounds(b.low if low is None else max(b.low, int(low)), b.high if high is None else min(b.high, int(high)))
 
 
 @dataclass
@@ -73,7 +69,8 @@ class ReadOptions:
     projection: str | None = None
     project_simple: bool = False
     split_bytes: int = SPLIT_BYTES
-    bounds: dict[str, Bounds] = field(default_factory=lambda: {"pos": Bounds(), "chunk_begin": Bounds()})
+    pos: Bounds = field(default_factory=Bounds)
+    chunk_begin: Bounds = field(default_factory=Bounds)
 
     @staticmethod
     def of(options) -> ReadOptions:
@@ -85,12 +82,12 @@ class ReadOptions:
         if verify not in ("all", "headers"):
             raise ValueError(f"verifyHashes {verify}: all or headers is known")
         most = get("maxSkippedRegions")
-        return ReadOptions(mode == "DROPMALFORMED", int(most) if most else None, verify == "all", (get("payload") or "records") != "none", get("projection"), str(get("projectSimple") or "false").lower() == "true", max(1 << 16, int(get("splitBytes") or SPLIT_BYTES)))
+        return ReadOptions(mode == "DROPMALFORMED", int(most) if most else None, verify == "all", (get("payload") or "records") != "none", get("projection"), str(get("projectSimple") or "false").lower() == "true", max(1 << 16, int(get("splitBytes") or SPLIT_BYTES)), Bounds.of(get("posFrom"), get("posTo")), Bounds.of(get("chunkFrom"), get("chunkTo")))
 
 
 def splits_of(files: list[tuple[str, int]], options: ReadOptions) -> list[Split]:
     """Byte ranges of all files; those behind the last position asked for are left out."""
-    top = min(options.bounds["pos"].high, options.bounds["chunk_begin"].high)
+    top = min(options.pos.high, options.chunk_begin.high)
     return [Split(path, size, b, min(size, b + options.split_bytes)) for path, size in files for b in range(0, size, options.split_bytes) if b <= top]
 
 
@@ -103,7 +100,7 @@ def read_split(split: Split, options: ReadOptions):
     from chunkwell.sources.chunks import Input, records
 
     projection = Projection.parse(options.projection) if options.projection else None
-    at_pos, at_chunk = options.bounds["pos"], options.bounds["chunk_begin"]
+    at_pos, at_chunk = options.pos, options.chunk_begin
 
     def want(chunk) -> bool:
         n = chunk.header.records
@@ -133,14 +130,6 @@ class RecordFileReader(DataSourceReader):
     def __init__(self, path: str, options):
         self.path, self.options = path, ReadOptions.of(options)
 
-    def pushFilters(self, filters):
-        """Positions prune ranges and chunks; Spark still applies every filter itself."""
-        for f in filters:
-            name = getattr(f, "attribute", ())
-            if len(name) == 1 and name[0] in self.options.bounds and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                self.options.bounds[name[0]].take(f)
-            yield f
-
     def partitions(self):
         return splits_of(storage.files_of(self.path), self.options) or [Split(self.path, 0, 0, 0)]
 
@@ -281,6 +270,5 @@ class RecordFileSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to the session and let it prune by positions."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the source known to the session."""
     spark.dataSource.register(RecordFileSource)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from chunkwell.operators import messages as M
+from chunkwell.operators.positions import Position, seek, seek_numeric
 from chunkwell.plans import catalog
 from chunkwell.sources import index
 from chunkwell.sources.recordfile import register
@@ -46,6 +47,11 @@ def test_filters_prune_chunks(spark, sf, tmp_path):
     assert rows.where(f"chunk_begin = {at}").count() == 5000 - 19 * 256
     assert rows.where("pos >= 100 and pos < 164").count() == 64
     assert rows.select("pos").distinct().count() == 5000
+    pruned = spark.read.format("recordfile").option("posFrom", 100).option("posTo", 163).load(path)
+    assert pruned.count() == 256 and pruned.where("pos between 100 and 163").count() == 64
+    assert spark.read.format("recordfile").option("chunkFrom", at).option("chunkTo", at).load(path).count() == 5000 - 19 * 256
+    assert seek_numeric(spark, path, at + 1).count() == 5000 - 19 * 256 - 1
+    assert seek(spark, path, Position(at, 2)).count() == 5000 - 19 * 256 - 2
     assert index.record_count(spark, path).first()[0] == 5000
     assert spark.read.format("recordfile").option("payload", "none").load(path).where("record is null").count() == 5000
 
