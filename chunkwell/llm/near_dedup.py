@@ -8,10 +8,11 @@ are candidates; they are linked if the edit distance of their words is at most
 ``(1 - SIMILARITY)`` of the longer one, found by a bit-parallel alignment within that band.
 
 Classes are the connected components of the links.  Within a bucket of equal sketches every
-document is compared with the one of smallest ``doc_id``, not with all others; a group of any
-size costs one comparison for each member and distinct leader.  What a shared bucket's leader
-hides (a leader unlike two members that are alike) is covered by the other sketches: texts of
-shingle similarity 0.8 share about 20 of 32.  The tests measure recall against brute force.
+document is compared with those of smallest and of largest ``doc_id``, its leaders, not with all
+others; a group of any size costs at most two comparisons for each member and bucket, and equal
+pairs are compared once.  What a shared bucket's leaders hide (both unlike two members that are
+alike) is covered by the other sketches: texts of shingle similarity 0.8 share about 20 of 32.
+The tests measure recall against brute force.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
 buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
@@ -215,9 +216,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = members.where("rep = doc_id").select("rep")
     buckets = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
-    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").select(F.col("sketch").alias("s2"), "leader")
+    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").select(F.col("sketch").alias("s2"), "leader", "last")
     leaders, _ = store(leaders, "near-leaders")
-    pairs = buckets.join(leaders, F.col("sketch") == F.col("s2")).where("doc_id > leader").select("doc_id", "leader").distinct()
+    met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.array("leader", "last")).alias("other")).where("doc_id <> other")
+    pairs = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
     drop_stored(docs.sparkSession, buckets_path)
 
