@@ -99,7 +99,8 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(words_of(text))
-        if not found or not self.languages:
+        # a run may also hold numerals such as U+00BD, which alone are no letter
+        if not found or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         if len(self._rows) > _KNOWN_LIMIT:
             self._rows.clear()
