@@ -107,7 +107,7 @@ class Model:
         get = self._rows.get
         rows = [r if (r := get(w)) is not None else self._row(w) for w in found]
         n = np.fromiter(found.values(), dtype=np.float64, count=len(found))
-        total = n @ self._scores[rows]
+        total = np.einsum("i,ij->j", n, self._scores[rows])  # not BLAS, whose threads do not suit forked workers
         best = int(np.argmax(total))
         share = np.exp((total - total[best]) / math.sqrt(n.sum()))
         return self.languages[best], float(1.0 / share.sum())
