@@ -150,13 +150,11 @@ class HandlerSet:
     def __init__(self, *handlers: FieldHandler):
         self.handlers = list(handlers)
 
+    def call_of(self, number: int, wire: int) -> Callable | None:
+        return next((getattr(h, _CALLS[wire]) for h in self.handlers if h.number == number), None)
+
     def dispatch(self, f) -> bool:
-        for h in self.handlers:
-            if h.number == f.number:
-                call = getattr(h, _CALLS[f.wire])
-                call(f.value) if f.value is not None else call()
-                return True
-        return False
+        return _call(self.call_of(f.number, f.wire), f)
 
 
 class DynamicHandlers:
@@ -169,12 +167,18 @@ class DynamicHandlers:
         self.calls[number, wire] = call
         return self
 
+    def call_of(self, number: int, wire: int) -> Callable | None:
+        return self.calls.get((number, wire))
+
     def dispatch(self, f) -> bool:
-        call = self.calls.get((f.number, f.wire))
-        if call is None:
-            return False
-        call(f.value) if f.value is not None else call()
-        return True
+        return _call(self.call_of(f.number, f.wire), f)
+
+
+def _call(call: Callable | None, f) -> bool:
+    if call is None:
+        return False
+    call(f.value) if f.value is not None else call()
+    return True
 
 
 def read_message(data: bytes, handlers) -> None:
@@ -198,15 +202,29 @@ def fold_records(records: DataFrame, make: Callable, schema: str, record: str =
         handlers, fallback, result = make()
         index = 0
         for batch in batches:
-            for r in batch.column(0).to_pylist():
-                if is_message(r):
+            v = batch.column(0)
+            e = parse(v)
+            # only fields that a handler wants leave NumPy
+            kinds = e.number << 3 | e.wire
+            wanted = {k: call for k in np.unique(kinds).tolist() if (call := handlers.call_of(k >> 3, k & 7)) is not None}
+            at = np.flatnonzero(np.isin(kinds, list(wanted)))
+            cuts = [*np.flatnonzero(~e.ok).tolist(), len(v)]
+            ends = np.searchsorted(e.record[at], cuts).tolist()
+            begin = 0
+            for r, end in zip(cuts, ends, strict=True):
+                part = at[begin:end]
+                for k, value, row, start, size in zip(kinds[part].tolist(), e.value[part].tolist(), e.record[part].tolist(), e.start[part].tolist(), e.size[part].tolist(), strict=True):
                     try:
-                        read_message(r, handlers)
-                    except MessageError as e:
-                        raise MessageError(str(e), index) from e
-                else:
-                    fallback(index, r)
-                index += 1
+                        if k & 7 in (V.START_GROUP, V.END_GROUP):
+                            wanted[k]()
+                        else:
+                            wanted[k](e.data[start : start + size].tobytes() if k & 7 == V.BYTES else value)
+                    except MessageError as error:
+                        raise MessageError(str(error), index + row) from error
+                if r < len(v):
+                    fallback(index + r, v[r].as_py())
+                begin = end
+            index += len(v)
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(result(), arrow, strict=True)], schema=arrow)
 
     return records.select(record).mapInArrow(run, schema)

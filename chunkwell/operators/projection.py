@@ -95,13 +95,14 @@ class Projection:
         """The projected records of a batch; top-level projections of scalar fields never leave NumPy."""
         if self.is_all:
             return records
-        if all(len(f.path) == 1 and not f.existence_only for f in self.fields):
-            return _top_level(records, {f.path[0] for f in self.fields})
         tree = self.tree()
+        if all(len(f.path) == 1 for f in self.fields):
+            return _top_level(records, tree)
         return pa.array([None if r is None else _project(r, tree, 0) if is_message(r) else r for r in records.to_pylist()], records.type)
 
 
-def _top_level(records: pa.Array, numbers: set[int]) -> pa.Array:
+def _top_level(records: pa.Array, tree: dict) -> pa.Array:
+    """:func:`_project` of a batch by a tree without subtrees."""
     from chunkwell.sources.simple import binary_array
 
     e = parse(records)
@@ -116,18 +117,23 @@ def _top_level(records: pa.Array, numbers: set[int]) -> pa.Array:
     stop[plain] += _varint_sizes(e.value[plain])
     first = np.concatenate([[True], e.record[1:] != e.record[:-1]]) if len(e.record) else np.empty(0, dtype=bool)
     start = np.where(first, begin[e.record], np.concatenate([[0], stop[:-1]])) if len(e.record) else stop
-    keep = np.isin(e.number, list(numbers)) & ~grouped[e.record]
-    rows, a, z = e.record[keep], start[keep], stop[keep]
+    keep = np.isin(e.number, list(tree)) & ~grouped[e.record]
+    rows, a, z, number, wire = e.record[keep], start[keep], stop[keep], e.number[keep], e.wire[keep]
+    key = a.copy()
+    for n in (n for n, (kind, _) in tree.items() if kind == EXISTENCE):
+        for w in (V.VARINT, V.FIXED32, V.FIXED64, V.BYTES):
+            zero = np.frombuffer(_zero_of(n, w), dtype=np.uint8)
+            hit = (number == n) & (wire == w)
+            a[hit], z[hit], buf = len(buf), len(buf) + len(zero), np.concatenate([buf, zero])
     whole = np.flatnonzero(~e.ok)  # what is no message passes
-    rows, a, z = np.concatenate([rows, whole]), np.concatenate([a, begin[whole]]), np.concatenate([z, end[whole]])
-    order = np.lexsort((a, rows))
+    rows, a, z, key = np.concatenate([rows, whole]), np.concatenate([a, begin[whole]]), np.concatenate([z, end[whole]]), np.concatenate([key, begin[whole]])
+    order = np.lexsort((key, rows))
     rows, a, size = rows[order], a[order], (z - a)[order]
     total = np.bincount(rows, weights=size, minlength=len(begin)).astype(np.int64) if len(rows) else np.zeros(len(begin), dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(total)])
     at = np.concatenate([[0], np.cumsum(size)])
     out = binary_array(offsets, buf[np.repeat(a - at[:-1], size) + np.arange(at[-1])].tobytes())
     if grouped.any() or records.null_count:
-        tree = {n: (FULL, {}) for n in numbers}
         slow = {int(i): _project(records[int(i)].as_py(), tree, 0) for i in np.flatnonzero(grouped & e.ok)}
         out = pa.array([None if not r.is_valid else slow.get(i, v) for i, (v, r) in enumerate(zip(out.to_pylist(), records, strict=True))], pa.binary())
     return out
@@ -141,13 +147,14 @@ def _varint_sizes(v: np.ndarray) -> np.ndarray:
     return size
 
 
-def _zero(e: Event) -> bytes:
-    head = V.encode_u64(V.make_tag(e.number, e.wire))
-    if e.wire in (V.VARINT, V.BYTES):
+def _zero_of(number: int, wire: int) -> bytes:
+    """A present field without content."""
+    head = V.encode_u64(V.make_tag(number, wire))
+    if wire in (V.VARINT, V.BYTES):
         return head + b"\0"
-    if e.wire == V.START_GROUP:
-        return head + V.encode_u64(V.make_tag(e.number, V.END_GROUP))
-    return head + bytes(4 if e.wire == V.FIXED32 else 8)
+    if wire == V.START_GROUP:
+        return head + V.encode_u64(V.make_tag(number, V.END_GROUP))
+    return head + bytes(4 if wire == V.FIXED32 else 8)
 
 
 def _project(data: bytes, tree: dict, depth: int) -> bytes:
@@ -179,7 +186,7 @@ def _one(data: bytes, events: list[Event], i: int, tree: dict, depth: int, out:
         return last + 1
     if e.wire == V.START_GROUP:
         if kind == EXISTENCE and not below:
-            out.append(_zero(e))
+            out.append(_zero_of(e.number, e.wire))
         else:
             out.append(data[e.begin : e.end])
             k = i + 1
@@ -189,7 +196,7 @@ def _one(data: bytes, events: list[Event], i: int, tree: dict, depth: int, out:
         return last + 1
     submessage = e.wire == V.BYTES and len(e.value) and depth < MAX_DEPTH and is_message(e.value)
     if kind == EXISTENCE and not (submessage and below):
-        out.append(_zero(e))
+        out.append(_zero_of(e.number, e.wire))
     elif submessage:
         inner = _project(e.value, below, depth + 1)
         out.append(V.encode_u64(V.make_tag(e.number, V.BYTES)) + V.encode_u64(len(inner)) + inner)

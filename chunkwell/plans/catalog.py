@@ -26,9 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(t: DataFrame) -> DataFrame:
+    """``t`` over all cores where its files are too few for them; a table of many files is read as it stands.
+
+    A Parquet file is not split below its row groups, so a small table with one row group would
+    go through the Arrow functions in one task.
+    """
+    cores = t.sparkSession.sparkContext.defaultParallelism
+    return t.repartition(cores) if len(t.inputFiles()) < cores else t
+
+
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``lineitem`` as a message."""
-    t = _table(spark, sf_dir, "lineitem")
+    t = _spread(_table(spark, sf_dir, "lineitem"))
     micros = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     return t.select(M.encode_message(LINEITEM, *[micros if s.name == "l_shipdate" else s.name for s in LINEITEM]).alias("record"))
 
@@ -195,7 +205,7 @@ def field_tags(spark, sf_dir):
 
 def field_iterator(spark, sf_dir):
     spec = (Spec("l_partkey", 1, "uint64"), Spec("l_suppkey", 2, "uint64"), Spec("l_linenumber", 3, "uint64"))
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec"), M.encode_message(spec).alias("record"))
+    rows = _spread(_table(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("rec"), M.encode_message(spec).alias("record"))
     return M.explode_fields(rows, keep=["rec"]).select("rec", "field_number", F.col("varint").alias("value"))
 
 

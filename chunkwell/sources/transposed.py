@@ -141,10 +141,9 @@ def decode(data: bytes, records: int, decoded_size: int, projection=None) -> pa.
     if bounds[-1] != len(pieces):
         raise MalformedData("fields outside a record")
     rows = [b"".join(pieces[b - 1 : (a - 1 if a else None) : -1] if b > a else ()) for a, b in zip(bounds, bounds[1:], strict=False)][::-1]
-    if projection is not None and not projection.is_all:
-        rows = [projection.apply(r) for r in rows]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    return binary_array(offsets, b"".join(rows))
+    out = binary_array(offsets, b"".join(rows))
+    return out if projection is None or projection.is_all else projection.apply_array(out)
 
 
 def _split(buckets: list[bytes], sizes: list[int]) -> list[bytes]:

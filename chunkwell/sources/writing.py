@@ -13,6 +13,8 @@ from chunkwell.functions.errors import WriterClosed, WriterFailed
 from chunkwell.sources import simple
 
 DEFAULT_CHUNK = 1 << 20
+#: How much is held back to be framed together: chunks, and bytes at most.
+HELD_CHUNKS, HELD_BYTES = 256, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,8 @@ class RecordWriter:
         self._parts: list[bytes] = [L.signature()]
         self._sizes = np.empty(0, dtype=np.int64)
         self._values = b""
+        self._waiting: list[tuple[np.ndarray, memoryview]] = []
+        self._held = 0
         self._closed, self._failed = False, False
         if o.metadata is not None:
             from chunkwell.sources import transposed
@@ -86,14 +90,19 @@ class RecordWriter:
         if records.null_count:
             raise ValueError("a record is null")
         sizes, values = simple.buffers_of(records)
-        self._sizes = np.concatenate([self._sizes, sizes])
-        self._values = b"".join((self._values, values))
-        self._emit(final=False)
+        self._waiting.append((sizes, values))
+        self._held += len(values) + 8 * len(sizes)
+        # chunks are hashed in lock step, so it pays to frame many of them together
+        if self._held >= max(self.options.most, min(HELD_CHUNKS * self.options.most, HELD_BYTES)):
+            self._emit(final=False)
 
     def write_record(self, record: bytes) -> None:
         self.write(pa.array([record], pa.binary()))
 
     def _emit(self, final: bool) -> None:
+        self._sizes = np.concatenate([self._sizes, *(s for s, _ in self._waiting)])
+        self._values = b"".join((self._values, *(v for _, v in self._waiting)))
+        self._waiting, self._held = [], 0
         ends = pack(self._sizes, self.options.most)
         if not final and ends:
             # the last chunk may still grow, unless not even an empty record fits
