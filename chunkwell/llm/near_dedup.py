@@ -7,12 +7,13 @@ share it with a probability that follows their edit similarity.  Documents that
 are candidates; they are linked if the edit distance of their words is at most
 ``(1 - SIMILARITY)`` of the longer one, found by a bit-parallel alignment within that band.
 
-Classes are the connected components of the links.  Within a bucket of equal sketches every
-document is compared with those of smallest and of largest ``doc_id``, its leaders, not with all
-others; a group of any size costs at most two comparisons for each member and bucket, and equal
-pairs are compared once.  What a shared bucket's leaders hide (both unlike two members that are
-alike) is covered by the other sketches: texts of shingle similarity 0.8 share about 20 of 32.
-The tests measure recall against brute force.
+Classes are the connected components of the links, as if all members of a bucket of equal sketches
+were compared.  First every document is compared with those of smallest and of largest ``doc_id``
+in its bucket, its leaders.  A bucket whose members are then in one class is done.  In the others,
+members chosen by a hash, about ``PIVOTS`` of a bucket and ``PIVOTS`` times more in each round, are
+compared with all members of other classes that were not chosen before them, until a bucket is of
+one class or all have been chosen: every pair of a bucket is compared or in one class already, and
+equal pairs are compared once.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
 buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
@@ -39,6 +40,8 @@ SHINGLE = 5
 SKETCHES = 32
 PER_SKETCH = 2
 SIMILARITY = 0.8
+PIVOTS = 8
+BAG = 64
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -203,6 +206,62 @@ def _verify(similarity: float):
     return run
 
 
+def bag(payload: bytes) -> bytes:
+    """How many words fall into each of ``BAG`` groups, 255 at most."""
+    return np.minimum(np.bincount(np.frombuffer(payload, np.uint16) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
+def _bags(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([bag(p) for p in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())], names=[*batch.schema.names[:-1], "bag"])
+
+
+def _may_be_alike(similarity: float):
+    """Pairs whose bags allow a link: an edit lessens the excess of either bag by one at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for i in (4, 5))
+            w = np.maximum(batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
+            more, less = np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)
+            kept = batch.filter(pa.array(np.maximum(more, less) <= np.floor((1 - similarity) * w + 1e-9)))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["doc_id", "leader"])
+
+    return run
+
+
+def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``doc_id, leader``) that are alike, as edges ``a, b``."""
+    with_own = pairs.join(payload.toDF("id1", "p1"), F.col("doc_id") == F.col("id1")).select("doc_id", "leader", "p1")
+    with_both = with_own.join(payload.toDF("id2", "p2"), F.col("leader") == F.col("id2")).select("doc_id", "leader", "p1", "p2")
+    return store(with_both.mapInArrow(_verify(similarity), "a long, b long"), "near-links")[0]
+
+
+def _mixed_buckets(rest: DataFrame, found: DataFrame, share: int) -> DataFrame:
+    """The members of ``rest`` that no round up to ``share`` chose, in buckets where they are of several classes."""
+    left = rest.where(F.col("choice") * F.col("size") >= share)
+    left = left.join(found, F.col("doc_id") == F.col("node"), "left").select(*rest.columns, F.coalesce("component", "doc_id").alias("class"))
+    several, _ = store(left.groupBy("sketch").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select(F.col("sketch").alias("s2")), "near-several")
+    return left.join(several, F.col("sketch") == F.col("s2")).drop("s2")
+
+
+def _pairs_of_pivots(mixed: DataFrame, share: int, similarity: float) -> DataFrame:
+    """``doc_id, leader``: about ``share`` members of a bucket with all of other classes whose lengths allow a link."""
+    # pivots are dealt into blocks of about PIVOTS, and members meet each block: no hot bucket is joined in one piece
+    blocks = F.greatest(F.lit(1), F.ceil(F.least(F.lit(share), F.col("size")) / PIVOTS)).cast("int")
+    pivots = mixed.where(F.col("choice") * F.col("size") < share).select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("words").alias("w2"), F.col("bag").alias("bag2"), F.col("class").alias("k2"), F.pmod(F.xxhash64(F.lit(5), "doc_id"), blocks.cast("long")).cast("int").alias("b2"))
+    others = mixed.select("sketch", "doc_id", "words", "bag", "class", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    longer = F.greatest("words", "w2")
+    fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * longer + 1e-9)
+    met = others.join(pivots, (F.col("sketch") == F.col("s2")) & (F.col("block") == F.col("b2"))).where((F.col("class") != F.col("k2")) & fits)
+    ends = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader"), "words", "w2", "bag", "bag2")
+    return ends.mapInArrow(_may_be_alike(similarity), "doc_id long, leader long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` of its class."""
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
@@ -214,21 +273,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")
-    buckets = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("sketches").alias("sketch"))
+    buckets = wordy.select("doc_id", "sketches", "payload").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.expr("length(payload) div 2").cast("long").alias("words"), F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
-    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").select(F.col("sketch").alias("s2"), "leader", "last")
+    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("last > leader").select(F.col("sketch").alias("s2"), "leader", "last", "size")
     leaders, _ = store(leaders, "near-leaders")
     met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.array("leader", "last")).alias("other")).where("doc_id <> other")
     pairs = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
+    # what the leaders have not decided: pairs of the other members, if there are two
+    choice = F.shiftrightunsigned(F.xxhash64("sketch", "doc_id"), 11) / F.lit(float(1 << 53))
+    rest = buckets.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "words", "size", choice.alias("choice"))
+    own = base.select(F.col("doc_id").alias("id1"), "payload")
+    rest = rest.join(own, F.col("doc_id") == F.col("id1")).select(*rest.columns, "payload").mapInArrow(_bags, "sketch long, doc_id long, words long, size long, choice double, bag binary")
+    rest, rest_path = store(rest, "near-rest")
     drop_stored(docs.sparkSession, buckets_path)
 
     payload = base.select("doc_id", "payload")
-    with_own = pairs.join(payload.toDF("id1", "p1"), F.col("doc_id") == F.col("id1")).select("doc_id", "leader", "p1")
-    with_both = with_own.join(payload.toDF("id2", "p2"), F.col("leader") == F.col("id2")).select("doc_id", "leader", "p1", "p2")
-    links, links_path = store(with_both.mapInArrow(_verify(similarity), "a long, b long"), "near-links")
-    drop_stored(docs.sparkSession, base_path, pairs_path)
+    links = _links(pairs, payload, similarity)
     found = components(links, "near-cc")
+    tried, paths = pairs, [base_path, pairs_path, rest_path]
+    share = 0
+    while True:
+        mixed, mixed_path = store(_mixed_buckets(rest, found, share), "near-mixed")
+        paths.append(mixed_path)
+        if mixed.isEmpty():
+            break
+        following = max(1, share) * PIVOTS
+        pairs, pairs_path = store(_pairs_of_pivots(mixed, following, similarity).join(tried, ["doc_id", "leader"], "left_anti"), "near-pairs")
+        paths.append(pairs_path)
+        new = _links(pairs, payload, similarity)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links, "near-cc")
+        tried, share = tried.unionByName(pairs), following
+    drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out
 

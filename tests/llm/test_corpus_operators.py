@@ -147,6 +147,38 @@ def test_planted_copies_in_one_large_group(spark):
     assert near_dedup.keep_first(frame).count() == 61
 
 
+def test_members_that_are_like_neither_end_of_their_bucket(spark):
+    rng = random.Random(8)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def copy():  # 0.88 like the original, 0.77 like another copy
+        words = list(original)
+        for at in rng.sample(range(300), 36):
+            words[at] = f"x{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    rows = [(i, " ".join(original) if i == 150 else copy()) for i in range(300)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # by brute force over all pairs of each bucket
+    texts = {i: near_dedup.word_hashes(t) for i, t in rows}
+    seqs, buckets, parent = {i: (h >> np.uint64(48)).astype(np.uint16) for i, h in texts.items()}, {}, {i: i for i in texts}
+    for i, h in texts.items():
+        for s in near_dedup.sketch(h).tolist():
+            buckets.setdefault(s, []).append(i)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for found in buckets.values() for k, a in enumerate(found) for b in found[k + 1 :]}:
+        if find(a) != find(b) and near_dedup.alike(seqs[a], seqs[b]):
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    assert got == {i: find(i) for i in texts}
+    assert len(set(got.values())) < 15
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, None, "e"), (1, "", "e"), (2, "a b", "s"), (2, "a b", "s"), (4, "a b", "s"), (5, "zz", "e"), (None, "a b", "e"), (6, None, "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, rep string")
