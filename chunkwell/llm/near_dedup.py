@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm.common import WORD_PY, components, drop_stored, map_texts, store
 
-SHINGLE = 5
-SKETCHES = 32
+SHINGLE = 4
+SKETCHES = 64
 PER_SKETCH = 2
 SIMILARITY = 0.8
 PIVOTS = 8
@@ -88,7 +88,7 @@ def labelled_kmers(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return _mixed(acc)
 
 
-def sketch(h: np.ndarray, count: int = SKETCHES, per: int = PER_SKETCH, size: int = SHINGLE) -> np.ndarray:
+def sketch(h: np.ndarray, count: int = 32, per: int = PER_SKETCH, size: int = SHINGLE) -> np.ndarray:
     """``count`` order-min-hash sketches of a text's word hashes, as signed 64-bit numbers."""
     if not len(h):
         return np.empty(0, dtype=np.int64)
@@ -190,7 +190,7 @@ def _sketch_rows(ids, digests, texts):
     for t in texts:
         h = word_hashes(t)
         payload.append((h >> np.uint64(48)).astype(np.uint16).tobytes())
-        sketches.append(sketch(h).tolist())
+        sketches.append(sketch(h, SKETCHES).tolist())
     return ids, digests, payload, sketches
 
 

@@ -147,6 +147,18 @@ def test_planted_copies_in_one_large_group(spark):
     assert near_dedup.keep_first(frame).count() == 61
 
 
+def test_isolated_pairs_near_the_threshold_share_a_sketch():
+    rng = np.random.default_rng(4)
+    for similarity, least in ((0.8, 193), (0.82, 196), (0.84, 198), (0.86, 199)):
+        met = 0
+        for _ in range(200):
+            a = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+            b, at = a.copy(), rng.choice(300, round(300 * (1 - similarity)), replace=False)
+            b[at] = rng.integers(0, 1 << 62, len(at), dtype=np.uint64)
+            met += bool((near_dedup.sketch(a, near_dedup.SKETCHES) == near_dedup.sketch(b, near_dedup.SKETCHES)).any())
+        assert met >= least, similarity
+
+
 def test_members_that_are_like_neither_end_of_their_bucket(spark):
     rng = random.Random(8)
     original = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -163,7 +175,7 @@ def test_members_that_are_like_neither_end_of_their_bucket(spark):
     texts = {i: near_dedup.word_hashes(t) for i, t in rows}
     seqs, buckets, parent = {i: (h >> np.uint64(48)).astype(np.uint16) for i, h in texts.items()}, {}, {i: i for i in texts}
     for i, h in texts.items():
-        for s in near_dedup.sketch(h).tolist():
+        for s in near_dedup.sketch(h, near_dedup.SKETCHES).tolist():
             buckets.setdefault(s, []).append(i)
 
     def find(x):
