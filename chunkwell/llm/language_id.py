@@ -1,9 +1,8 @@
 """Operator 1: language identification, word first, with back-off to character n-grams.
 
 Training counts words by language on a sample of the labelled documents, then character n-grams
-of the counted words (with word ends marked).  The sample is bounded by ``SAMPLE_DOCS`` documents
-and the model by ``MAX_WORDS`` and ``MAX_GRAMS`` entries, all parameters; prediction covers every
-word of every text.
+of the counted words (with word ends marked).  The sample is bounded by ``SAMPLE_DOCS`` documents, a
+parameter; every word and n-gram of it is kept, and prediction covers every word of every text.
 
 A known word scores its log frequency in each language.  An unknown word falls back to its
 5-grams, or 4-, 3-, 2- and 1-grams if it has no longer one that is known, and scores the mean log
@@ -26,11 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import give_back, map_texts, slices
+from chunkwell.llm.common import drop_stored, give_back, map_texts, slices, store
 
 SAMPLE_DOCS = 10_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 MIN_SCORE = 0.5
 UNDETERMINED = "und"
@@ -62,26 +59,30 @@ class Model:
         self._scores = np.zeros((1024, max(k, 1)))
 
     @staticmethod
-    def _table(entries, at, k, smooth) -> dict[str, np.ndarray]:
-        counts: dict[str, np.ndarray] = {}
-        totals = np.zeros(k)
+    def _table(entries, at, k, smooth) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each entry, and a matrix of log frequencies."""
+        rows: dict[str, int] = {}
+        for lang, entry, _ in entries:
+            if lang in at:
+                rows.setdefault(entry, len(rows))
+        counts = np.zeros((len(rows), k), dtype=np.float32)
         for lang, entry, n in entries:
-            if lang not in at:
-                continue
-            counts.setdefault(entry, np.zeros(k))[at[lang]] += n
-            totals[at[lang]] += n
-        below = np.log(totals + smooth * max(1, len(counts)))
-        return {e: (np.log(c + smooth) - below).astype(np.float32) for e, c in counts.items()}
+            if lang in at:
+                counts[rows[entry], at[lang]] += n
+        below = np.log(counts.sum(axis=0, dtype=np.float64) + smooth * max(1, len(rows)))
+        return rows, (np.log(counts + smooth) - below).astype(np.float32)
 
     def score_word(self, word: str) -> np.ndarray:
         """Log frequency in each language, by the word or the longest n-grams of it that are known."""
-        found = self.words.get(word)
+        rows, scores = self.words
+        found = rows.get(word)
         if found is not None:
-            return found
+            return scores[found]
         for n in ORDERS:
-            known = [s for g in grams_of(word, n) if (s := self.grams[n].get(g)) is not None]
+            rows, scores = self.grams[n]
+            known = [r for g in grams_of(word, n) if (r := rows.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return scores[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def _row(self, word: str) -> int:
@@ -134,7 +135,7 @@ def _count_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.string()), pa.array(list(by.values()), pa.int64())], names=["lang", "entry", "n"])
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the rows of ``labelled`` (``doc_id, text, lang``) with text and language.
 
     Of more than ``sample_docs`` rows, about that many are chosen by a hash of their id.
@@ -144,12 +145,10 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int =
     if n > sample_docs:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_docs / n))
     counted = map_texts(labelled.where("text is not null"), ["lang", "text"], _count_words, "lang string, entry string, n long")
-    words = counted.groupBy("lang", "entry").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entry", "lang").limit(max_words)
-    words = words.select("lang", "entry", "n").collect()
-    spark = labelled.sparkSession
-    frame = spark.createDataFrame([tuple(r) for r in words], "lang string, entry string, n long").repartition(min(32, 1 + len(words) // 4000))
-    grams = frame.mapInArrow(_count_grams, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    grams = grams.orderBy(F.desc("n"), "entry", "lang").limit(max_grams).collect()
+    words, words_path = store(counted.groupBy("lang", "entry").agg(F.sum("n").alias("n")), "language-words")
+    grams = words.repartition(8).mapInArrow(_count_grams, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n")).collect()
+    words = words.collect()
+    drop_stored(labelled.sparkSession, words_path)
     return Model([tuple(r) for r in words], [tuple(r) for r in grams])
 
 

@@ -63,6 +63,15 @@ def test_undetermined(odd):
     assert {(None, "und"), (1, "und"), (2, "und"), (7, "und")} <= got and (5, "und") not in got
 
 
+def test_a_rare_language_beside_a_large_vocabulary(spark):
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:100_200]
+    rows = [(1, " ".join(words * 2), "aa"), (2, "zuvy wuzy vuxy", "zz")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "zz"]
+    assert model.predict("vuxy zuvy")[0] == "zz" and model.predict(words[-1])[0] == "aa"
+
+
 def test_backoff_goes_down_the_orders():
     m = language_id.Model([("a", "house", 9), ("b", "maison", 9)], [("a", "^hous", 3), ("b", "^mais", 3), ("a", "us", 2), ("b", "on", 2)])
     assert m.score_word("house")[0] > m.score_word("house")[1]
