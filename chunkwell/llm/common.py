@@ -78,6 +78,14 @@ def slices(column, most: int = SLICE_BYTES):
         yield start, len(sizes)
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def give_back() -> None:
     """Return freed memory to the system; a Python worker outlives its task and serves other stages."""
     import ctypes

@@ -1,23 +1,28 @@
 """Operator 10: SentencePiece encoding and decoding on the Tokenizers library.
 
 :func:`parse_model` reads the model protobuf with a small wire parser: pieces with scores and
-kinds, model type, normaliser and byte fallback.  :func:`build` makes a Tokenizers model of it:
-Unigram with the scores, or BPE whose merges are the splits of each piece ordered by its score,
-with byte fallback; the normaliser (a precompiled character map, if there is one; white space
-removal, marker, prefix) is rebuilt around it.
-
-If no piece holds the marker behind another character, the marker starts a new segment and a
-text's ids are the ids of its segments in order; then only the distinct segments of a batch are
-encoded, by one multithreaded ``encode_batch``, and each new segment is compared with the
-SentencePiece library: a segment that differs takes SentencePiece's ids and its texts are
-reported with ``parity`` false.  Otherwise whole texts are encoded and compared.
+kinds, model type, normaliser and byte fallback.  :func:`build` makes a Tokenizers pipeline of it:
+the normaliser (a precompiled character map, if there is one; white space removal; the marker
+before the text and for each space), Unigram with the scores or BPE whose merges are the splits
+of each piece ordered by its score, byte fallback, and the decoder.  Ids and decoded texts are
+those of this pipeline; the SentencePiece library is only the check, ``parity`` says whether it agrees.
+
+If no piece holds the marker behind another character and texts are not normalised, the marker
+starts a new segment and a text's ids are the ids of its segments in order; then the distinct
+segments are encoded by multithreaded ``encode_batch`` calls, checked against SentencePiece and
+decoded once each, and a text's ids are gathered from theirs.  Otherwise whole texts are
+encoded, checked and decoded.
+
+One case is beyond Tokenizers: its Unigram matches control and byte pieces that stand in a text
+literally, which SentencePiece never does.  Such texts (or segments) are encoded with these pieces
+hidden, and their unknown characters are turned into bytes here.
 
 ``round_trip`` says whether decoding the ids gives the text back (for a model that normalises:
-the normalised text; a marker that stands in the text itself comes back as a space).  Decoding (:func:`decode`) uses the pieces' bytes.
+the normalised text; a marker that stands in the text itself comes back as a space).
 
 Cases: a null text has null ids and 0 tokens; an empty text has no ids.  Texts are encoded
 whole, in slices of bounded size; the cache of segments is bounded too.  Only ``doc_id`` and
-``text`` are read.
+``text`` are read.  Ids outside the model decode to nothing.
 """
 
 from __future__ import annotations
@@ -28,14 +33,17 @@ import re
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwell.llm.common import map_texts
+from chunkwell.llm.common import Numbers, map_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Segments kept between batches.
 CACHE = 150_000
+#: New segments that are encoded as one text.
+GROUP = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -140,34 +148,43 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 #: Before the pieces that no text may match (a noncharacter, so texts do not hold it).
 HIDDEN = "\U0010ffff"
+#: What SentencePiece decodes an unknown character to.
+UNKNOWN_TEXT = " \u2047 "
 
 
-def build(spec: Spec):
-    """A Tokenizers tokenizer of normalised text (see :class:`Codec` for what comes before).
+def build(spec: Spec, prefix: bool | None = None, hidden: bool = False):
+    """The Tokenizers pipeline of a model; ``prefix`` overrides whether a marker is put before a text.
 
-    Its Unigram would match control and byte pieces that stand in a text literally, which
-    SentencePiece never does; so they are hidden there, and :class:`Codec` turns unknown characters into bytes.
+    With ``hidden`` a unigram model matches no control or byte piece and has no byte fallback.
     """
-    from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-    unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
+    unknown = _first(spec, UNKNOWN)
     if spec.kind == UNIGRAM:
-        model = models.Unigram([(p if kind in (NORMAL, USER) else HIDDEN + p, s) for p, s, kind in spec.pieces], unk_id=unknown, byte_fallback=False)
+        model = models.Unigram([(HIDDEN + p if hidden and kind not in (NORMAL, USER) else p, s) for p, s, kind in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback and not hidden)
     else:
         model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges=merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
     t = Tokenizer(model)
-    if spec.charsmap:
-        t.normalizer = normalizers.Precompiled(spec.charsmap)
+    steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
+    if spec.trim_spaces:
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+    if spec.dummy_prefix if prefix is None else prefix:
+        steps.append(normalizers.Prepend(MARKER))
+    t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARKER)])
     added = [AddedToken(p, normalized=False) for p, _, kind in spec.pieces if kind == USER]
     if added:
         t.add_tokens(added)
     strip = [decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    t.decoder = decoders.Sequence([decoders.Replace(spec.pieces[unknown][0], UNKNOWN_TEXT), decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return t
 
 
+def _first(spec: Spec, kind: int) -> int:
+    return next((i for i, p in enumerate(spec.pieces) if p[2] == kind), 0)
+
+
 class Codec:
-    """Encodes and decodes texts as the SentencePiece model in ``data`` does."""
+    """Encodes and decodes texts by the SentencePiece model in ``data``, on Tokenizers."""
 
     def __init__(self, data: bytes, threads: int = 2, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -177,97 +194,158 @@ class Codec:
         self.spec = spec = parse_model(data)
         self.tokenizer = build(spec)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.most = cache
-        self.threads = threads
+        self.most, self.threads = cache, threads
         plain = [p for p, _, kind in spec.pieces if kind in (NORMAL, USER)]
-        self.by_segment = spec.dummy_prefix and not spec.trim_spaces and not any(MARKER in p.lstrip(MARKER) for p in plain)
-        self._unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
-        self._byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE} if spec.kind == UNIGRAM and spec.byte_fallback else {}
-        # the fast form keeps no surfaces, which unknown characters are read from
-        self._batch = self.tokenizer.encode_batch if self._byte_ids else self.tokenizer.encode_batch_fast
-        self._cached: dict[str, list[int]] = {}
-        self._differs: set[str] = set()
+        #: Pieces that begin with the marker; by segments, each opens one.
+        self._opens = np.array([p.startswith(MARKER) for p, _, _ in spec.pieces])
+        self.by_segment = MARKER in plain and spec.dummy_prefix and not spec.trim_spaces and not spec.charsmap and not any(MARKER in p.lstrip(MARKER) for p in plain)
+        self._silent = {i for i, (_, _, kind) in enumerate(spec.pieces) if kind == CONTROL}
         self._cut = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
-        self._bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else (b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else p.replace(MARKER, " ").encode()) for p, _, kind in spec.pieces]
-
-    def normalised(self, text: str) -> str:
-        """The text as the model sees it: character map, white space, then the marker for each space."""
-        if self.tokenizer.normalizer is not None:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        if self.spec.trim_spaces:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return (MARKER if self.spec.dummy_prefix else "") + text.replace(" ", MARKER)
-
-    def _ids(self, encoding) -> list[int]:
-        """The ids of a Tokenizers encoding; unknown characters of a unigram model become bytes."""
-        ids = encoding.ids
-        if not self._byte_ids or self._unknown not in ids:
-            return ids
-        out: list[int] = []
-        for i, token in zip(ids, encoding.tokens, strict=True):
-            out += map(self._byte_ids.__getitem__, token.encode()) if i == self._unknown else (i,)
+        self._literal = self._hidden = None
+        if spec.kind == UNIGRAM and (odd := [p for p, _, kind in spec.pieces if kind not in (NORMAL, USER)]):
+            self._literal = re.compile("|".join(map(re.escape, odd)))
+            self._unknown = _first(spec, UNKNOWN)
+            self._byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the segments."""
+        self._at = Numbers()
+        self._flat, self._starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self._differs, self._broken = np.empty(0, bool), np.empty(0, bool)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        """Tokenizers' ids of texts."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self._literal is not None:
+            for i in [i for i, t in enumerate(texts) if self._literal.search(t)]:
+                got[i] = self._without_literals(texts[i])
+        return got
+
+    def _without_literals(self, text: str) -> list[int]:
+        if self._hidden is None:
+            self._hidden = build(self.spec, hidden=True)
+        e, out = self._hidden.encode(text, add_special_tokens=False), []
+        for i, token in zip(e.ids, e.tokens, strict=True):
+            out += map(self._byte_ids.__getitem__, token.encode()) if i == self._unknown and self._byte_ids else (i,)
         return out
 
     def _segments(self, text: str) -> list[str]:
+        """The segments without their first marker; one that is nothing else is a marker."""
         if not text:
             return []
-        if self.tokenizer.normalizer is None and "  " not in text and MARKER not in text and text[0] != " " and text[-1] != " ":
+        if "  " not in text and MARKER not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
-        cut = self._cut.findall(self.normalised(text))
-        return [s[1:] if s[0] == MARKER and s[1:2] not in ("", MARKER) else s for s in cut]
-
-    def _learn(self, segments: set[str]) -> None:
-        new = list(segments - self._cached.keys())
-        # a bare segment "w" stands for marker + "w"; one that begins with the marker stands for itself
-        full = [s if s[0] == MARKER else MARKER + s for s in new]
-        got = [self._ids(e) for e in self._batch(full, add_special_tokens=False)]
-        # SentencePiece adds the first marker itself
-        want = self.reference.encode([s[1:].replace(MARKER, " ") for s in full], num_threads=self.threads)
-        for s, f, g, w in zip(new, full, got, want, strict=True):
-            if f == MARKER:
-                w = g  # SentencePiece gives nothing for an empty text; a lone marker occurs only inside one
-            if g != w:
-                self._differs.add(s)
-            self._cached[s] = w
+        cut = self._cut.findall(MARKER + text.replace(" ", MARKER))
+        return [s if s == MARKER else s[1:].replace(MARKER, " ") for s in cut]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode, check and decode new segments, those without white space many in one text."""
+        plain = [s for s in new if " " not in s and s not in ("", MARKER) and not (self._literal and self._literal.search(s))]
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        joined = [" ".join(g) for g in groups]
+        got = self._encoded(joined)
+        want = self.reference.encode(joined, num_threads=self.threads)
+        back = self.decode_all(got)
+        learnt: dict[str, tuple[list[int], bool, bool]] = {}
+        alone = list(set(new).difference(plain))
+        for group, text, g, w, t in zip(groups, joined, got, want, back, strict=True):
+            ids = np.array(g, np.int32)
+            starts = np.flatnonzero(self._opens[ids])
+            if g == w and t == text and len(starts) == len(group):
+                ends = [*starts[1:].tolist(), len(g)]
+                learnt.update((s, (g[a:z], False, False)) for s, a, z in zip(group, starts.tolist(), ends, strict=True))
+            else:
+                alone += group
+        if alone:
+            learnt.update(self._learn_alone(alone))
+        found = [learnt[s] for s in new]
+        sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+        self._flat = np.concatenate([self._flat, np.fromiter(itertools.chain.from_iterable(f[0] for f in found), np.int32, int(sizes.sum()))])
+        self._differs = np.concatenate([self._differs, [f[1] for f in found]])
+        self._broken = np.concatenate([self._broken, [f[2] for f in found]])
+
+    def _learn_alone(self, new: list[str]):
+        got = self._encoded(new)
+        want = self.reference.encode(new, num_threads=self.threads)
+        for k in [k for k, s in enumerate(new) if s == MARKER]:
+            # both put no marker before nothing: a lone marker occurs inside texts only
+            got[k] = build(self.spec, prefix=False).encode(" ", add_special_tokens=False).ids
+            want[k] = self.reference.encode("a ")[len(self.reference.encode("a")) :]
+        for s, g, w, b in zip(new, got, want, self.decode_all(got), strict=True):
+            yield s, (g, g != w, b != ("" if s == MARKER else s))
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
+        """Ids of all texts in a row, the borders between texts, and parity and round trip of each text."""
+        if not self.by_segment:
+            return self._encode_whole(texts)
+        cut = [self._segments(t) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        if len(self._at) > self.most:
+            self.forget()
+        known = len(self._at)
+        rows = np.fromiter(map(self._at.__getitem__, flat), np.int64, len(flat))
+        if len(self._at) > known:
+            try:
+                self._learn(list(itertools.islice(self._at, known, None)))
+            except BaseException:
+                self.forget()
+                raise
+        sizes = self._starts[rows + 1] - self._starts[rows]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self._flat[np.repeat(self._starts[rows] - (ends - sizes), sizes) + np.arange(total)]
+        segments = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]).astype(np.int64)
+        borders = np.concatenate([[0], ends])[segments]
+        parity, whole = (_none_in(x[rows], segments) for x in (self._differs, self._broken))
+        for i in [i for i, ok in enumerate(whole) if not ok]:  # parts that do not come back alone may do so together
+            whole[i] = self.decode(ids[borders[i] : borders[i + 1]].tolist()) == self.expected(texts[i])
+        return ids, borders, parity, whole
+
+    def _encode_whole(self, texts):
+        given = [i for i, t in enumerate(texts) if t is not None]
+        got = self._encoded([texts[i] for i in given])
+        want = self.reference.encode([texts[i] for i in given], num_threads=self.threads)
+        back = self.decode_all(got)
+        sizes, parity, whole = np.zeros(len(texts), np.int64), [True] * len(texts), [True] * len(texts)
+        for i, g, w, b in zip(given, got, want, back, strict=True):
+            sizes[i], parity[i], whole[i] = len(g), g == w, b == self.expected(texts[i])
+        return np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)]), parity, whole
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int] | None, bool]]:
-        """(ids, whether Tokenizers and SentencePiece agreed) of each text; ids are SentencePiece's."""
-        if not self.by_segment:
-            given = [i for i, t in enumerate(texts) if t is not None]
-            got = self._batch([self.normalised(texts[i]) for i in given], add_special_tokens=False)
-            want = self.reference.encode([texts[i] for i in given], num_threads=self.threads)
-            out: list = [(None, True)] * len(texts)
-            for i, g, w in zip(given, got, want, strict=True):
-                out[i] = (w, self._ids(g) == w)
-            return out
-        cut = [None if t is None else self._segments(t) for t in texts]
-        if len(self._cached) > self.most:
-            self._cached.clear()
-            self._differs.clear()
-        self._learn(set(itertools.chain.from_iterable(c for c in cut if c)))
-        find, differs = self._cached.__getitem__, self._differs
-        return [(None, True) if c is None else (list(itertools.chain.from_iterable(map(find, c))), not differs or differs.isdisjoint(c)) for c in cut]
+        """(Tokenizers' ids, whether SentencePiece gives the same) of each text."""
+        ids, borders, parity, _ = self.encode_flat(texts)
+        return [(None if t is None else ids[s:e].tolist(), p) for t, s, e, p in zip(texts, borders[:-1].tolist(), borders[1:].tolist(), parity, strict=True)]
+
+    def decode_all(self, many: list[list[int]]) -> list[str]:
+        """The texts of lists of ids; invalid UTF-8 from byte pieces becomes U+FFFD, control pieces nothing."""
+        if self._silent:
+            many = [ids if self._silent.isdisjoint(ids) else [i for i in ids if i not in self._silent] for ids in many]
+        return self.tokenizer.decode_batch(many, skip_special_tokens=False)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``; invalid UTF-8 from byte pieces becomes U+FFFD."""
-        text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
+        return self.decode_all([ids])[0]
 
     def expected(self, text: str) -> str:
         """What decoding the ids of ``text`` has to give."""
-        if self.tokenizer.normalizer is None and not self.spec.trim_spaces:
+        if not self.spec.charsmap and not self.spec.trim_spaces:
             return text.replace(MARKER, " ")
-        n = self.normalised(text).replace(MARKER, " ")
+        n = self.tokenizer.normalizer.normalize_str(text).replace(MARKER, " ")
         return n[1:] if self.spec.dummy_prefix and n else n
 
 
+def _none_in(flags: np.ndarray, borders: np.ndarray) -> list[bool]:
+    """Whether no flag is set in each span between ``borders``."""
+    n = np.concatenate([[0], np.cumsum(flags)])
+    return (n[borders[1:]] == n[borders[:-1]]).tolist()
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
 def _codec(data: bytes, threads: int) -> Codec:
-    """One codec for the task's model; :func:`encode` drops it when the task ends."""
+    """One codec for the worker's model; :func:`encode` drops its segments when the task ends."""
     key = (hash(data), threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -283,17 +361,23 @@ def load_model(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _forget() -> None:
+    for codec in _CODECS.values():
+        codec.forget()
+
+
 def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``doc_id, n_tokens, ids, parity, round_trip`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(doc_ids, texts):
-        codec = _codec(shared.value, threads)
-        out = codec.encode(texts)
-        back = [t is None or codec.decode(ids) == codec.expected(t) for t, (ids, _) in zip(texts, out, strict=True)]
-        return doc_ids, [len(ids or ()) for ids, _ in out], [ids for ids, _ in out], [p for _, p in out], back
+        import pyarrow as pa
+
+        ids, borders, parity, whole = _codec(shared.value, threads).encode_flat(texts)
+        lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
+        return doc_ids, pa.array(np.diff(borders)), lists, parity, whole
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean", _CODECS.clear)
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean", _forget)
 
 
 def decode(encoded: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
@@ -305,7 +389,8 @@ def decode(encoded: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
 
         codec = _codec(shared.value, threads)
         for b in batches:
-            texts = [None if ids is None else codec.decode(ids) for ids in b.column(1).to_pylist()]
+            many = b.column(1).to_pylist()
+            texts = [None if ids is None else t for ids, t in zip(many, codec.decode_all([ids or [] for ids in many]), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

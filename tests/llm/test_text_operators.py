@@ -225,6 +225,55 @@ def test_parity_with_sentencepiece(data, texts):
     assert codec.encode([None]) == [(None, True)]
 
 
+class _Spoiled:
+    """A Tokenizers pipeline whose ids are wrong."""
+
+    def __init__(self, real):
+        self.real = real
+
+    def encode_batch_fast(self, texts, **options):
+        return [type("E", (), {"ids": [5] * len(e.ids)})() for e in self.real.encode_batch_fast(texts, **options)]
+
+    def __getattr__(self, name):
+        return getattr(self.real, name)
+
+
+@pytest.mark.parametrize("data", [None, "unigram"])
+def test_ids_are_those_of_tokenizers(data):
+    model = _unigram_model() if data else open(sentencepiece_codec.MODEL, "rb").read()
+    codec = sentencepiece_codec.Codec(model)
+    codec.tokenizer = _Spoiled(codec.tokenizer)
+    ids, parity = codec.encode(["abab the cat"])[0]
+    assert set(ids) == {5} and not parity
+    assert codec.encode_flat(["abab the cat", None])[3] == [False, True]
+
+
+def _trimming_model():
+    return _unigram_model()[:-4] + b"\x20\x01\x28\x01"
+
+
+def test_models_that_trim_spaces_are_encoded_whole():
+    import sentencepiece
+
+    codec, reference = sentencepiece_codec.Codec(_trimming_model()), sentencepiece.SentencePieceProcessor(model_proto=_trimming_model())
+    assert not codec.by_segment
+    rows = [*(t for t in ODD_TEXTS if "▁" not in t), " a  b ", "the\n abab"]
+    for t, (ids, parity) in zip(rows, codec.encode(rows), strict=True):
+        assert parity and ids == reference.encode(t)
+        assert codec.decode(ids) == codec.expected(t) == " ".join(x for x in t.split(" ") if x)
+    assert codec.encode([None]) == [(None, True)]
+
+
+def test_segments_are_learnt_again_after_the_cache_is_full():
+    data = open(sentencepiece_codec.MODEL, "rb").read()
+    small, large = sentencepiece_codec.Codec(data, cache=10), sentencepiece_codec.Codec(data)
+    rng = random.Random(6)
+    for _ in range(20):
+        rows = [" ".join(rng.choice(["alpha", "beta  two", "日本", "▁x", "y"]) + str(rng.randrange(50)) for _ in range(20)) for _ in range(5)]
+        assert small.encode(rows) == large.encode(rows)
+        assert all(ids == large.reference.encode(t) for t, (ids, _) in zip(rows, small.encode(rows), strict=True))
+
+
 def test_encoded_documents_decode(docs, texts):
     model = sentencepiece_codec.load_model(docs.sparkSession)
     encoded = sentencepiece_codec.encode(docs, model).cache()
