@@ -2,23 +2,29 @@
 
 The gear hash of a place depends on the 16 bytes before it alone, so texts that share a passage
 cut it at the same places, whatever stands before: an insertion moves no later cut.  A place is
-a cut where the hash is the least of the 16 places before and behind it (every 33 bytes on
-average, and seldom much more, unlike cuts at a fixed pattern of bits); the cut moves on to the
-next white space if that is within 64 bytes, so that chunks are whole words.
-
-Chunks are deduplicated by a 64-bit digest.  A chunk is a repeat if a document with a smaller
-``doc_id`` has it, or the same document earlier.  Only a run of at least ``MIN_CHUNKS`` repeats in
-succession, together ``MIN_WORDS`` words or more, is removed: a common phrase, or a collision of
-one digest, removes nothing.  The first occurrence always stays.
-
-A digest goes through the shuffle once for each document that has it, is combined before that,
-and meets its smallest ``doc_id`` by an equi-join that adaptive execution can split; no list of
-a chunk's documents is built.
+a cut where no hash of the 16 places before and behind it is less (every 33 bytes on average, and
+seldom much more, unlike cuts at a fixed pattern of bits; text that repeats itself within 16
+bytes is cut once a period); the cut moves on to the next white space if that is within 64 bytes,
+so that chunks are whole words.
+
+Every two neighbouring chunks have a 64-bit digest, their link.  A link knows its first occurrence:
+the smallest ``doc_id`` that has it, and the place there.  A passage is removed if its links have
+their first occurrences in one other document in the same succession (one link may be
+missing between two that fit, since those hold both of its chunks) and it has ``MIN_WORDS`` words or more.
+A stretch of equal chunks, such as one word again and again, has a link for each power of two up
+to its length besides, and goes in pieces of the longest such power that another document has.
+So every removed span stands, as a whole, in a document with a smaller ``doc_id``; a common phrase, or
+parts that stand in different documents, remove nothing, and first occurrences stay.  With
+``within``, what follows itself in the same succession earlier in its own document goes too.
+
+A link goes through the shuffle once for each document that has it, is combined before that,
+and meets its first occurrence by an equi-join that adaptive execution can split; no list of
+a link's documents is built.
 
 Cases: a null text stays null, an empty one empty.  A row without ``doc_id`` neither takes nor
-gives a passage to others.  Rows with the same ``doc_id`` count as one document for others and
-are cleaned alike.  A text that is all repeats becomes empty; its row stays.  Other columns are
-kept and may have any name not starting with ``__sub_``.
+gives a passage to others.  Rows with the same ``doc_id`` count as one document for
+others, and if their texts differ, the places of any of them may count.  A text of repeats alone
+becomes empty; its row stays.  Other columns are kept and may have any name not starting with ``__sub_``.
 """
 
 from __future__ import annotations
@@ -36,7 +42,6 @@ WINDOW = 16
 REACH = 16
 SNAP = 64
 MIN_WORDS = 15
-MIN_CHUNKS = 2
 _GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 16, size=256, dtype=np.uint16)
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -87,7 +92,7 @@ def chunks(texts: list[str | None]) -> list[tuple[bytes, np.ndarray, np.ndarray]
 
 
 def _minima(h: np.ndarray) -> np.ndarray:
-    """Places whose value is below all of the ``REACH`` before and not above the ``REACH`` behind them."""
+    """Places whose value is not above any of the ``REACH`` before and behind them."""
     n = len(h)
     if n <= 2 * REACH:
         return np.empty(0, dtype=np.int64)
@@ -96,7 +101,7 @@ def _minima(h: np.ndarray) -> np.ndarray:
         low, step = np.minimum(low[: len(low) - step], low[step:]), 2 * step
     middle = h[REACH : n - REACH]
     before, behind = low[: n - 2 * REACH], low[REACH + 1 : n - REACH + 1]
-    return np.flatnonzero((middle < before) & (middle <= behind)) + REACH
+    return np.flatnonzero((middle <= before) & (middle <= behind)) + REACH
 
 
 def digests(raw: bytes, borders: np.ndarray) -> list[int]:
@@ -105,37 +110,74 @@ def digests(raw: bytes, borders: np.ndarray) -> list[int]:
     return [x - (1 << 64) if (x := d(raw[s:e])) >> 63 else x for s, e in zip(b, b[1:], strict=False)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def links(raw: bytes, borders: np.ndarray) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+    """A signed 64-bit digest of each two neighbouring chunks; (first chunk, last + 1, links by power) of stretches."""
+    d = np.array(digests(raw, borders), dtype=np.int64).view(np.uint64)
+    pairs = _mixed((d[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ d[1:]).view(np.int64).tolist()
+    ends = np.flatnonzero(np.concatenate([d[1:] != d[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    stretches = []
+    for k in np.flatnonzero(ends - starts >= 4).tolist():
+        powers = np.arange(2, int(ends[k] - starts[k]).bit_length(), dtype=np.uint64)
+        stretches.append((int(starts[k]), int(ends[k]), _mixed(d[starts[k]] + powers * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist()))
+    return pairs, stretches
+
+
 def _emit(ids, texts):
-    out_d, out_i = [], []
+    out: tuple[list, list, list] = ([], [], [])
     for i, (raw, borders, _) in zip(ids, chunks(texts), strict=True):
-        mine = set(digests(raw, borders))
-        out_d += mine
-        out_i += [i] * len(mine)
-    return out_d, out_i
-
-
-def repeated_runs(found: list[int], words: np.ndarray, elsewhere: set, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHUNKS) -> list[tuple[int, int]]:
-    """(first, last + 1) of each run of chunks to remove."""
-    seen: set[int] = set()
-    runs, start = [], None
-    for k, d in enumerate([*found, None]):
-        repeat = d is not None and (d in elsewhere or d in seen)
-        seen.add(d)
-        if repeat and start is None:
-            start = k
-        elif not repeat and start is not None:
-            if k - start >= min_chunks and words[k] - words[start] >= min_words:
-                runs.append((start, k))
-            start = None
-    return runs
-
-
-def clean(text: str | None, chunked, elsewhere, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHUNKS) -> tuple[str | None, list[dict]]:
+        pairs, stretches = links(raw, borders)
+        first = dict(zip(reversed(pairs), range(len(pairs) - 1, -1, -1), strict=True))
+        for start, _, powers in stretches:
+            for link in powers:
+                first.setdefault(link, start)
+        out[0].extend(first)
+        out[1].extend([i] * len(first))
+        out[2].extend(first.values())
+    return out
+
+
+def repeated_runs(found, words: np.ndarray, elsewhere: dict, min_words: int = MIN_WORDS, within: bool = False) -> list[tuple[int, int]]:
+    """(first chunk, last + 1) of each span to remove, in order and apart; ``elsewhere``: the (document, place) of links."""
+    pairs, stretches = found
+    here: dict[int, int] = {}
+    open_at: dict[tuple, list[int]] = {}  # document and shift of the places: first link, last link
+    done: list = []
+    for k, link in enumerate(pairs) if elsewhere or within else ():
+        sources = [(None, here[link] - k)] if within and link in here else []
+        if link in elsewhere:
+            document, at = elsewhere[link]
+            sources.append((document, at - k))
+        here[link] = k
+        for source in sources:
+            run = open_at.get(source)
+            if run is not None and k - run[1] <= 2:
+                run[1] = k
+            else:
+                open_at[source] = run = [k, k]
+                done.append(run)
+    spans = [(a, z + 2) for a, z in done]
+    for start, end, powers in stretches:
+        size = max((1 << j for j, link in enumerate(powers, 2) if link in elsewhere), default=0)
+        spans += [(max(start, z - size), z) for z in range(end, start, -size)] if size else []
+    out, end = [], 0
+    for a, z in sorted((a, z) for a, z in spans if words[z] - words[a] >= min_words):
+        if z > end:  # what another source has already given is not removed twice
+            out.append((max(a, end), z))
+            end = z
+    return out
+
+
+def clean(text: str | None, chunked, elsewhere: dict, min_words: int = MIN_WORDS, within: bool = False) -> tuple[str | None, list[dict]]:
     """The text without its repeats, and the removed spans in code points."""
     if not text:
         return text, []
     raw, borders, words = chunked
-    runs = repeated_runs(digests(raw, borders), words, elsewhere, min_words, min_chunks)
+    runs = repeated_runs(links(raw, borders), words, elsewhere, min_words, within)
     if not runs:
         return text, []
     kept, spans, at, chars = [], [], 0, 0
@@ -149,17 +191,25 @@ def clean(text: str | None, chunked, elsewhere, min_words: int = MIN_WORDS, min_
     return "".join(kept) + raw[at:].decode("utf-8", "surrogatepass"), spans
 
 
+def _elsewhere(found) -> dict:
+    """The (document, place) of each link, of an Arrow list of structs."""
+    if not found.is_valid or not len(found):
+        return {}
+    link, first, at = (c.to_pylist() for c in found.values.flatten())
+    return dict(zip(link, zip(first, at, strict=True), strict=True))
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("words", T.LongType())]))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHUNKS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``n_chars`` (if there is one) renewed, and ``__sub_removed`` (spans)."""
-    emitted = map_texts(docs.where("doc_id is not null and text is not null"), ["doc_id", "text"], _emit, "digest long, doc_id long")
-    emitted, _ = store(emitted, "substring-chunks")
-    firsts = emitted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first"))
-    firsts, _ = store(firsts, "substring-firsts")  # a join with a stored side can be split where a chunk is in very many documents
-    repeats = emitted.join(firsts.select(F.col("digest").alias("d2"), "first"), F.col("digest") == F.col("d2")).where(F.col("doc_id") > F.col("first"))
-    by_doc = repeats.groupBy(F.col("doc_id").alias("__sub_id")).agg(F.collect_set("digest").alias("__sub_digests"))
+    emitted = map_texts(docs.where("doc_id is not null and text is not null"), ["doc_id", "text"], _emit, "link long, doc_id long, place int")
+    emitted, _ = store(emitted, "substring-links")
+    firsts = emitted.groupBy("link").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("link").alias("l2"), "first", "at")
+    firsts, _ = store(firsts, "substring-firsts")  # a join with a stored side can be split where a link is in very many documents
+    repeats = emitted.select("link", "doc_id").join(firsts, F.col("link") == F.col("l2")).where(F.col("doc_id") > F.col("first"))
+    by_doc = repeats.groupBy(F.col("doc_id").alias("__sub_id")).agg(F.collect_list(F.struct("link", "first", "at")).alias("__sub_links"))
     joined = docs.join(by_doc, docs["doc_id"] == by_doc["__sub_id"], "left").drop("__sub_id")
     schema = T.StructType([*docs.schema.fields, T.StructField("__sub_removed", SPANS)])
     at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -173,7 +223,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHU
                 b = batch.slice(lo, hi - lo)
                 columns = list(b.columns)
                 texts = columns[at_text].to_pylist()
-                done = [clean(t, c, frozenset(d or ()), min_words, min_chunks) for t, c, d in zip(texts, chunks(texts), columns.pop().to_pylist(), strict=True)]
+                done = [clean(t, c, _elsewhere(x), min_words, within) for t, c, x in zip(texts, chunks(texts), columns.pop(), strict=True)]
                 columns[at_text] = pa.array([t for t, _ in done], type=b.schema.field(at_text).type)
                 if at_chars is not None:
                     kind = b.schema.field(at_chars).type
@@ -181,4 +231,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chunks: int = MIN_CHU
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in done], type=spans_type)], names=schema.names)
         give_back()
 
-    return joined.select(*docs.columns, "__sub_digests").mapInArrow(run, schema)
+    return joined.select(*docs.columns, "__sub_links").mapInArrow(run, schema)
