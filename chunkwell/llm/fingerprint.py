@@ -7,9 +7,14 @@ array holds ``P[k] = sum_{i<k} (c_i + 1) b^i mod p``.  Spans ``a[i:i+L]`` and ``
 common extension of two places is found by binary search.  A text made of parts needs no array
 of its own: its prefix values follow from those of the parts.
 
-The likeness of two texts is the share of the longer one that their longest common prefix and,
-behind it, their longest common suffix cover: 1 for equal texts, 0 where both ends differ.
-Two empty texts have likeness 1.
+The fingerprint of a text is its pair of prefix arrays; the result names it by the length and both hashes
+of the whole text.  The likeness of two fingerprints is the share of the longer text that lies in common
+spans in the same order, found by longest common extensions alone: one from the start, one
+from the end, and between them from every anchor that both have.  An anchor is a place whose span of
+``SPAN`` code points has a hash divisible by ``EVERY``, also read off the prefix arrays; those that
+stand once in either text are put into their longest common order.  So an edit costs its own length,
+and besides at most the text up to the next edit if no anchor stands between them.  Equal texts
+have likeness 1, texts without a common span 0, and two empty texts 1.
 
 To meet its successor, every text is dealt once into ranges of ``doc_id`` and sorted there; a
 range's last document gets its successor from a small table of the ranges' first documents.
@@ -22,6 +27,8 @@ own successor.  An empty table gives an empty result.  Only ``doc_id`` and ``tex
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,18 +39,27 @@ from chunkwell.llm.common import slices, store
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_093, 1_500_450_271)
+#: Length of an anchor's span, and how many places there are to an anchor on average.
+SPAN = 20
+EVERY = 8
+INVERSES = tuple(pow(b, -1, p) for p, b in zip(PRIMES, BASES, strict=True))
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
+_INVERSE_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """``b^0 .. b^n`` at least, for each prime; the tables grow by doubling and are kept."""
-    for m, (p, b) in enumerate(zip(PRIMES, BASES, strict=True)):
-        t = _POWERS[m]
+def _grown(tables: list[np.ndarray], bases: tuple, n: int) -> list[np.ndarray]:
+    for m, (p, b) in enumerate(zip(PRIMES, bases, strict=True)):
+        t = tables[m]
         while len(t) <= n:
             step = np.uint64(pow(b, len(t), p))
             t = np.concatenate([t, t * step % np.uint64(p)])
-        _POWERS[m] = t
-    return _POWERS
+        tables[m] = t
+    return tables
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """``b^0 .. b^n`` at least, for each prime; the tables grow by doubling and are kept."""
+    return _grown(_POWERS, BASES, n)
 
 
 class Prefix:
@@ -62,6 +78,21 @@ class Prefix:
     def at(self, k: int) -> tuple[int, int]:
         return int(self.arrays[0][k]), int(self.arrays[1][k])
 
+    @cached_property
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and 62-bit hashes of the anchors."""
+        if self.n < SPAN:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        at, out = np.arange(self.n - SPAN + 1), None
+        for a, p, back in zip(self.arrays, PRIMES, _grown(_INVERSE_POWERS, INVERSES, self.n), strict=True):
+            h = (a[at + SPAN] + np.uint64(p) - a[at]) % np.uint64(p) * back[at] % np.uint64(p)
+            if out is None:
+                chosen = h % np.uint64(EVERY) == 0
+                at, out = at[chosen], h[chosen]
+            else:
+                out = out << np.uint64(31) | h
+        return at, out
+
     @property
     def digest(self) -> str:
         return digest(self)
@@ -82,6 +113,13 @@ class Joined:
         s = self.second.at(k - self.head)
         return tuple((self._base[m] + self._shift[m] * s[m]) % PRIMES[m] for m in (0, 1))
 
+    @property
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the parts; the few that lie across the joint are left out."""
+        (at, h), (more, g) = self.first.anchors, self.second.anchors
+        k, m = np.searchsorted(at, self.head - SPAN, side="right"), np.searchsorted(more, self.n - self.head - SPAN, side="right")
+        return np.concatenate([at[:k], more[:m] + self.head]), np.concatenate([h[:k], g[:m]])
+
     @property
     def digest(self) -> str:
         return digest(self)
@@ -100,29 +138,77 @@ def equal_spans(a, i: int, c, j: int, size: int) -> bool:
     return all((a1[m] - a0[m]) * int(t[m][j]) % PRIMES[m] == (c1[m] - c0[m]) * int(t[m][i]) % PRIMES[m] for m in (0, 1))
 
 
-def extension(a, i: int, c, j: int) -> int:
-    """The longest common extension to the right of ``i`` in ``a`` and ``j`` in ``c``."""
-    lo, hi = 0, min(a.n - i, c.n - j)
+def extension(a, i: int, c, j: int, most: int | None = None) -> int:
+    """The longest common extension to the right of ``i`` in ``a`` and ``j`` in ``c``, ``most`` at most."""
+    lo, hi = 0, min(a.n - i, c.n - j) if most is None else most
     while lo < hi:
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if equal_spans(a, i, c, j, mid) else (lo, mid - 1)
     return lo
 
 
-def common_suffix(a, c, most: int) -> int:
-    """The longest common suffix, ``most`` at most."""
+def extension_left(a, i: int, c, j: int, most: int) -> int:
+    """The longest common extension to the left of ``i`` in ``a`` and ``j`` in ``c``, ``most`` at most."""
     lo, hi = 0, most
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if equal_spans(a, a.n - mid, c, c.n - mid, mid) else (lo, mid - 1)
+        lo, hi = (mid, hi) if equal_spans(a, i - mid, c, j - mid, mid) else (lo, mid - 1)
     return lo
 
 
+def _once(anchors, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and places of the anchors within ``start .. end`` that stand there once."""
+    at, h = anchors
+    lo, hi = np.searchsorted(at, start), np.searchsorted(at, end - SPAN, side="right")
+    found, first, n = np.unique(h[lo:hi], return_index=True, return_counts=True)
+    return found[n == 1], at[lo:hi][first[n == 1]]
+
+
+def _in_order(places: list[int]) -> list[int]:
+    """Indices of a longest increasing subsequence."""
+    ends: list[int] = []
+    tops: list[int] = []
+    before: list[int] = []
+    for k, x in enumerate(places):
+        n = bisect_left(tops, x)
+        before.append(ends[n - 1] if n else -1)
+        ends[n : n + 1], tops[n : n + 1] = [k], [x]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def common_spans(a, c) -> list[tuple[int, int, int]]:
+    """(place in ``a``, place in ``c``, length) of common spans, in order and apart in both."""
+    prefix = extension(a, 0, c, 0)
+    spans = [(0, 0, prefix)] if prefix else []
+    if prefix == min(a.n, c.n):
+        return spans
+    suffix = extension_left(a, a.n, c, c.n, min(a.n, c.n) - prefix)
+    a_end, c_end = a.n - suffix, c.n - suffix
+    (h, at), (g, other) = _once(a.anchors, prefix, a_end), _once(c.anchors, prefix, c_end)
+    _, k, m = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+    order = np.argsort(at[k])
+    left, right = at[k][order].tolist(), other[m][order].tolist()
+    i = j = prefix
+    for n in _in_order(right):
+        x, y = left[n], right[n]
+        if x < i or y < j:
+            continue
+        size = extension(a, x, c, y, min(a_end - x, c_end - y))
+        back = extension_left(a, x, c, y, min(x - i, y - j))
+        if size:
+            spans.append((x - back, y - back, back + size))
+            i, j = x + size, y + size
+    return [*spans, (a_end, c_end, suffix)] if suffix else spans
+
+
 def likeness(a, c) -> float:
     if a.n == c.n and a.at(a.n) == c.at(c.n):
         return 1.0
-    prefix = extension(a, 0, c, 0)
-    return (prefix + common_suffix(a, c, min(a.n, c.n) - prefix)) / max(a.n, c.n)
+    return sum(n for _, _, n in common_spans(a, c)) / max(a.n, c.n)
 
 
 def compare(text: str, own: Prefix, following: str, other: Prefix) -> tuple:
