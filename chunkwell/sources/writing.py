@@ -131,10 +131,8 @@ class RecordWriter:
             return L.SIMPLE, len(sizes), len(values), simple.encode(sizes, values, o.codec, o.level, o.window_log)
         from chunkwell.sources import transposed
 
-        ends = np.cumsum(sizes).tolist()
-        raw = bytes(values)
-        each = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return L.TRANSPOSED, len(sizes), len(values), transposed.encode(each, o.codec, o.level, o.window_log, o.bucket_size)
+        records = simple.binary_array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), bytes(values))
+        return L.TRANSPOSED, len(sizes), len(values), transposed.encode(records, o.codec, o.level, o.window_log, o.bucket_size)
 
     def _frame(self, chunks) -> None:
         framed, self.pos = L.frame_chunks(self.pos, chunks)

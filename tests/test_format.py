@@ -16,6 +16,7 @@ from chunkwell.functions import layout as L
 from chunkwell.functions import varint as V
 from chunkwell.functions.errors import MalformedData, RecordFileError, WriterClosed
 from chunkwell.functions.highway import hash_many, highway_hash_64
+from chunkwell.operators.projection import Field, Projection
 from chunkwell.sources import transposed
 from chunkwell.sources.chunks import Input, Region, records, walk
 from chunkwell.sources.writing import RecordWriter, WriteOptions, pack, write_bytes
@@ -204,6 +205,72 @@ def test_transposed_round_trip_of_random_messages():
         assert transposed.decode(data, len(rows), sum(map(len, rows))).to_pylist() == rows
 
 
+def test_projection_while_decoding_is_projection_of_records():
+    rng = random.Random(9)
+    for _ in range(200):
+        rows = [random_message(rng) if rng.random() < 0.8 else os.urandom(rng.randrange(12)) for _ in range(rng.randrange(1, 20))]
+        data = transposed.encode(rows, rng.choice(list(C.NAMES.values())), bucket_size=rng.choice([None, 1, 100]))
+        p = Projection(*[Field(tuple(rng.randrange(1, 40) for _ in range(rng.choice([1, 1, 2, 3]))), rng.random() < 0.3) for _ in range(rng.randrange(25))])
+        assert transposed.decode(data, len(rows), sum(map(len, rows)), p).to_pylist() == [p.apply(r) for r in rows]
+
+
+def _wide(n=400, fields=20):
+    return [b"".join(V.encode_u64(k << 3) + V.encode_u64(1000 + i * k) for k in range(1, fields + 1)) for i in range(n)]
+
+
+def test_unneeded_buckets_stay_packed(monkeypatch):
+    rows, opened = _wide(), []
+    data = transposed.encode(rows, C.ZSTD, bucket_size=1)
+    real = transposed._Buffers.bucket
+    monkeypatch.setattr(transposed._Buffers, "bucket", lambda self, k: (opened.append(k), real(self, k))[1])
+    size = sum(map(len, rows))
+    assert transposed.decode(data, len(rows), size).to_pylist() == rows and len(set(opened)) == 20
+    for text, many in (("3", 1), ("3;7", 2), ("3?", 0), ("", 0), ("3?;9", 1), ("99", 0)):
+        opened.clear()
+        p = Projection.parse(text)
+        assert transposed.decode(data, len(rows), size, p).to_pylist() == [p.apply(r) for r in rows]
+        assert len(set(opened)) == many
+
+
+def test_damage_in_an_unneeded_bucket_is_not_read():
+    rows = _wide()
+    data = transposed.encode(rows, C.ZSTD, bucket_size=1)
+    b = transposed._Buffers
+    seen = []
+    real = b.__init__
+    try:
+        b.__init__ = lambda self, *a: (real(self, *a), seen.append(self))[0]
+        transposed.decode(data, len(rows), sum(map(len, rows)))
+    finally:
+        b.__init__ = real
+    at = seen[0].spans[-1][0] + 3
+    bad = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+    with pytest.raises(MalformedData):
+        transposed.decode(bad, len(rows), sum(map(len, rows)))
+    last = {i for i, (k, _) in enumerate(seen[0].places) if k == len(seen[0].spans) - 1}
+    fine = [n for n in range(1, 21) if transposed.decode(data, len(rows), sum(map(len, rows)), Projection.parse(str(n))) is not None]
+    good = 0
+    for n in fine:
+        try:
+            good += transposed.decode(bad, len(rows), sum(map(len, rows)), Projection.parse(str(n))).to_pylist() == [Projection.parse(str(n)).apply(r) for r in rows]
+        except MalformedData:
+            pass
+    assert len(last) == 1 and good == 19
+
+
+def test_submessages_and_groups_of_one_number():
+    inner = b"\x08\x96\x01\x12\x02hi"
+    rows = [b"\x0a" + bytes([len(inner)]) + inner + b"\x0b" + inner + b"\x0c", b"\x0b\x0b\x08\xac\x02\x0c\x0c", b""]
+    data = transposed.encode(rows)
+    assert transposed.decode(data, 3, sum(map(len, rows))).to_pylist() == rows
+
+
+def test_implicit_loops_are_rejected():
+    with pytest.raises(MalformedData):
+        transposed._reject_loops([1, 2, 0], [True, True, True])
+    transposed._reject_loops([1, 2, 0], [True, True, False])
+
+
 def test_transposed_damage_is_reported():
     rng = random.Random(7)
     rows = [random_message(rng) for _ in range(10)]
