@@ -281,25 +281,50 @@ def tail_stream(spark, sf_dir):
         _write(part.select("record"), folder, chunkSize=65_536)
         query = tail(spark, folder).select("_path", "pos").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
         query.start().awaitTermination()
-    return spark.read.parquet(out).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))
 
 
-def skipped_regions(spark, sf_dir):
-    """Rows only: what a recovering read of a damaged file skips."""
+def _flip(path: str, at: int) -> None:
+    """Damage one byte of the only file of a small folder."""
     from chunkwell.sources import storage
 
-    path = _numbered(spark, sf_dir, "regions")
     name, size = storage.files_of(path)[0]
     with storage.open_file(name) as f:
         raw = bytearray(f.read(size))
-    raw[200] ^= 1
+    raw[at] ^= 1
     storage.write_file(name, [bytes(raw)])
+
+
+def damaged_tail(spark, sf_dir):
+    """A stream over a file with a damaged chunk header delivers what a batch read does."""
+    from chunkwell.streaming.tail import tail
+
+    path, state, out = _numbered(spark, sf_dir, "damaged-tail"), scratch(spark, "damaged-state"), scratch(spark, "damaged-out")
+    _flip(path, 64 + 3)
+    tail(spark, path, mode="DROPMALFORMED").select("pos", "record").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    streamed, read = spark.read.parquet(out), _read(spark, path, mode="DROPMALFORMED").select("pos", "record")
+    total = _table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"))
+    both = streamed.withColumn("s", F.lit(1)).unionByName(read.withColumn("s", F.lit(-1))).groupBy("pos", "record").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = both.agg(F.coalesce(F.sum(F.when(F.col("s") != 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("differ"), F.count(F.lit(1)).alias("rows"))
+    return sums.crossJoin(total).select("differ", (F.col("rows") < F.col("total")).alias("lost_some"))
+
+
+def skipped_regions(spark, sf_dir):
+    """What a recovering read of a file with a damaged first chunk skips."""
+    path = _numbered(spark, sf_dir, "regions")
+    _flip(path, 200)
     return index.skipped_regions(spark, path).select("begin", "end", "length")
 
 
 def validate_files(spark, sf_dir):
-    path = _write(_lineitem(spark, sf_dir), scratch(spark, "validate"), compression="zstd", chunkSize=262_144)
-    return index.validate(spark, path).groupBy("ok").agg((F.count(F.lit(1)) > 0).alias("some"))
+    """Chunks by kind and soundness, of a sound file and of one whose second chunk of records is damaged."""
+    parts = []
+    for damaged in (False, True):
+        path = _numbered(spark, sf_dir, f"validate-{damaged}")
+        if damaged:
+            _flip(path, 64 + 40 + 2307 + 60)
+        parts.append(index.validate(spark, path).select(F.lit(damaged).alias("damaged"), "chunk_type", "ok"))
+    return parts[0].unionByName(parts[1]).groupBy("damaged", "chunk_type", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transposed_roundtrip(spark, sf_dir):
@@ -335,6 +360,64 @@ def file_metadata(spark, sf_dir):
     return index.metadata(spark, path).select("file_comment", "record_type_name", "num_records")
 
 
+def damaged_metadata(spark, sf_dir):
+    """Metadata of a sound file and of one with a damaged byte in it, read with recovery."""
+    import base64
+
+    from chunkwell.functions.messages import encode_one
+
+    raw = encode_one({"comment": "regions", "n": 5}, (Spec("comment", 1, "string"), Spec("n", 5, "int64")))
+    rows = _table(spark, sf_dir, "region").select(F.encode("r_name", "UTF-8").alias("record")).coalesce(1)
+    parts = []
+    for damaged in (False, True):
+        path = _write(rows, scratch(spark, "metadata"), metadata=base64.b64encode(raw).decode())
+        if damaged:
+            chunk = index.chunk_index(spark, path).where("chunk_type = 'm'").first()
+            _flip(path, chunk["chunk_begin"] + 40 + chunk["data_size"] // 2)
+        parts.append(index.metadata(spark, path, recover=True).select(F.lit(damaged).alias("damaged"), "file_comment", "num_records"))
+    return parts[0].unionByName(parts[1])
+
+
+def written_options(spark, sf_dir):
+    """Levels, windows, bucket fractions and paddings change the bytes of files and never the records."""
+    spec = (Spec("n_nationkey", 1, "uint64"), Spec("n_name", 2, "string"))
+    rows = _table(spark, sf_dir, "nation").select(M.encode_message(spec, F.col("n_nationkey").cast("long"), "n_name").alias("record"))
+    folder = scratch(spark, "options")
+    for options in (
+        {"compression": "zstd", "compressionLevel": 19}, {"compression": "brotli", "compressionLevel": 1}, {"compression": "zstd", "windowLog": 12},
+        {"compression": "zstd", "transpose": True, "bucketFraction": 0.1}, {"initialPadding": 65_536}, {"finalPadding": 65_536},
+    ):
+        _write(rows, folder, **options)
+    m = _read(spark, folder).select(M.decode_message(F.col("record"), spec).alias("m")).select("m.*")
+    return m.groupBy("n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def seek_position(spark, sf_dir):
+    """One sorted file from a position (chunk and index) on, and the positions' text form and order."""
+    path = _numbered(spark, sf_dir, "position")
+    at = index.chunk_index(spark, path).where("chunk_type = 'r'").agg(F.max("chunk_begin")).first()[0]
+    position = P.Position.parse(str(P.Position(at, 3)))
+    return P.seek(spark, path, position).select(F.conv(F.hex("record"), 16, 10).cast("long").alias("event_id"))
+
+
+def search_absent(spark, sf_dir):
+    """A search for what no file holds finds nothing."""
+    from chunkwell.functions.messages import fields_of
+
+    def compare(record: bytes) -> int:
+        key = next((f.value for f in fields_of(record) if f.number == 1), 0)
+        return -1 if key <= 500 else 1
+
+    return _event_of(P.search(spark, _sorted_events(spark, sf_dir, "absent"), compare)).select("m.event_id")
+
+
+def permissive_messages(spark, sf_dir):
+    """Records with an overlong varint are messages for the permissive reading alone."""
+    overlong = F.concat(F.unhex(F.lit("0880")), F.unhex(F.lit("00"))).alias("record")
+    t = _table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.unhex(F.lit("0801"))).otherwise(overlong).alias("record"))
+    return t.groupBy(M.is_proto(F.col("record")).alias("strict"), M.is_parseable(F.col("record")).alias("permissive")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def mixed_codecs(spark, sf_dir):
     """One folder of files of every codec and both layouts reads as one table."""
     rows = _table(spark, sf_dir, "nation").select(M.encode_message((Spec("n_nationkey", 1, "uint64"), Spec("n_name", 2, "string")), F.col("n_nationkey").cast("long"), "n_name").alias("record"))
@@ -352,7 +435,7 @@ QUERIES = {
     for f in (
         message_roundtrip, record_count, scan_count, extract_varint_column, extract_repeated, project_fields, project_nested, project_existence_only, filter_fields_file, search_key, seek_tail,
         seek_numeric_tail, seek_back_pairs, chunk_packing, varint_length, varint_hex, zigzag, field_tags, field_iterator, handlers_fold, nonproto_fallback, concat_files, recovery_skip, tail_stream, skipped_regions, validate_files,
-        transposed_roundtrip, project_transposed_file, project_simple_file, file_metadata, mixed_codecs,
+        transposed_roundtrip, project_transposed_file, project_simple_file, file_metadata, mixed_codecs, damaged_tail, damaged_metadata, written_options, seek_position, search_absent, permissive_messages,
     )
 }
 
@@ -387,5 +470,17 @@ ORACLE_SQL = {
     "project_simple_file": "SELECT l_orderkey, l_partkey FROM lineitem",
     "file_metadata": "SELECT 'regions' AS file_comment, 'tpc.Region' AS record_type_name, CAST(5 AS BIGINT) AS num_records",
     "mixed_codecs": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(8 AS BIGINT) AS n FROM nation",
-    "validate_files": "SELECT true AS ok, true AS some",
+    "validate_files": """
+        WITH c AS (SELECT count(*) AS chunks FROM (SELECT n // 256 FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n FROM events) t GROUP BY 1) u),
+        d AS (SELECT false AS damaged UNION ALL SELECT true)
+        SELECT damaged, 's' AS chunk_type, true AS ok, CAST(1 AS BIGINT) AS n FROM d
+        UNION ALL SELECT damaged, 'r', true, CAST(chunks - CAST(damaged AS INTEGER) AS BIGINT) FROM c, d
+        UNION ALL SELECT true, 'r', false, CAST(1 AS BIGINT)""",
+    "skipped_regions": "SELECT CAST(64 AS BIGINT) AS begin, CAST(64 + 40 + 3 + 256 * 9 AS BIGINT) AS \"end\", CAST(40 + 3 + 256 * 9 AS BIGINT) AS length",
+    "damaged_tail": "SELECT CAST(0 AS BIGINT) AS differ, true AS lost_some",
+    "damaged_metadata": "SELECT false AS damaged, 'regions' AS file_comment, CAST(5 AS BIGINT) AS num_records UNION ALL SELECT true, NULL, NULL",
+    "written_options": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(6 AS BIGINT) AS n FROM nation",
+    "seek_position": f"SELECT event_id FROM {_NUMBERED} WHERE n >= (((SELECT count(*) FROM events) - 1) // 256) * 256 + 3",
+    "search_absent": "SELECT event_id FROM events WHERE false",
+    "permissive_messages": "SELECT n_nationkey % 2 = 0 AS strict, true AS permissive, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1",
 }

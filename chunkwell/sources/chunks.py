@@ -168,10 +168,44 @@ def decode_records(chunk: Chunk, data: bytes, projection=None) -> pa.Array | Non
     return None
 
 
-def walk(source: Input, begin: int = 0, stop: int | None = None, recover: bool = False, regions: list[Region] | None = None) -> Iterator[tuple[Chunk, bool]]:
+def complete_end(source: Input, known: int = 0) -> int:
+    """Where the last complete chunk of a file that may still grow ends, or damage behind which nothing is sound yet.
+
+    ``known`` is an earlier such end.  The walk begins at the last sound block header, whose chunk
+    begins or ends near it.
+    """
+    at, p = known, L.block_start(max(0, source.size - 1))
+    while p > known:
+        box = source.at(p, L.BLOCK_HEADER)
+        try:
+            if len(box) == L.BLOCK_HEADER:
+                previous, _ = L.read_block_header(box)
+                if previous <= p - known:
+                    at = p - previous if previous else p
+                    break
+        except HashMismatch:
+            pass
+        p -= L.BLOCK
+    while at < source.size:
+        try:
+            chunk = source.chunk_at(at)
+            if chunk is None or chunk.end > source.size:
+                break
+            at = chunk.end
+        except MalformedData as e:
+            # an incomplete chunk is waited for; behind damage, the next sound block header leads on
+            after = source.resync(at) if isinstance(e, HashMismatch) else source.size
+            if after >= source.size:
+                break
+            at = after
+    return at
+
+
+def walk(source: Input, begin: int = 0, stop: int | None = None, recover: bool = False, regions: list[Region] | None = None, exact: bool = False) -> Iterator[tuple[Chunk, bool]]:
     """(chunk, whether something was skipped just before it) of chunks that begin in ``[begin, stop)``.
 
-    With ``recover``, damage of headers is skipped and noted in ``regions``; else it is raised.
+    With ``recover``, damage of headers is skipped and noted in ``regions``; else it is raised.  A chunk is
+    known to begin at ``begin`` if that is ``exact``; else block headers lead to the first one behind it.
     """
     stop = source.size if stop is None else stop
     if source.size and begin == 0 and source.size < L.FIRST_CHUNK:
@@ -180,7 +214,7 @@ def walk(source: Input, begin: int = 0, stop: int | None = None, recover: bool =
             raise problem
         _note(regions, Region(0, source.size, str(problem)))
         return
-    p, gap = source.first_chunk_from(begin), False
+    p, gap = begin if exact else source.first_chunk_from(begin), False
     while p < min(stop, source.size):
         try:
             chunk = source.chunk_at(p)
@@ -210,8 +244,11 @@ def _note(regions, region: Region) -> None:
 BATCH_BYTES = 16 << 20
 
 
-def records(source: Input, begin: int = 0, stop: int | None = None, recover: bool = False, regions: list[Region] | None = None, verify: bool = True, projection=None, want=lambda chunk: True) -> Iterator[tuple[Chunk, pa.Array, bool]]:
-    """(chunk, its records, after a gap) of the chunks with records; data hashes are checked batch by batch."""
+def records(source: Input, begin: int = 0, stop: int | None = None, recover: bool = False, regions: list[Region] | None = None, verify: bool = True, projection=None, want=lambda chunk: True, exact: bool = False) -> Iterator[tuple[Chunk, pa.Array, bool]]:
+    """(chunk, its records, after a gap) of the chunks with records; data hashes are checked batch by batch.
+
+    ``projection`` may be a function of the chunk, which changes it between chunks.
+    """
     held: list[tuple[Chunk, bytes | Exception, bool]] = []
     total, gap = 0, False
 
@@ -226,7 +263,7 @@ def records(source: Input, begin: int = 0, stop: int | None = None, recover: boo
                     raise data
                 if verify and hashes[i] != chunk.header.data_hash:
                     raise HashMismatch(f"data hash of the chunk at {chunk.begin}")
-                found = decode_records(chunk, data, projection)
+                found = decode_records(chunk, data, projection(chunk) if callable(projection) else projection)
             except MalformedData as e:
                 if not recover:
                     raise
@@ -237,7 +274,7 @@ def records(source: Input, begin: int = 0, stop: int | None = None, recover: boo
                 yield chunk, found, gap
                 gap = False
 
-    for chunk, jump in walk(source, begin, stop, recover, regions):
+    for chunk, jump in walk(source, begin, stop, recover, regions, exact):
         if chunk.header.kind in b"rt" and not want(chunk):
             continue
         try:

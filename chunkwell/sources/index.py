@@ -1,6 +1,7 @@
 """Tables about record files: chunks, counts, validation, damage, metadata.
 
-Files are dealt to tasks by path; each task walks the headers of its files.
+Files are dealt to tasks in byte ranges of ``SPLIT_BYTES``; a task finds the first chunk of its range
+by the block header there, so the driver lists files and no file is walked by one task alone.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ CHUNKS = "path string, chunk_begin bigint, chunk_end bigint, chunk_type string,
 REGIONS = "path string, begin bigint, end bigint, length bigint, message string"
 VALID = "path string, chunk_begin bigint, chunk_type string, ok boolean, error string"
 METADATA = "path string, serialized binary, file_comment string, record_type_name string, record_writer_options string, num_records bigint, file_descriptors array<binary>"
+SPLIT_BYTES = 64 << 20
+_TASKS = 4096
 
 
-def _by_file(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
-    """``rows_of(path, size)`` for each file, one task a file."""
+def _by_range(spark: SparkSession, path: str, rows_of, schema: str, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
+    """``rows_of(path, size, begin, stop)`` for each range of each file; whole files if ``split_bytes`` is None."""
     files = storage.files_of(path)
-    frame = spark.createDataFrame(files or [("", 0)], "path string, size bigint").repartition(max(1, len(files)))
+    ranges = [(p, n, b, n if split_bytes is None else min(n, b + split_bytes)) for p, n in files for b in (range(0, max(1, n), split_bytes) if split_bytes else (0,))]
+    frame = spark.createDataFrame(ranges or [("", 0, 0, 0)], "path string, size bigint, begin bigint, stop bigint").repartition(max(1, min(len(ranges), _TASKS)))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -28,9 +32,9 @@ def _by_file(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, n, b, z in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held = []
-                for row in rows_of(p, n) if p else ():
+                for row in rows_of(p, n, b, z) if p else ():
                     held.append(row)
                     if len(held) == 4096:
                         yield _batch(held, arrow)
@@ -45,28 +49,28 @@ def _batch(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def chunk_index(spark: SparkSession, path: str, recover: bool = False) -> DataFrame:
+def chunk_index(spark: SparkSession, path: str, recover: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per chunk, from headers alone."""
 
-    def rows(p, n):
+    def rows(p, n, begin, stop):
         from chunkwell.sources.chunks import Input, walk
 
         with storage.open_file(p) as f:
-            for c, _ in walk(Input(f, n), recover=recover):
+            for c, _ in walk(Input(f, n), begin, stop, recover=recover):
                 yield p, c.begin, c.end, chr(c.header.kind), c.header.data_size, c.header.records, c.header.decoded_size
 
-    return _by_file(spark, path, rows, CHUNKS)
+    return _by_range(spark, path, rows, CHUNKS, split_bytes)
 
 
-def record_count(spark: SparkSession, path: str) -> DataFrame:
+def record_count(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``num_records`` of all files by their headers; chunks whose data is damaged count too."""
-    return chunk_index(spark, path).where(F.col("chunk_type").isin("r", "t")).agg(F.coalesce(F.sum("num_records"), F.lit(0)).alias("num_records"))
+    return chunk_index(spark, path, split_bytes=split_bytes).where(F.col("chunk_type").isin("r", "t")).agg(F.coalesce(F.sum("num_records"), F.lit(0)).alias("num_records"))
 
 
-def validate(spark: SparkSession, path: str) -> DataFrame:
-    """One row per chunk: all hashes are checked, nothing is decompressed; a file's rows end at its first damaged header."""
+def validate(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """One row per chunk and per region without a sound header: all hashes are checked, nothing is decompressed."""
 
-    def rows(p, n):
+    def rows(p, n, begin, stop):
         from chunkwell.functions.errors import MalformedData
         from chunkwell.functions.highway import highway_hash_64
         from chunkwell.sources.chunks import Input, check_special, walk
@@ -74,61 +78,90 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
         if n == 0:
             yield p, 0, None, False, "an empty file"
             return
-        at = 0
-        try:
-            with storage.open_file(p) as f:
-                source = Input(f, n)
-                for c, _ in walk(source):
-                    at, kind = c.begin, chr(c.header.kind)
-                    try:
-                        data = source.data_of(c)
+        regions: list = []
+        with storage.open_file(p) as f:
+            source = Input(f, n)
+            for c, _ in walk(source, begin, stop, recover=True, regions=regions):
+                kind = chr(c.header.kind)
+                try:
+                    data = source.data_of(c)
+                    ok = highway_hash_64(data) == c.header.data_hash
+                    if ok:
                         check_special(c, data)
-                        ok = highway_hash_64(data) == c.header.data_hash
-                        yield p, at, kind, ok, None if ok else "data hash"
-                    except MalformedData as e:
-                        yield p, at, kind, False, str(e)
-                    at = c.end
-        except MalformedData as e:
-            yield p, at, None, False, str(e)
+                    yield p, c.begin, kind, ok, None if ok else "data hash"
+                except MalformedData as e:
+                    yield p, c.begin, kind, False, str(e)
+        for r in regions:
+            yield p, r.begin, None, False, r.message
 
-    return _by_file(spark, path, rows, VALID)
+    return _by_range(spark, path, rows, VALID, split_bytes)
 
 
-def skipped_regions(spark: SparkSession, path: str, projection: str | None = None) -> DataFrame:
-    """What a recovering read skips, by file and position."""
+def skipped_regions(spark: SparkSession, path: str, projection: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """What a recovering read, with a ``projection`` if there is one, skips: by file and position."""
 
-    def rows(p, n):
+    def rows(p, n, begin, stop):
+        from chunkwell.operators.projection import Projection
         from chunkwell.sources.chunks import Input, records
 
         regions: list = []
         with storage.open_file(p) as f:
-            for _ in records(Input(f, n), recover=True, regions=regions):
+            for _ in records(Input(f, n), begin, stop, recover=True, regions=regions, projection=Projection.parse(projection) if projection is not None else None):
                 pass
         for r in sorted(regions, key=lambda r: r.begin):
             yield p, r.begin, r.end, r.length, r.message
 
-    return _by_file(spark, path, rows, REGIONS)
+    return _by_range(spark, path, rows, REGIONS, split_bytes)
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata of each file, as it stands and by field; nulls where there is none."""
+def last_skipped_region(spark: SparkSession, path: str) -> DataFrame:
+    """The most recent region of each file that a recovering read skips."""
+    rows = skipped_regions(spark, path)
+    last = rows.groupBy("path").agg(F.max_by(F.struct("begin", "end", "length", "message"), "begin").alias("r"))
+    return last.select("path", "r.*")
 
-    def rows(p, n):
-        from chunkwell.functions.messages import fields_of
-        from chunkwell.sources import transposed
-        from chunkwell.sources.chunks import Input, walk
 
-        raw = None
-        with storage.open_file(p) as f:
-            source = Input(f, n)
-            for c, _ in walk(source):
-                if chr(c.header.kind) == "m":
-                    found = transposed.decode(source.data_of(c), 1, c.header.decoded_size)
-                    raw = found[0].as_py()
-                if chr(c.header.kind) != "s":
-                    break
-        named = {f.number: f.value for f in fields_of(raw)} if raw else {}
-        text = lambda k: named[k].decode("utf-8", "replace") if k in named else None
-        yield p, raw, text(1), text(2), text(4), named.get(5), [f.value for f in fields_of(raw) if f.number == 3] if raw else None
-
-    return _by_file(spark, path, rows, METADATA)
+def metadata(spark: SparkSession, path: str, recover: bool = False) -> DataFrame:
+    """The metadata of each file, as it stands and by field; nulls where there is none.
+
+    Damage of the metadata is an error, or leaves nulls with ``recover``.
+    """
+
+    def rows(p, n, begin, stop):
+        from chunkwell.functions.errors import MalformedData
+        from chunkwell.functions.messages import MessageError, fields_of
+
+        try:
+            with storage.open_file(p) as f:
+                raw = serialized_metadata(f, n)
+            named = [(f.number, f.value) for f in fields_of(raw)] if raw else []
+        except (MalformedData, MessageError):
+            if not recover:
+                raise
+            raw, named = None, []
+        by = dict(named)
+        text = lambda k: by[k].decode("utf-8", "replace") if k in by else None
+        yield p, raw, text(1), text(2), text(4), by.get(5), [v for k, v in named if k == 3] if raw else None
+
+    return _by_range(spark, path, rows, METADATA, None)
+
+
+def serialized_metadata(source, size: int) -> bytes | None:
+    """The metadata record of a file, its hash checked; None if there is none."""
+    from chunkwell.functions.errors import HashMismatch
+    from chunkwell.functions.highway import highway_hash_64
+    from chunkwell.sources import transposed
+    from chunkwell.sources.chunks import Input, check_special, walk
+
+    file = Input(source, size)
+    for c, _ in walk(file):
+        kind = chr(c.header.kind)
+        if kind == "m":
+            data = file.data_of(c)
+            if highway_hash_64(data) != c.header.data_hash:
+                raise HashMismatch(f"data hash of the metadata at {c.begin}")
+            check_special(c, data)
+            return transposed.decode(data, 1, c.header.decoded_size)[0].as_py()
+        if kind != "s":
+            break
+    return None

@@ -15,7 +15,7 @@ headers), ``payload`` (records, none), ``projection`` (such as ``1;2.3;4?``), ``
 chunks and ranges outside are neither read nor decoded; records of a chunk on the edge stay in, so
 filter by the columns too.  (Filters are not pushed down by themselves: Spark keeps the pushed ones
 with the relation, so a frame that is filtered once and read again without would lose rows.)
-Write options: ``compression``, ``compressionLevel``, ``windowLog``, ``chunkSize``,
+Writing takes one binary column, the records.  Write options: ``compression``, ``compressionLevel``, ``windowLog``, ``chunkSize``,
 ``transpose``, ``bucketFraction``, ``initialPadding``, ``finalPadding``, ``metadata`` (base64).
 """
 
@@ -55,6 +55,8 @@ class Split(InputPartition):
     size: int
     begin: int
     stop: int
+    #: Whether a chunk begins at ``begin``; else the first one behind it is looked for.
+    exact: bool = False
 
     def __post_init__(self):
         self.value = f"{self.path}:{self.begin}"
@@ -109,7 +111,7 @@ def read_split(split: Split, options: ReadOptions):
     regions: list = []
     with storage.open_file(split.path) as f:
         source = Input(f, split.size)
-        for chunk, found, gap in records(source, split.begin, split.stop, options.recover, regions, options.verify, projection, want):
+        for chunk, found, gap in records(source, split.begin, split.stop, options.recover, regions, options.verify, projection, want, split.exact):
             if options.most_regions is not None and len(regions) > options.most_regions:
                 raise ValueError(f"more than {options.most_regions} skipped regions: {regions[-1]}")
             if projection is not None and options.project_simple and chunk.header.kind == ord("r"):
@@ -139,50 +141,38 @@ class RecordFileReader(DataSourceReader):
 
 
 class RecordFileStreamReader(DataSourceStreamReader):
-    """Tails a folder or file: each micro-batch reads the whole chunks added since the last."""
+    """Tails a folder or file: each micro-batch reads the whole chunks added since the last.
+
+    The driver looks for the last complete chunk of a file from its last block header on, so a
+    file costs it a few small reads however much was added.  Damage does not hold a stream up: it lies
+    within the range of a micro-batch, which skips it or fails by the read options.
+    """
 
     def __init__(self, path: str, options):
         self.path, self.options = path, ReadOptions.of(options)
+        self._known: dict[str, tuple[int, int]] = {}  # size and end of each file when last looked at
 
     def initialOffset(self):
         return {"files": "{}"}
 
     def latestOffset(self):
-        """Size of each file up to its last complete chunk."""
-        from chunkwell.sources.chunks import Input
+        """The end of the last complete chunk of each file."""
+        from chunkwell.sources.chunks import Input, complete_end
 
-        known = getattr(self, "_known", {})
-        ends = {}
         for path, size in storage.files_of(self.path):
-            at = known.get(path, 0)
-            with storage.open_file(path) as f:
-                source = Input(f, size)
-                while at < size:
-                    try:
-                        chunk = source.chunk_at(at)
-                    except Exception:  # noqa: BLE001  the chunk is not complete yet
-                        break
-                    if chunk is None or chunk.end > size:
-                        break
-                    at = chunk.end
-            ends[path] = at
-        self._known = ends
-        return {"files": json.dumps(ends, sort_keys=True)}
+            known = self._known.get(path, (0, 0))
+            if size != known[0]:
+                with storage.open_file(path) as f:
+                    self._known[path] = size, complete_end(Input(f, size), known[1])
+        return {"files": json.dumps({path: end for path, (_, end) in self._known.items()}, sort_keys=True)}
 
     def partitions(self, start, end):
         old, new = json.loads(start["files"]), json.loads(end["files"])
-        return [Split(p, e, old.get(p, 0), e) for p, e in sorted(new.items()) if e > old.get(p, 0)]
+        step = self.options.split_bytes
+        return [Split(p, e, b, min(e, b + step), b == old.get(p, 0)) for p, e in sorted(new.items()) for b in range(old.get(p, 0), e, step)]
 
     def read(self, partition):
-        from chunkwell.sources.chunks import Input, records
-
-        # a micro-batch begins at a chunk, not at a block
-        with storage.open_file(partition.path) as f:
-            source = Input(f, partition.size)
-            source.first_chunk_from = lambda pos: pos  # type: ignore[method-assign]
-            for chunk, found, gap in records(source, partition.begin, partition.stop, self.options.recover, None, self.options.verify):
-                for i, r in enumerate(found.to_pylist()):
-                    yield (partition.path, chunk.begin, i, chunk.begin + i, gap and i == 0, r)
+        yield from read_split(partition, self.options)
 
     def commit(self, end):
         pass
@@ -202,7 +192,8 @@ class RecordFileWriter(DataSourceArrowWriter):
         from chunkwell.sources.writing import WriteOptions
 
         self.path, self.overwrite = path.rstrip("/"), overwrite
-        self.at = schema.fieldNames().index("record") if "record" in schema.fieldNames() else next(i for i, f in enumerate(schema.fields) if f.dataType.typeName() == "binary")
+        if len(schema.fields) != 1 or schema.fields[0].dataType.typeName() != "binary":
+            raise ValueError(f"a record file takes one binary column, not {schema.simpleString()}: select the records before writing")
         get = options.get
         number = lambda k, d: int(get(k)) if get(k) is not None else d
         self.write_options = WriteOptions(
@@ -224,7 +215,7 @@ class RecordFileWriter(DataSourceArrowWriter):
 
         def parts():
             for batch in iterator:
-                w.write(batch.column(self.at))
+                w.write(batch.column(0))
                 yield from w.take()
             yield from w.close()
 
