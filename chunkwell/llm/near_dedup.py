@@ -9,15 +9,18 @@ are candidates; they are linked if the edit distance of their words is at most
 
 Classes are the connected components of the links, as if all members of a bucket of equal sketches
 were compared.  First every document is compared with those of smallest and of largest ``doc_id``
-in its bucket, its leaders.  A bucket whose members are then in one class is done.  In the others,
-members chosen by a hash, about ``PIVOTS`` of a bucket and ``PIVOTS`` times more in each round, are
-compared with all members of other classes that were not chosen before them, until a bucket is of
-one class or all have been chosen: every pair of a bucket is compared or in one class already, and
-equal pairs are compared once.
+in its bucket, its leaders.  A bucket whose members are then in one class is done.  The members of
+the others, such as unlike documents that share a passage, are dealt anew, exactly: of documents within
+the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
+rarest words of each (a word's occurrences count as different words).  A frequent passage of less than ``SIMILARITY``
+of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
+rare word are of several classes, those outside the largest class are compared with all of other classes.
+So every pair of a bucket is compared or in one class already.  This grows with the product of
+the two sides: many documents that share even their rarest words and yet are unlike are compared pair by pair.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
-buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
-can raise a similarity by 0.00002 and can never lower it.
+buckets.  Texts travel as 4 bytes a word: two different words look equal once in four billion, which
+can raise a similarity by far less than one edit and can never lower it.
 
 Cases: a null text or one without words is in a class of its own; so is a row without
 ``doc_id`` (its class is null).  A text of fewer than ``SHINGLE`` words is one k-mer.  Rows with
@@ -31,17 +34,18 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import WORD_PY, components, drop_stored, map_texts, store
+from chunkwell.llm.common import WORD_PY, components, drop_stored, map_texts, slices, store
 
 SHINGLE = 4
 SKETCHES = 64
 PER_SKETCH = 2
 SIMILARITY = 0.8
-PIVOTS = 8
-BAG = 64
+#: Of each text, so many of its rarest words are marked, and of those in more texts than FREQUENT.
+FIRST, FIRST_FREQUENT = 4, 16
+FREQUENT = 64
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +193,7 @@ def _sketch_rows(ids, digests, texts):
     payload, sketches = [], []
     for t in texts:
         h = word_hashes(t)
-        payload.append((h >> np.uint64(48)).astype(np.uint16).tobytes())
+        payload.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
         sketches.append(sketch(h, SKETCHES).tolist())
     return ids, digests, payload, sketches
 
@@ -199,39 +203,56 @@ def _verify(similarity: float):
         import pyarrow as pa
 
         for batch in batches:
-            ok = [alike(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return run
 
 
-def bag(payload: bytes) -> bytes:
-    """How many words fall into each of ``BAG`` groups, 255 at most."""
-    return np.minimum(np.bincount(np.frombuffer(payload, np.uint16) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+def prefix_size(words: int, similarity: float = SIMILARITY) -> int:
+    """Of how many of its rarest labelled words a text shares one with every text that is alike.
+
+    A text of ``longer`` words within the limit has ``longer`` less the limit of them in common with it,
+    which is least where ``longer`` is ``words``.
+    """
+    return int((1 - similarity) * words + 1e-9) + 1
 
 
-def _bags(batches):
+def _rows_of_words(batches):
+    """The labelled words of each text."""
     import pyarrow as pa
 
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([bag(p) for p in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())], names=[*batch.schema.names[:-1], "bag"])
+        for lo, hi in slices(batch.column(2), 500_000):
+            codes = [np.frombuffer(p, np.uint32) for p in batch.column(2).slice(lo, hi - lo).to_pylist()]
+            found = [labelled_kmers(c.astype(np.uint64), 1).view(np.int64) for c in codes]
+            ends = np.cumsum([0, *map(len, found)])
+            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words], names=["doc_id", "class", "all_words"])
 
 
-def _may_be_alike(similarity: float):
-    """Pairs whose bags allow a link: an edit lessens the excess of either bag by one at most."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for i in (4, 5))
-            w = np.maximum(batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
-            more, less = np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)
-            kept = batch.filter(pa.array(np.maximum(more, less) <= np.floor((1 - similarity) * w + 1e-9)))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["doc_id", "leader"])
+def _rare_buckets(ids: DataFrame, payload: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """``sketch, doc_id, class, words, size, first`` and where it is stored: each of ``ids`` (``doc_id, class``) in a bucket for each of its rarest words.
 
-    return run
+    ``first`` marks the few words of a text by which pairs that share many words are found once, see :func:`_pairs_of_classes`.
+    """
+    own = payload.select(F.col("doc_id").alias("id1"), "payload")
+    texts = ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "payload")
+    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>"), "near-texts")
+    each = texts.select("doc_id", "class", F.size("all_words").cast("long").alias("words"), F.explode("all_words").alias("word"))
+    counts, counts_path = store(each.groupBy(F.col("word").alias("w2")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-counts")
+    shared = each.join(counts, F.col("word") == F.col("w2"))
+    # words that no other text has are the rarest, and those that others have follow; a window is one text
+    by_text = Window.partitionBy("doc_id")
+    in_order = by_text.orderBy("size", "word")
+    frequent = F.sum((F.col("size") > FREQUENT).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = shared.select("doc_id", "class", "words", "word", "size", F.row_number().over(in_order).alias("rank"), frequent.alias("frequent"), F.count(F.lit(1)).over(by_text).alias("n"))
+    room = F.floor((1 - similarity) * F.col("words") + 1e-9) + 1 - (F.col("words") - F.col("n"))  # prefix_size
+    first = (F.col("rank") <= FIRST) | F.col("frequent").between(1, FIRST_FREQUENT)
+    rest, rest_path = store(ranked.where(F.col("rank") <= room).select(F.col("word").alias("sketch"), "doc_id", "class", "words", "size", first.alias("first")), "near-rest")
+    drop_stored(ids.sparkSession, texts_path, counts_path)
+    return rest, rest_path
 
 
 def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
@@ -241,25 +262,34 @@ def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame
     return store(with_both.mapInArrow(_verify(similarity), "a long, b long"), "near-links")[0]
 
 
-def _mixed_buckets(rest: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """The members of ``rest`` that no round up to ``share`` chose, in buckets where they are of several classes."""
-    left = rest.where(F.col("choice") * F.col("size") >= share)
-    left = left.join(found, F.col("doc_id") == F.col("node"), "left").select(*rest.columns, F.coalesce("component", "doc_id").alias("class"))
-    several, _ = store(left.groupBy("sketch").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select(F.col("sketch").alias("s2")), "near-several")
-    return left.join(several, F.col("sketch") == F.col("s2")).drop("s2")
+def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc_id")).drop("node", "component")
 
 
-def _pairs_of_pivots(mixed: DataFrame, share: int, similarity: float) -> DataFrame:
-    """``doc_id, leader``: about ``share`` members of a bucket with all of other classes whose lengths allow a link."""
-    # pivots are dealt into blocks of about PIVOTS, and members meet each block: no hot bucket is joined in one piece
-    blocks = F.greatest(F.lit(1), F.ceil(F.least(F.lit(share), F.col("size")) / PIVOTS)).cast("int")
-    pivots = mixed.where(F.col("choice") * F.col("size") < share).select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("words").alias("w2"), F.col("bag").alias("bag2"), F.col("class").alias("k2"), F.pmod(F.xxhash64(F.lit(5), "doc_id"), blocks.cast("long")).cast("int").alias("b2"))
-    others = mixed.select("sketch", "doc_id", "words", "bag", "class", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    longer = F.greatest("words", "w2")
-    fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * longer + 1e-9)
-    met = others.join(pivots, (F.col("sketch") == F.col("s2")) & (F.col("block") == F.col("b2"))).where((F.col("class") != F.col("k2")) & fits)
-    ends = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader"), "words", "w2", "bag", "bag2")
-    return ends.mapInArrow(_may_be_alike(similarity), "doc_id long, leader long").distinct()
+def _mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (``sketch, doc_id, class`` and others) of buckets that hold several classes."""
+    several, _ = store(rows.groupBy("sketch").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select(F.col("sketch").alias("s2")), "near-several")
+    return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
+
+
+def _pairs_of_classes(rest: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes whose lengths allow a link.
+
+    Texts that share many words would meet once for each; if their first words have some in
+    common, they meet for the first of these alone.
+    """
+    counted = rest.groupBy("sketch", "class").agg(F.count(F.lit(1)).alias("n"))
+    several = counted.groupBy(F.col("sketch").alias("s3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    several, several_path = store(several, "near-several")
+    marked = rest.where("first").groupBy(F.col("doc_id").alias("id3")).agg(F.transform(F.sort_array(F.collect_set(F.struct("size", "sketch"))), lambda x: x["sketch"]).alias("firsts"))
+    mixed = rest.join(several, F.col("sketch") == F.col("s3")).join(marked, F.col("doc_id") == F.col("id3"), "left")
+    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
+    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"))
+    fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
+    common = F.array_intersect("firsts", "f2")
+    once = (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == F.col("sketch"))
+    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & once)
+    return met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct(), [several_path, mixed_path]
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,44 +298,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, sketches array<long>", _CACHE.clear), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
-    first, _ = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
+    first, first_path = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
     with_rep = base.select("doc_id", F.when(F.expr("size(sketches) > 0"), F.col("digest")).alias("digest")).join(first.withColumnRenamed("digest", "d2"), F.col("digest") == F.col("d2"), "left")
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")
-    buckets = wordy.select("doc_id", "sketches", "payload").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.expr("length(payload) div 2").cast("long").alias("words"), F.explode("sketches").alias("sketch"))
+    distinct = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    buckets = distinct.select("doc_id", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
     leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("last > leader").select(F.col("sketch").alias("s2"), "leader", "last", "size")
-    leaders, _ = store(leaders, "near-leaders")
+    leaders, leaders_path = store(leaders, "near-leaders")
     met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.array("leader", "last")).alias("other")).where("doc_id <> other")
     pairs = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
-    # what the leaders have not decided: pairs of the other members, if there are two
-    choice = F.shiftrightunsigned(F.xxhash64("sketch", "doc_id"), 11) / F.lit(float(1 << 53))
-    rest = buckets.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "words", "size", choice.alias("choice"))
-    own = base.select(F.col("doc_id").alias("id1"), "payload")
-    rest = rest.join(own, F.col("doc_id") == F.col("id1")).select(*rest.columns, "payload").mapInArrow(_bags, "sketch long, doc_id long, words long, size long, choice double, bag binary")
-    rest, rest_path = store(rest, "near-rest")
-    drop_stored(docs.sparkSession, buckets_path)
-
     payload = base.select("doc_id", "payload")
     links = _links(pairs, payload, similarity)
     found = components(links, "near-cc")
-    tried, paths = pairs, [base_path, pairs_path, rest_path]
-    share = 0
-    while True:
-        mixed, mixed_path = store(_mixed_buckets(rest, found, share), "near-mixed")
-        paths.append(mixed_path)
-        if mixed.isEmpty():
-            break
-        following = max(1, share) * PIVOTS
-        pairs, pairs_path = store(_pairs_of_pivots(mixed, following, similarity).join(tried, ["doc_id", "leader"], "left_anti"), "near-pairs")
-        paths.append(pairs_path)
-        new = _links(pairs, payload, similarity)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links, "near-cc")
-        tried, share = tried.unionByName(pairs), following
+    # what the leaders have not decided: members of buckets of several classes, if there are two besides them
+    classed = _with_class(distinct.select("doc_id", "sketches"), found).select("doc_id", "class", F.explode("sketches").alias("sketch"))
+    inner = classed.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "class")
+    undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
+    rest, rest_path = _rare_buckets(undecided, payload, similarity)
+    drop_stored(docs.sparkSession, buckets_path, leaders_path, undecided_path)
+    more, more_paths = _pairs_of_classes(rest, similarity)
+    more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
+    new = _links(more, payload, similarity)
+    if not new.isEmpty():
+        # the components so far are stars, which stand for their links
+        found = components(found.toDF("a", "b").unionByName(new), "near-cc")
+    paths = [base_path, first_path, pairs_path, rest_path, more_path, *more_paths]
     drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out

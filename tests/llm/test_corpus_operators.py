@@ -191,6 +191,51 @@ def test_members_that_are_like_neither_end_of_their_bucket(spark):
     assert len(set(got.values())) < 15
 
 
+def test_alike_texts_share_a_rare_word():
+    rng = random.Random(11)
+    for similarity in (0.6, 0.8, 0.9):
+        for _ in range(600):
+            n, letters = rng.randint(1, 60), rng.choice([3, 30, 1000])
+            a = [rng.randrange(letters) for _ in range(n)]
+            b = list(a)
+            for _ in range(int((1 - similarity) * n * rng.random() * 1.4)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 1)] = [rng.randrange(letters)] * rng.randint(0, 1)
+                b = b or a[:1]
+            x, y = np.array(a, np.uint16), np.array(b, np.uint16)
+            if near_dedup.alike(x, y, similarity):
+                pairs = [near_dedup.labelled_kmers(v.astype(np.uint64), 1).tolist() for v in (x, y)]
+                rank = {k: rng.random() for k in {*pairs[0], *pairs[1]}}  # any order that both share
+                first = [set(sorted(p, key=rank.get)[: near_dedup.prefix_size(len(v), similarity)]) for p, v in zip(pairs, (x, y), strict=True)]
+                assert first[0] & first[1]
+
+
+def test_unlike_texts_with_a_common_passage(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(110)]
+    rows = []
+    for i in range(400):
+        at = rng.randrange(50)
+        own = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        rows.append((i, " ".join([*own[:at], *passage, *own[at:]])))
+    for k in range(20):  # near copies of some of them
+        words = rows[10 * k][1].split()
+        for at in rng.sample(range(160), 25):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((1000 + k, " ".join(words)))
+    compared = []
+    links = near_dedup._links
+
+    def counted(pairs, payload, similarity):
+        compared.append(pairs.count())
+        return links(pairs, payload, similarity)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(400)}, **{1000 + k: 10 * k for k in range(20)}}
+    assert sum(compared[1:]) < 1000  # of 88,000
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, None, "e"), (1, "", "e"), (2, "a b", "s"), (2, "a b", "s"), (4, "a b", "s"), (5, "zz", "e"), (None, "a b", "e"), (6, None, "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, rep string")
