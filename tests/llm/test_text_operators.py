@@ -208,7 +208,7 @@ def test_every_sentence_has_a_keyword():
         ("a | b\nReleased under the MIT License.\nc | d", ["MIT"]),
         ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
-        ("// SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause"]),
+        ("// SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
         ("No licence here, just a warranty of fun.", []),
         ("", []),
         (None, []),
