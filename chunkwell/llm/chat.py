@@ -2,9 +2,11 @@
 
 Each message is parsed into its own text and quoted passages (lines behind ``>`` marks, with
 their nesting level; an attribution line such as "On ... wrote:" before a quote goes with it).
-The hash of a normalised quoted passage (lower case, single spaces) is joined to the passages of
-messages: their whole text, paragraphs and lines.  The smallest turn of the conversation that
-holds a quoted passage of level 1 is the message's original; of several, the latest one.
+The hashes of a normalised quoted passage (lower case, single spaces), its lines and its sentences are
+joined to those of messages: their whole text, paragraphs, lines and sentences, so a quote that is trimmed or
+wrapped anew still finds its original.  The smallest turn of the conversation that
+holds a quoted passage of level 1 is the message's original; of several, the latest one.  Where no
+passage of level 1 has an original, those of level 2 are asked, and so on.
 Messages then stand in reply order: by thread (the turn of the message at the root of the
 replies), then by turn, so every reply follows its original and a thread is contiguous.
 
@@ -35,10 +37,15 @@ from chunkwell.llm.common import drop_stored, map_texts, store
 
 _MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _SPACE = re.compile(r"\s+")
-_ATTRIBUTION = re.compile(r"^(?:on\b.{0,200}\bwrote|.{1,80} (?:wrote|said|writes)|(?:am|le)\b.{0,200}\b(?:schrieb|a écrit)|el\b.{0,200}\bescribió)\b[^:]{0,40}:\s*$", re.I)
+_ATTRIBUTION = re.compile(r"^(?:on\b.*\bwrote|.+ (?:wrote|said|writes)|(?:am|le)\b.*\b(?:schrieb|a écrit)|el\b.*\bescribió)\b[^:]*:$", re.I)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _ROUNDS = 60
 
 
+def _is_attribution(line: str) -> bool:
+    return line.endswith(":") and _ATTRIBUTION.match(line) is not None
+
+
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """(own text, [(level, passage)]) of a message; a passage is a run of lines of one level."""
     own: list[str] = []
@@ -51,14 +58,14 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
             if not open_level:
                 while own and not own[-1].strip():
                     own.pop()
-                if own and _ATTRIBUTION.match(own[-1].strip()):
+                if own and _is_attribution(own[-1].strip()):
                     own.pop()
             bare = line[m.end() :]
             if level != open_level or not bare.strip():
                 if quotes and quotes[-1][1] or not quotes or quotes[-1][0] != level:
                     quotes.append((level, []))
                 quotes[-1] = (level, quotes[-1][1])
-            if bare.strip() and not _ATTRIBUTION.match(bare.strip()):
+            if bare.strip() and not _is_attribution(bare.strip()):
                 quotes[-1][1].append(bare)
         else:
             own.append(line)
@@ -75,9 +82,15 @@ def passage_hash(passage: str) -> int | None:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parts(passage: str) -> list[str]:
+    """A passage, its paragraphs, its lines, and the sentences of its paragraphs."""
+    paragraphs = re.split(r"\n\s*\n", passage)
+    return [passage, *paragraphs, *passage.split("\n"), *(s for p in paragraphs for s in _SENTENCE.split(p))]
+
+
 def passages(own: str) -> set[int]:
-    """Hashes of a message's text, its paragraphs and its lines."""
-    return {h for part in [own, *re.split(r"\n\s*\n", own), *own.split("\n")] if (h := passage_hash(part)) is not None}
+    """Hashes of the parts of a message."""
+    return {h for part in parts(own) if (h := passage_hash(part)) is not None}
 
 
 def formatted(role: str | None, text: str) -> str:
@@ -85,27 +98,35 @@ def formatted(role: str | None, text: str) -> str:
 
 
 def _parsed(convs, turns, roles, texts):
-    own, quoted, held, n = [], [], [], []
+    own, quoted, levels, held, n = [], [], [], [], []
     for t in texts:
         o, q = parse(t)
         own.append(o)
         n.append(len(q))
-        quoted.append(sorted({h for level, p in q if level == 1 for part in [p, *p.split("\n")] if (h := passage_hash(part)) is not None}))
+        asked = sorted({(level, h) for level, p in q for h in passages(p)})
+        levels.append([level for level, _ in asked])
+        quoted.append([h for _, h in asked])
         held.append(sorted(passages(o)))
-    return convs, turns, roles, own, n, quoted, held, [formatted(r, o) for r, o in zip(roles, own, strict=True)]
+    return convs, turns, roles, own, n, levels, quoted, held, [formatted(r, o) for r, o in zip(roles, own, strict=True)]
+
+
+_PARSED = "conv_id long, turn long, role string, text string, n_quotes long, levels array<int>, quoted array<long>, held array<long>, formatted string"
 
 
 def link(messages: DataFrame) -> DataFrame:
     """One row per message, see above."""
-    parsed, _ = store(map_texts(messages, ["conv_id", "turn", "role", "text"], _parsed, "conv_id long, turn long, role string, text string, n_quotes long, quoted array<long>, held array<long>, formatted string"), "chat-parsed")
+    parsed, _ = store(map_texts(messages, ["conv_id", "turn", "role", "text"], _parsed, _PARSED), "chat-parsed")
     placed = parsed.where("conv_id is not null and turn is not null")
-    quotes = placed.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("h"))
+    quotes = placed.where("size(quoted) > 0").select("conv_id", "turn", F.explode(F.arrays_zip("levels", "quoted")).alias("q")).select("conv_id", "turn", F.col("q.levels").alias("level"), F.col("q.quoted").alias("h"))
     # only passages that somebody quotes in the conversation matter; the earliest turn of each is its original
-    held = placed.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.explode("held").alias("h2"))
-    asked = quotes.select("conv_id", "h").distinct()
+    asked, asked_path = store(quotes.select("conv_id", "h").distinct(), "chat-asked")
+    with_quotes = asked.select(F.col("conv_id").alias("c1")).distinct()
+    held = placed.join(with_quotes, F.col("conv_id") == F.col("c1"), "left_semi").select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.explode("held").alias("h2"))
     originals = asked.join(held, (F.col("conv_id") == F.col("c2")) & (F.col("h") == F.col("h2"))).groupBy(F.col("conv_id").alias("c3"), F.col("h").alias("h3")).agg(F.min("t2").alias("original"))
     linked = quotes.join(originals, (F.col("conv_id") == F.col("c3")) & (F.col("h") == F.col("h3"))).where("original < turn")
-    parents, parents_path = store(linked.groupBy("conv_id", "turn").agg(F.max("original").alias("reply_to")), "chat-links")
+    by_level = linked.groupBy("conv_id", "turn", "level").agg(F.max("original").alias("original"))
+    parents, _ = store(by_level.groupBy("conv_id", "turn").agg(F.min_by("original", "level").alias("reply_to")), "chat-links")
+    drop_stored(messages.sparkSession, asked_path)
     threads = _roots(parents)
     first = placed.join(threads.select(F.col("conv_id").alias("c4"), F.col("turn").alias("t4")), (F.col("conv_id") == F.col("c4")) & (F.col("turn") == F.col("t4")), "left_anti")
     starts = first.groupBy(F.col("conv_id").alias("c5")).agg(F.min("turn").alias("start"))
