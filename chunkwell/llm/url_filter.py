@@ -71,6 +71,7 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
+_COMMENT = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)", re.I | re.S)
 _TAG = re.compile(r"<(link|meta)\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _REFRESH = re.compile(r"url\s*=\s*(.*)$", re.I | re.S)
@@ -85,9 +86,9 @@ def node(url: str) -> str | None:
 
 
 def targets(html: str) -> list[str]:
-    """Where the canonical links and redirects of a page point, as they stand in it."""
+    """Where the canonical links and redirects of a page point, as they stand in it; comments and scripts are no tags."""
     found = []
-    for m in _TAG.finditer(html):
+    for m in _TAG.finditer(_COMMENT.sub("", html)):
         at = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[0])}
         if m[1].lower() == "link" and "canonical" in at.get("rel", "").lower().split():
             found.append(at.get("href", ""))
@@ -134,6 +135,8 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None, default
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    rows = rows.join(aliases, F.col("node") == F.col("alias"), "left")
+    # pages without a node must not all meet in the join's task for nulls
+    key = F.coalesce("node", F.concat(F.lit("\0"), F.xxhash64("page_id", "host").cast("string")))
+    rows = rows.join(aliases, key == F.col("alias"), "left")
     own, by_alias = verdict_of(F.col("rule"), rules), F.col("rule").isNull() & F.col("alias").isNotNull()
     return rows.select("page_id", "host", "path", "rule", F.when(own.isNotNull(), own).when(by_alias, BLOCK).otherwise(default).alias("verdict"), by_alias.alias("by_alias"))
