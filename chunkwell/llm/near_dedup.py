@@ -299,7 +299,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
     first, first_path = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
-    with_rep = base.select("doc_id", F.when(F.expr("size(sketches) > 0"), F.col("digest")).alias("digest")).join(first.withColumnRenamed("digest", "d2"), F.col("digest") == F.col("d2"), "left")
+    with_rep = base.select("doc_id", F.when(F.expr("size(sketches) > 0"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "digest").cast("string"))).alias("digest")).join(first.withColumnRenamed("digest", "d2"), F.col("digest") == F.col("d2"), "left")
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")

@@ -1,6 +1,7 @@
 """URL filters, near-dedup, mixing, chats, components, pipeline: against brute force and edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,6 +85,66 @@ def test_aliases_take_block_decisions(spark):
     assert (got[4], got[5]) == ("block", "block")
 
 
+def test_random_link_graphs_against_union_find(spark):
+    """Pages with canonical links, redirects and a hot alias that a third of them name."""
+    rng = random.Random(31)
+    hosts = ["a.net", "b.net", "x.com", "example.org", "www.example.org"]
+    paths = ["/", "/es/1", "/en/1", "/en/2", "/de/3", "/fr/4", "/p", "/q?x=1", "/q?x=2"]
+    urls = [f"http://{h}{p}{k}" for h in hosts for p in paths for k in range(120)]
+    rng.shuffle(urls)
+    hot, edges, rows = "http://b.net/p7", [], []
+    for i, u in enumerate(urls):
+        r = rng.random()
+        to = hot if r < 0.33 and i % 7 else rng.choice(urls) if r < 0.45 else None
+        tag = "" if to is None else (CANONICAL if rng.random() < 0.5 else REFRESH) % to
+        if rng.random() < 0.1:
+            tag = f"<!-- {CANONICAL % rng.choice(urls)} --><script>'{CANONICAL % rng.choice(urls)}'</script>" + tag
+        if to is not None:
+            edges.append((u, to))
+        rows.append((i, u, f"<html>{tag}</html>"))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    node = lambda u: u.split("://")[1]
+    for a, b in edges:
+        parent[root(node(a))] = root(node(b))
+    members = {}
+    for u in urls:
+        members.setdefault(root(node(u)), []).append(u)
+
+    def expected(u):
+        own = _rule(*_parts(u))[1]
+        if own:
+            return own
+        verdicts = {_rule(*_parts(x))[1] for x in members[root(node(u))]}
+        return "block" if "block" in verdicts and "allow" not in verdicts else "allow"
+
+    for keep in (len(rows), 400):
+        part = rows[:keep]
+        if keep < len(rows):  # few pages: small components, of which some are blocked
+            parent.clear()
+            members.clear()
+            for (a, b), _ in zip([e for e in edges if e[1] != hot], range(60)):
+                parent[root(node(a))] = root(node(b))
+            for u in urls:
+                members.setdefault(root(node(u)), []).append(u)
+            kept = {a for (a, b), _ in zip([e for e in edges if e[1] != hot], range(60))}
+            part = [(i, u, h if u in kept else "") for i, u, h in rows]
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(part, "page_id long, url string, html string")).collect()}
+        assert got == {i: expected(u) for i, u, _ in part}
+
+
+def test_pages_without_hosts_and_long_pages(spark):
+    rows = [(i, None, None) for i in range(300)] + [(400, "http://a.net/1", "z" * 1_000_000 + CANONICAL % "http://x.com/de/1"), (401, "http://x.com/de/1", "<!-- open")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[400] == got[401] == "block" and len(got) == 302
+
+
 # Near-dedup.
 
 
@@ -334,6 +395,62 @@ def test_long_reply_chain(spark):
     assert {(r["turn"], r["thread"], r["depth"]) for r in got} == {(i, 0, i) for i in range(40)}
 
 
+def test_random_quote_trees_against_brute_force(spark):
+    """Messages that quote a whole earlier one, one sentence of it, or it wrapped anew, below other quotes or not."""
+    rng = random.Random(41)
+    rows, expected = [], {}
+    for conv in range(60):
+        turns = 150 if conv == 0 else rng.randint(1, 12)
+        texts = []
+        for turn in range(turns):
+            sentences = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(2, 9))).capitalize() + rng.choice(".!?") for _ in range(rng.randint(1, 6))]
+            own, cut = "", 0
+            while cut < len(sentences):
+                n = rng.randint(1, 3)
+                own += " ".join(sentences[cut : cut + n]) + rng.choice(["\n", "\n\n"])
+                cut += n
+            own = own.strip()
+            reply, quote = None, ""
+            if turn and rng.random() < 0.7:
+                reply = rng.randrange(turn)
+                original, kind = texts[reply], rng.randrange(4)
+                if kind == 0:
+                    quoted = original
+                elif kind == 1:
+                    quoted = rng.choice(original.split("\n\n"))
+                elif kind == 2:
+                    quoted = rng.choice(re.split(r"(?<=[.!?])\s+", original))
+                else:
+                    words, quoted = rng.choice(original.split("\n\n")).split(), ""
+                    for k, w in enumerate(words):
+                        quoted += w + (" " if k % 5 else "\n")
+                mark = "> " if rng.random() < 0.8 else ">> "
+                quote = rng.choice(["", "On Monday, somebody wrote:\n"]) + "".join(f"{mark}{line.upper() if rng.random() < 0.2 else line}\n" for line in quoted.strip().split("\n") if line.strip())
+                if mark == "> " and rng.random() < 0.3:
+                    quote += f">> {texts[rng.randrange(turn)].split(chr(10))[0]}\n"
+            texts.append(own)
+            rows.append((conv, turn, "user", f"{quote}\n{own}"))
+            expected[conv, turn] = reply
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == expected
+    for (conv, turn), r in got.items():
+        way, depth = turn, 0
+        while expected[conv, way] is not None:
+            way, depth = expected[conv, way], depth + 1
+        assert r["depth"] == depth and (depth == 0 or r["thread"] == way)
+        assert ">" not in r["text"]
+
+
+def test_quotes_of_sentences_and_of_deeper_levels(spark):
+    rows = [
+        (1, 0, "user", "First thing. Second thing! Is there a third?"), (1, 1, "user", "Nothing of it."), (1, 2, "user", "> second   thing!\nYes."), (1, 3, "user", ">> Nothing of it.\nDeep."), (1, 4, "user", "> unknown\n>> Is there a\n>> third?\nNo."),
+        (1, 5, "user", "> Yes.\n>> First thing.\nBoth."), (2, 0, "user", "On " + "x" * 5000 + " wrote:\n> nobody\nlong"),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["text"]) for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): 0, (1, 5): 2, (2, 0): None}
+    assert got[2, 0][1] == "long"
+
+
 # Pipeline.
 
 
