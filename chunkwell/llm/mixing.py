@@ -3,15 +3,15 @@
 Every source gets a target number of words (:func:`targets`).  A source whose target is ``m``
 times its size first takes ``floor(m)`` whole copies of each document.  The remaining fraction
 ``f`` is drawn without replacement with unequal probabilities: document ``i`` has inclusion
-probability ``p_i = c * x_i`` where ``x_i = ln(1 + size_i)`` and ``c`` makes the expected words
-equal to what is left; a document with ``p_i >= 1`` gets its copy for certain.  The rest are
-ranked by Pareto's ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document, and taken
+probability ``p_i = min(1, c * x_i)`` where ``x_i = ln(1 + size_i)``, and ``c`` is solved for the
+expected words to equal what is left, given the documents with ``p_i = 1``, which get their copy for certain.  The
+rest are ranked by Pareto's ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document, and taken
 in that order until the words of the source reach its target (the last one only if that comes
-closer).  The sample has a fixed size in words: the miss is at most half of one document.
+closer).  The sample has a fixed size in words, not in documents: the miss is at most half of one document.
 
 Only DataFrame functions are used.  No source is ever gathered in one task: ranks go into
-``BINS`` bins, whose words are summed before they are shuffled, and only the one bin of each
-source in which the target falls is sorted.  Documents meet their source's threshold by a join
+``BINS`` bins, whose words are summed before they are shuffled, the one bin of each source in which the
+target falls into ``BINS`` finer ones, and only the finer one in which it falls is sorted.  Documents meet their source's threshold by a join
 on a table with one row per source, which Spark broadcasts only if the stored table is under
 ``spark.sql.autoBroadcastJoinThreshold``; a larger table is joined by a shuffle that adaptive
 execution splits.
@@ -76,12 +76,21 @@ def plan(base: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, bins: in
 
     ``base`` has ``source``, ``__mix_size``, ``__mix_x`` and ``__mix_u`` and is read three times.
     """
-    totals = base.groupBy("source").agg(F.sum("__mix_size").alias("source_size"), F.sum(F.col("__mix_size") * F.col("__mix_x")).alias("sx"))
-    # sums of sx ride along; targets() needs one row per source
-    t = targets(totals.select("source", "source_size"), weights, most).alias("t").join(totals.select(F.col("source").alias("s2"), "sx"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    # one row for each source and size: a hot source has as many as it has different sizes
+    by_size, _ = store(base.groupBy("source", "__mix_x").agg(F.sum("__mix_size").alias("words"), F.sum(F.col("__mix_size") * F.col("__mix_x")).alias("wx")), "mix-sizes")
+    totals = by_size.groupBy("source").agg(F.sum("words").alias("source_size"))
+    t = targets(totals, weights, most)
     m = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     t = t.withColumn("__mix_whole", F.floor(m)).withColumn("f", m - F.floor(m))
-    t = t.withColumn("__mix_c", F.when(F.col("sx") > 0, F.col("f") * F.col("source_size") / F.col("sx")).otherwise(0.0))
+    t, _ = store(t, "mix-targets")
+    left = F.col("f") * F.col("source_size")
+    # from the largest documents on, certain ones are set aside until none of the others has c * x above 1
+    larger = Window.partitionBy("source").orderBy(F.col("__mix_x").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("source").orderBy(F.col("__mix_x").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sized = by_size.where("__mix_x > 0").select(F.col("source").alias("s2"), "__mix_x", F.coalesce(F.sum("words").over(larger), F.lit(0)).alias("sure"), F.sum("wx").over(smaller).alias("open"))
+    solved = sized.join(t, F.col("source").eqNullSafe(F.col("s2"))).select("s2", "__mix_x", ((left - F.col("sure")) / F.col("open")).alias("c"))
+    solved = solved.where((F.col("c") >= 0) & (F.col("c") * F.col("__mix_x") <= 1 + 1e-12)).groupBy(F.col("s2").alias("s6")).agg(F.max_by("c", "__mix_x").alias("c"))
+    t = t.join(solved, F.col("source").eqNullSafe(F.col("s6")), "left").withColumn("__mix_c", F.coalesce("c", F.lit(0.0)))
     t, _ = store(t.select("source", "source_size", "target", "__mix_whole", "__mix_c"), "mix-sources")
 
     ranked = _ranked(with_sources(base, t))
@@ -90,23 +99,34 @@ def plan(base: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, bins: in
     sums, _ = store(sums, "mix-bins")
     sure = sums.groupBy(F.col("source").alias("s3")).agg(F.sum("sure_words").alias("sure_words"))
     rest = t.join(sure, t["source"].eqNullSafe(F.col("s3")), "left").select("source", (F.col("target") - F.coalesce("sure_words", F.lit(0))).alias("rest"))
-    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = sums.where("bin is not null").select("source", "bin", "words").withColumn("upto", F.sum("words").over(up_to))
-    r = rest.select(F.col("source").alias("s4"), "rest")
-    edge = cum.join(r, cum["source"].eqNullSafe(F.col("s4"))).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-    edge, _ = store(edge.select(F.col("s4").alias("edge_source"), F.col("bin").alias("edge_bin"), (F.col("upto") - F.col("words")).alias("before"), "rest"), "mix-edge")
-
-    inside = ranked.join(edge, ranked["source"].eqNullSafe(edge["edge_source"]) & (bin_of == edge["edge_bin"]))
-    running = F.sum("__mix_size").over(Window.partitionBy("edge_source").orderBy("__mix_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.select("edge_source", "__mix_v", "__mix_size", "before", "rest", running.alias("running"))
-    middle = F.col("before") + F.col("running") - F.col("__mix_size") / 2
-    last = inside.where(middle <= F.col("rest")).groupBy("edge_source").agg(F.max("__mix_v").alias("__mix_last"))
+    edge, _ = store(_edge(sums.where("bin is not null"), rest), "mix-edge")
+    fine = F.floor((F.col("__mix_v") * bins - bin_of) * bins)
+    inside, _ = store(ranked.join(edge, ranked["source"].eqNullSafe(edge["edge_source"]) & (bin_of == edge["edge_bin"])).select(ranked["source"], "__mix_v", "__mix_size", fine.alias("fine"), "before", "rest"), "mix-inside")
+    still = edge.select(F.col("edge_source").alias("source"), (F.col("rest") - F.col("before")).alias("rest"))
+    finest = _edge(inside.groupBy("source", F.col("fine").alias("bin")).agg(F.sum("__mix_size").alias("words")), still)
+    finest, _ = store(finest.select(F.col("edge_source").alias("fine_source"), F.col("edge_bin").alias("fine_bin"), F.col("before").alias("fine_before")), "mix-fine")
+    drawn = inside.join(finest, inside["source"].eqNullSafe(finest["fine_source"]) & (F.col("fine") <= F.col("fine_bin")))
+    # whole finer bins before the edge count at once; only the edge is put in order
+    running = F.sum("__mix_size").over(Window.partitionBy("source").orderBy("__mix_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    at_edge = drawn.where("fine = fine_bin").select("source", "__mix_v", "__mix_size", "before", "rest", "fine_before", running.alias("running"))
+    middle = F.col("before") + F.col("fine_before") + F.col("running") - F.col("__mix_size") / 2
+    last = drawn.where("fine < fine_bin").select("source", "__mix_v").unionByName(at_edge.where(middle <= F.col("rest")).select("source", "__mix_v"))
+    last = last.groupBy(F.col("source").alias("edge_source")).agg(F.max("__mix_v").alias("__mix_last"))
     limits = edge.select(F.col("edge_source").alias("s5"), F.col("edge_bin").alias("__mix_bin")).join(last, F.col("s5").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
     whole = t.join(limits, t["source"].eqNullSafe(F.col("s5")), "left").drop("s5")
     # without an edge there is nothing to draw
     return store(whole.withColumn("__mix_bin", F.coalesce("__mix_bin", F.lit(0))).withColumn("__mix_bins", F.lit(bins)), "mix-plan")[0]
 
 
+def _edge(sums: DataFrame, rest: DataFrame) -> DataFrame:
+    """Of ``sums`` (``source, bin, words``), the bin of each source in which the sum of words comes to ``rest``, and the words before it."""
+    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = sums.select("source", "bin", "words", F.sum("words").over(up_to).alias("upto"))
+    r = rest.select(F.col("source").alias("s4"), "rest")
+    edge = cum.join(r, cum["source"].eqNullSafe(F.col("s4"))).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+    return edge.select(F.col("s4").alias("edge_source"), F.col("bin").alias("edge_bin"), (F.col("upto") - F.col("words")).alias("before"), "rest")
+
+
 def with_sources(rows: DataFrame, table: DataFrame) -> DataFrame:
     table = table.withColumnRenamed("source", "__mix_source")
     return rows.join(table, rows["source"].eqNullSafe(table["__mix_source"])).drop("__mix_source")
