@@ -357,13 +357,46 @@ def test_mix_meets_targets_and_reruns_agree(docs):
     assert all(copies.get(r["doc_id"], 0) * r["size"] == r["taken"] for r in rows)
 
 
+def test_inclusion_probabilities_are_solved_with_certain_documents(spark):
+    """By bisection: c makes the expected words those that are left, documents with c * x of 1 or more being certain."""
+    rng = random.Random(51)
+    sizes = {"a": [rng.choice([3, 40, 900, 20_000]) for _ in range(300)], "b": [rng.randint(1, 60) for _ in range(100)], "c": [5] * 40}
+    rows, i = [], 0
+    for source, many in sizes.items():
+        for n in many:
+            rows.append((i, " ".join(["w"] * n), source))
+            i += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = {r["source"]: r for r in mixing.plan(mixing._base(frame, mixing.SEED)).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(frame).collect()}
+    for source, many in sizes.items():
+        r = table[source]
+        left = r["target"] - r["__mix_whole"] * r["source_size"]
+        x = [round(np.log1p(n) * 1024) for n in many]
+        lo, hi = 0.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(1.0, mid * y) for n, y in zip(many, x, strict=True)) < left else (lo, mid)
+        assert sum(n * min(1.0, r["__mix_c"] * y) for n, y in zip(many, x, strict=True)) == pytest.approx(left, rel=1e-9, abs=1e-6)
+        assert r["__mix_c"] == pytest.approx(lo, rel=1e-6, abs=1e-12)
+        for (d, _, s), y in zip([row for row in rows if row[2] == source], x, strict=True):
+            if r["__mix_c"] * y >= 1:
+                assert got[d]["taken"] >= (r["__mix_whole"] + 1) * got[d]["size"]
+    taken = {s: sum(got[d]["taken"] for d, _, t in rows if t == s) for s in sizes}
+    assert all(abs(taken[s] - table[s]["target"]) <= max(sizes[s]) / 2 + 1 for s in sizes)
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(None, None, None, 1), (1, "", None, 2), (2, "a b", "s", 3), (2, "a b", "s", 3), (3, "a b c", "t", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
     got = mixing.mix(frame).collect()
     assert len(got) == 5 and {r["doc_id"]: r["size"] for r in got} == {None: 0, 1: 0, 2: 2, 3: 2}
     assert mixing.apply_mix(frame).columns == frame.columns
-    assert mixing.mix(frame.limit(0)).count() == 0
+    assert mixing.mix(frame.limit(0)).count() == 0 and mixing.apply_mix(frame.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, source string, size int")
+    assert [r["taken"] for r in mixing.mix(nulls).collect()] == [0, 0, 0]
+    long = spark.createDataFrame([(1, "word " * 400_000, "s"), (2, "a b", "t")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(long).collect()} == {1: 400_000, 2: 2}
 
 
 # Chats.

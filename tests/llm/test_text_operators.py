@@ -247,6 +247,20 @@ def test_cascade_order_and_verdict():
     assert quality.verdict(x, [dear, cheap]) == "dear" and quality.verdict(quality.Features("ab"), [cheap]) is None
 
 
+def test_costs_leave_out_what_is_paid_for():
+    dear, cheap = quality.Rule("dear", lambda x: x.n_repeat_words >= 0), quality.Rule("cheap", lambda x: len(x.text) > 2)
+    texts = ["a b c d e f g h " * 200] * 50
+    fresh, paid = (dict((r.name, cost) for r, cost, _ in quality.ordered(texts, (dear, cheap), paid=p)) for p in ((), ("n_repeat_words",)))
+    assert paid["dear"] < fresh["dear"] / 5
+
+
+def test_sample_is_spread_over_the_table_and_bounded(spark):
+    frame = spark.range(0, 4000, 1, 40).selectExpr("id as doc_id", "case when id % 7 = 0 then null when id % 5 = 0 then repeat('x', 100000) else concat('t', id div 100) end as text")
+    got = quality.sample(frame, 80)
+    assert len(got) == 80 and len(set(got)) == 40 and all(len(t) < 10 for t in got)
+    assert len(quality.sample(frame, 10)) == 10 and quality.sample(frame.limit(0)) == []
+
+
 def test_repeat_words_by_definition():
     rng = random.Random(9)
     for _ in range(200):
