@@ -79,6 +79,58 @@ def test_backoff_goes_down_the_orders():
     assert m.score_word("zzz").tolist() == [0, 0]
 
 
+def test_scores_against_a_model_of_strings():
+    """The same definition in plain dictionaries of words and n-grams, a word at a time."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(61)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "un", "er", "ka"], "cc": ["я", "не", "ко", "та"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(lang, text(lang, rng.randint(1, 40))) for lang in syllables for _ in range(8)]
+    langs = sorted(syllables)
+    tables = {o: {lang: Counter() for lang in langs} for o in range(6)}
+    for lang, t in rows:
+        for w in language_id.words_of(t):
+            tables[0][lang][w] += 1
+            for o in range(1, 6):
+                tables[o][lang].update(language_id.grams_of(w, o))
+
+    def entry(o, e):
+        unseen = math.log(0.5 / max(sum(c.values()) for c in tables[o].values()))
+        return [math.log(tables[o][lang][e] / sum(tables[o][lang].values())) if tables[o][lang][e] else unseen for lang in langs]
+
+    known = lambda o, e: any(tables[o][lang][e] for lang in langs)
+
+    def score(w):
+        if known(0, w):
+            return entry(0, w)
+        for o in (5, 4, 3, 2, 1):
+            found = [entry(o, g) for g in language_id.grams_of(w, o) if known(o, g)]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    counted = language_id._count([r[0] for r in rows], [r[1] for r in rows])
+    model = language_id.Model.of_counts(langs, [langs.index(x) for x in counted[0]], counted[1], np.array(counted[2]).view(np.uint64), counted[3])
+    probes = [text(rng.choice(langs), rng.randint(1, 30)) for _ in range(60)] + ["kaschя zzz", "日本", "ka"]
+    words = sorted({w for t in probes for w in language_id.words_of(t)})
+    assert np.allclose(model.score_words(words), [score(w) for w in words], atol=1e-4)
+    for (lang, share), t in zip(model.predict_all(probes), probes, strict=True):
+        totals = [sum(c) for c in zip(*(score(w) for w in language_id.words_of(t)), strict=True)]
+        root = math.sqrt(len(language_id.words_of(t)))
+        expected = 1 / sum(math.exp((x - max(totals)) / root) for x in totals)
+        assert totals[langs.index(lang)] >= max(totals) - 1e-3 and share == pytest.approx(expected, abs=1e-3)
+    assert model.predict_all(probes) == [model.predict(t) for t in probes]
+
+
+def test_languages_have_equal_shares_of_the_sample(spark):
+    rows = [(i, f"großes wort {i}", "aa") for i in range(2000)] + [(5000 + i, f"kleine rede {i}", "bb") for i in range(30)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=100)
+    assert model.languages == ["aa", "bb"]
+    assert model.predict("kleine rede")[0] == "bb" and model.predict("großes wort")[0] == "aa"
+
+
 def test_rejected_documents_go(odd):
     model = language_id.train(odd)
     kept = language_id.keep_identified(odd, model)
