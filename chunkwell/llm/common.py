@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,12 +18,18 @@ _LOCAL_ROOT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A temporary folder is taken only where neither is set and the master is local; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="chunkwell-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], ignore_errors=True)
     return f"file://{_LOCAL_ROOT[0]}"
 
 
