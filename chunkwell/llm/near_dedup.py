@@ -9,7 +9,7 @@ are candidates; they are linked if the edit distance of their words is at most
 
 Classes are the connected components of the links, as if all members of a bucket of equal sketches
 were compared.  First every document is compared with those of smallest and of largest ``doc_id``
-in its bucket, its leaders.  A bucket whose members are then in one class is done.  The members of
+in its bucket, its leaders (pairs whose lengths alone rule a link out are left out everywhere).  A bucket whose members are then in one class is done.  The members of
 the others, such as unlike documents that share a passage, are dealt anew, exactly: of documents within
 the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
 rarest words of each (a word's occurrences count as different words).  A frequent passage of less than ``SIMILARITY``
@@ -303,12 +303,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")
-    distinct = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-    buckets = distinct.select("doc_id", F.explode("sketches").alias("sketch"))
+    distinct = wordy.select("doc_id", "sketches", F.expr("length(payload) div 4").alias("words")).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    buckets = distinct.select("doc_id", "words", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
-    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("last > leader").select(F.col("sketch").alias("s2"), "leader", "last", "size")
-    leaders, leaders_path = store(leaders, "near-leaders")
-    met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.array("leader", "last")).alias("other")).where("doc_id <> other")
+    ends = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.min_by("words", "doc_id").alias("leader_words"), F.max("doc_id").alias("last"), F.max_by("words", "doc_id").alias("last_words"), F.count(F.lit(1)).alias("size"))
+    leaders, leaders_path = store(ends.where("last > leader").withColumnRenamed("sketch", "s2"), "near-leaders")
+    fits = lambda other: F.abs(F.col("words") - other) <= F.floor((1 - similarity) * F.greatest("words", other) + 1e-9)
+    either = F.array(F.when(fits(F.col("leader_words")), F.col("leader")), F.when(fits(F.col("last_words")), F.col("last")))
+    met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.filter(either, lambda x: x != F.col("doc_id"))).alias("other"))
     pairs = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
     payload = base.select("doc_id", "payload")
