@@ -241,7 +241,7 @@ def _note(regions, region: Region) -> None:
 
 
 #: Chunks that are hashed together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 32 << 20
 
 
 def records(source: Input, begin: int = 0, stop: int | None = None, recover: bool = False, regions: list[Region] | None = None, verify: bool = True, projection=None, want=lambda chunk: True, exact: bool = False) -> Iterator[tuple[Chunk, pa.Array, bool]]:
