@@ -14,13 +14,14 @@ the others, such as unlike documents that share a passage, are dealt anew, exact
 the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
 rarest words of each (a word's occurrences count as different words).  A frequent passage of less than ``SIMILARITY``
 of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
-rare word are of several classes, those outside the largest class are compared with all of other classes.
+rare word are of several classes, those outside the largest class are compared with all of other classes
+that share a sketch with them.
 So every pair of a bucket is compared or in one class already.  This grows with the product of
 the two sides: many documents that share even their rarest words and yet are unlike are compared pair by pair.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
-buckets.  Texts travel as 4 bytes a word: two different words look equal once in four billion, which
-can raise a similarity by far less than one edit and can never lower it.
+buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
+can raise a similarity by 0.00002 and can never lower it.
 
 Cases: a null text or one without words is in a class of its own; so is a row without
 ``doc_id`` (its class is null).  A text of fewer than ``SHINGLE`` words is one k-mer.  Rows with
@@ -46,6 +47,7 @@ SIMILARITY = 0.8
 #: Of each text, so many of its rarest words are marked, and of those in more texts than FREQUENT.
 FIRST, FIRST_FREQUENT = 4, 16
 FREQUENT = 64
+BAG = 64
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -190,12 +192,13 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def _sketch_rows(ids, digests, texts):
-    payload, sketches = [], []
+    payload, codes, sketches = [], [], []
     for t in texts:
         h = word_hashes(t)
-        payload.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
+        payload.append((h >> np.uint64(48)).astype(np.uint16).tobytes())
+        codes.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
         sketches.append(sketch(h, SKETCHES).tolist())
-    return ids, digests, payload, sketches
+    return ids, digests, payload, codes, sketches
 
 
 def _verify(similarity: float):
@@ -203,9 +206,11 @@ def _verify(similarity: float):
         import pyarrow as pa
 
         for batch in batches:
-            ok = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            for lo, hi in slices(batch.column(2), 500_000):
+                part = batch.slice(lo, hi - lo)
+                ok = [alike(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), similarity) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                kept = part.filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return run
 
@@ -220,7 +225,7 @@ def prefix_size(words: int, similarity: float = SIMILARITY) -> int:
 
 
 def _rows_of_words(batches):
-    """The labelled words of each text."""
+    """The labelled words of each text, and how many of its words fall into each of ``BAG`` groups."""
     import pyarrow as pa
 
     for batch in batches:
@@ -229,17 +234,18 @@ def _rows_of_words(batches):
             found = [labelled_kmers(c.astype(np.uint64), 1).view(np.int64) for c in codes]
             ends = np.cumsum([0, *map(len, found)])
             words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words], names=["doc_id", "class", "all_words"])
+            bags = pa.array([np.bincount(c % BAG, minlength=BAG).tolist() for c in codes], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words, bags], names=["doc_id", "class", "all_words", "bag"])
 
 
-def _rare_buckets(ids: DataFrame, payload: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """``sketch, doc_id, class, words, size, first`` and where it is stored: each of ``ids`` (``doc_id, class``) in a bucket for each of its rarest words.
+def _rare_buckets(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``sketch, doc_id, class, words, size, first``, the bag of each text, and where they are stored: each of ``ids`` (``doc_id, class``) in a bucket for each of its rarest words.
 
     ``first`` marks the few words of a text by which pairs that share many words are found once, see :func:`_pairs_of_classes`.
     """
-    own = payload.select(F.col("doc_id").alias("id1"), "payload")
-    texts = ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "payload")
-    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>"), "near-texts")
+    own = base.select(F.col("doc_id").alias("id1"), "codes")
+    texts = ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "codes")
+    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>, bag array<int>"), "near-texts")
     each = texts.select("doc_id", "class", F.size("all_words").cast("long").alias("words"), F.explode("all_words").alias("word"))
     counts, counts_path = store(each.groupBy(F.col("word").alias("w2")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-counts")
     shared = each.join(counts, F.col("word") == F.col("w2"))
@@ -251,8 +257,8 @@ def _rare_buckets(ids: DataFrame, payload: DataFrame, similarity: float) -> tupl
     room = F.floor((1 - similarity) * F.col("words") + 1e-9) + 1 - (F.col("words") - F.col("n"))  # prefix_size
     first = (F.col("rank") <= FIRST) | F.col("frequent").between(1, FIRST_FREQUENT)
     rest, rest_path = store(ranked.where(F.col("rank") <= room).select(F.col("word").alias("sketch"), "doc_id", "class", "words", "size", first.alias("first")), "near-rest")
-    drop_stored(ids.sparkSession, texts_path, counts_path)
-    return rest, rest_path
+    drop_stored(ids.sparkSession, counts_path)
+    return rest, texts.select("doc_id", "bag"), [rest_path, texts_path]
 
 
 def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
@@ -272,8 +278,10 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
 
 
-def _pairs_of_classes(rest: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes whose lengths allow a link.
+def _pairs_of_classes(rest: DataFrame, undecided: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes whose lengths allow a link
+    and that share one of their undecided sketches (``undecided``: ``doc_id, sketches, bag``).
+    An edit lessens the excess of either bag over the other by one at most.
 
     Texts that share many words would meet once for each; if their first words have some in
     common, they meet for the first of these alone.
@@ -282,20 +290,23 @@ def _pairs_of_classes(rest: DataFrame, similarity: float) -> tuple[DataFrame, li
     several = counted.groupBy(F.col("sketch").alias("s3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     several, several_path = store(several, "near-several")
     marked = rest.where("first").groupBy(F.col("doc_id").alias("id3")).agg(F.transform(F.sort_array(F.collect_set(F.struct("size", "sketch"))), lambda x: x["sketch"]).alias("firsts"))
-    mixed = rest.join(several, F.col("sketch") == F.col("s3")).join(marked, F.col("doc_id") == F.col("id3"), "left")
-    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
-    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"))
+    of_text = undecided.select(F.col("doc_id").alias("id4"), "sketches", "bag")
+    mixed = rest.join(several, F.col("sketch") == F.col("s3")).join(marked, F.col("doc_id") == F.col("id3"), "left").join(of_text, F.col("doc_id") == F.col("id4"))
+    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", "sketches", "bag", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
+    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("sketches").alias("k"), F.col("bag").alias("bag2"))
     fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
+    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
+    near = F.greatest(excess("bag", "bag2"), excess("bag2", "bag")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
     common = F.array_intersect("firsts", "f2")
     once = (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == F.col("sketch"))
-    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & once)
+    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & F.arrays_overlap("sketches", "k") & near & once)
     return met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct(), [several_path, mixed_path]
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` of its class."""
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, sketches array<long>", _CACHE.clear), "near-base")
+    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, codes binary, sketches array<long>", _CACHE.clear), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
     first, first_path = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
@@ -303,7 +314,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")
-    distinct = wordy.select("doc_id", "sketches", F.expr("length(payload) div 4").alias("words")).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    distinct = wordy.select("doc_id", "sketches", F.expr("length(payload) div 2").alias("words")).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
     buckets = distinct.select("doc_id", "words", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
     ends = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.min_by("words", "doc_id").alias("leader_words"), F.max("doc_id").alias("last"), F.max_by("words", "doc_id").alias("last_words"), F.count(F.lit(1)).alias("size"))
@@ -319,16 +330,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
     classed = _with_class(distinct.select("doc_id", "sketches"), found).select("doc_id", "class", F.explode("sketches").alias("sketch"))
     inner = classed.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "class")
-    undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
-    rest, rest_path = _rare_buckets(undecided, payload, similarity)
-    drop_stored(docs.sparkSession, buckets_path, leaders_path, undecided_path)
-    more, more_paths = _pairs_of_classes(rest, similarity)
+    undecided, undecided_path = store(_mixed_buckets(inner).groupBy("doc_id").agg(F.min("class").alias("class"), F.collect_set("sketch").alias("sketches")), "near-undecided")
+    rest, bags, rest_paths = _rare_buckets(undecided.select("doc_id", "class"), base, similarity)
+    drop_stored(docs.sparkSession, buckets_path, leaders_path)
+    more, more_paths = _pairs_of_classes(rest, undecided.join(bags, "doc_id"), similarity)
     more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
     new = _links(more, payload, similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links
         found = components(found.toDF("a", "b").unionByName(new), "near-cc")
-    paths = [base_path, first_path, pairs_path, rest_path, more_path, *more_paths]
+    paths = [base_path, first_path, pairs_path, *rest_paths, undecided_path, more_path, *more_paths]
     drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out
