@@ -7,7 +7,9 @@ parser, which keeps a stack of open groups.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -290,7 +292,7 @@ def _scalar_pieces(spec: Spec, rows: np.ndarray, values: pa.Array) -> Pieces:
         size = end - begin
         head, width = V.encode_many(size)
         total = len(tag) + width + size
-        out, at = np.zeros(int(total.sum()), dtype=np.uint8), np.concatenate([[0], np.cumsum(total)[:-1]]).astype(np.int64)
+        out, at = np.zeros(int(total.sum()), dtype=np.uint8), (np.cumsum(total) - total).astype(np.int64)
         for j, b in enumerate(tag):
             out[at + j] = b
         at = at + len(tag)
@@ -339,7 +341,7 @@ def _field_pieces(spec: Spec, values: pa.Array) -> list[Pieces]:
 
 def _wrapped(head: np.ndarray, size: np.ndarray, data: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = size + len(head) + len(tail)
-    out, at = np.zeros(int(total.sum()), dtype=np.uint8), np.concatenate([[0], np.cumsum(total)[:-1]]).astype(np.int64)
+    out, at = np.zeros(int(total.sum()), dtype=np.uint8), (np.cumsum(total) - total).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(size)])
     for j, x in enumerate(head):
         out[at + j] = x
@@ -377,29 +379,36 @@ def encode_columns(columns: list[pa.Array], specs, n: int) -> pa.Array:
 
 def decode_events(e: Events, specs, n: int) -> list[pa.Array]:
     """The columns of a typed view; of a field that occurs again the last one counts, absent ones are null."""
-    out = []
+    out, every = [], e
     if len(e.depth) and e.depth.any():
-        e = e.where(_outermost(e))
+        e = e.where(e.depth == 0)
     for spec in specs:
         wire = (V.START_GROUP if spec.group else V.BYTES) if not isinstance(spec.kind, str) else _WIRES[spec.kind]
-        if spec.group:
-            raise NotImplementedError("reading groups into columns; use fields_of")
-        at = np.flatnonzero((e.number == spec.number) & (e.wire == wire))
+        of = every if spec.group else e
+        at = np.flatnonzero((of.number == spec.number) & (of.wire == wire) & (of.depth == 0))
         if not spec.repeated and len(at):
-            at = at[np.append(e.record[at][1:] != e.record[at][:-1], True)]
-        values = _decoded(e, at, spec)
+            at = at[np.append(of.record[at][1:] != of.record[at][:-1], True)]
+        values = _decoded_groups(of, at, spec) if spec.group else _decoded(of, at, spec)
         if spec.repeated:
-            counts = np.bincount(e.record[at], minlength=n)
+            counts = np.bincount(of.record[at], minlength=n)
             out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values))
         else:
             place = np.full(n, -1, dtype=np.int64)
-            place[e.record[at]] = np.arange(len(at))
+            place[of.record[at]] = np.arange(len(at))
             out.append(values.take(pa.array(place, mask=place < 0)))
     return out
 
 
-def _outermost(e: Events) -> np.ndarray:
-    return e.depth == 0
+def _decoded_groups(e: Events, at: np.ndarray, spec: Spec) -> pa.Array:
+    """The outermost groups that begin at ``at``, each up to its end, as structs."""
+    ends = np.flatnonzero((e.wire == V.END_GROUP) & (e.depth == 0))
+    stop = ends[np.searchsorted(ends, at)] if len(at) else at
+    size = stop - at - 1
+    before = np.cumsum(size) - size
+    inside = np.repeat(at + 1 - before, size) + np.arange(int(size.sum()))
+    inner = e.where(inside)
+    inner.record, inner.depth, inner.ok = np.repeat(np.arange(len(at)), size), inner.depth - 1, np.ones(len(at), dtype=bool)
+    return pa.StructArray.from_arrays(decode_events(inner, spec.kind, len(at)), fields=list(Spec("", 0, spec.kind).arrow))
 
 
 def _decoded(e: Events, at: np.ndarray, spec: Spec) -> pa.Array:
@@ -430,3 +439,85 @@ def encode_one(values: dict, specs) -> bytes:
     return encode_columns([pa.array([values.get(s.name)], s.arrow) for s in specs], specs, 1)[0].as_py()
 
 
+
+
+class MessageWriter:
+    """Builds one message field by field; submessages and groups are scopes that have to be closed."""
+
+    def __init__(self):
+        self._open: list[tuple[int, int, bytearray]] = []  # (number, wire, bytes before it)
+        self._bytes = bytearray()
+
+    def _tagged(self, number: int, wire: int, value: bytes = b"") -> MessageWriter:
+        if not 1 <= number <= MAX_NUMBER:
+            raise ValueError(f"field number {number}")
+        self._bytes += V.encode_u64(V.make_tag(number, wire)) + value
+        return self
+
+    def varint(self, number: int, value: int) -> MessageWriter:
+        """An unsigned, signed (two's complement in 64 bits) or boolean value."""
+        return self._tagged(number, V.VARINT, V.encode_u64(int(value) & (1 << 64) - 1))
+
+    def zigzag(self, number: int, value: int) -> MessageWriter:
+        return self.varint(number, V.zigzag(value))
+
+    def fixed32(self, number: int, value: int) -> MessageWriter:
+        return self._tagged(number, V.FIXED32, (int(value) & 0xFFFFFFFF).to_bytes(4, "little"))
+
+    def fixed64(self, number: int, value: int) -> MessageWriter:
+        return self._tagged(number, V.FIXED64, (int(value) & (1 << 64) - 1).to_bytes(8, "little"))
+
+    def float32(self, number: int, value: float) -> MessageWriter:
+        return self._tagged(number, V.FIXED32, struct.pack("<f", value))
+
+    def float64(self, number: int, value: float) -> MessageWriter:
+        return self._tagged(number, V.FIXED64, struct.pack("<d", value))
+
+    def data(self, number: int, value: bytes | str) -> MessageWriter:
+        raw = value.encode() if isinstance(value, str) else bytes(value)
+        return self._tagged(number, V.BYTES, V.encode_u64(len(raw)) + raw)
+
+    def field(self, f: Field) -> MessageWriter:
+        """A field event as it is; the ends of groups are not balanced against the scopes."""
+        self._bytes += serialize_field(f)
+        return self
+
+    def start_group(self, number: int) -> MessageWriter:
+        """The tag alone, without a scope."""
+        return self._tagged(number, V.START_GROUP)
+
+    def end_group(self, number: int) -> MessageWriter:
+        return self._tagged(number, V.END_GROUP)
+
+    @contextmanager
+    def _scope(self, number: int, wire: int):
+        self._open.append((number, wire, self._bytes))
+        self._bytes = bytearray()
+        yield self
+        inner, (_, _, self._bytes) = bytes(self._bytes), self._open.pop()
+        if wire == V.BYTES:
+            self.data(number, inner)
+        else:
+            self.start_group(number)._bytes += inner
+            self.end_group(number)
+
+    def submessage(self, number: int):
+        """``with w.submessage(3): ...`` puts what is written inside into field 3."""
+        return self._scope(number, V.BYTES)
+
+    def group(self, number: int):
+        return self._scope(number, V.START_GROUP)
+
+    def __len__(self) -> int:
+        return len(self._bytes)
+
+    def as_bytes(self) -> bytes:
+        """What the innermost open scope has so far."""
+        return bytes(self._bytes)
+
+    def finish(self) -> bytes:
+        """The message; an error while a scope is open."""
+        if self._open:
+            raise MessageError(f"{len(self._open)} scopes are open")
+        out, self._bytes = bytes(self._bytes), bytearray()
+        return out

@@ -228,6 +228,55 @@ def handlers_fold(spark, sf_dir):
     return parts.agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")])
 
 
+def handlers_static(spark, sf_dir):
+    """Handler objects of one, two and three fields and the empty set, over every message."""
+
+    def of(numbers):
+        def make():
+            sums = dict.fromkeys(numbers, 0)
+
+            class Sum(M.FieldHandler):
+                def __init__(self, number):
+                    self.number = number
+
+                def on_varint(self, value):
+                    sums[self.number] += value
+
+            return M.HandlerSet(*[Sum(n) for n in numbers]), lambda i, r: None, lambda: (len(numbers), sum(sums.values()))
+
+        return make
+
+    rows = _lineitem(spark, sf_dir)
+    parts = None
+    for numbers in ((), (1,), (1, 2), (1, 2, 3)):
+        one = M.fold_records(rows, of(numbers), "fields long, total long")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("fields").agg(F.sum("total").alias("total"))
+
+
+def groups_roundtrip(spark, sf_dir):
+    """Nations with their region as a group, and keys as repeated groups, written and read as columns."""
+    inner = (Spec("r_regionkey", 1, "uint64"), Spec("r_name", 2, "string"))
+    key = (Spec("k", 1, "uint64"),)
+    spec = (Spec("n_nationkey", 1, "uint64"), Spec("region", 2, inner, group=True), Spec("keys", 3, key, repeated=True, group=True))
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").cast("long").alias("n_nationkey"), F.struct(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name").alias("region"),
+        F.transform(F.sequence(F.lit(0), F.col("n_regionkey").cast("int")), lambda k: F.struct(k.cast("long").alias("k"))).alias("keys"),
+    )
+    path = _write(rows.select(M.encode_message(spec).alias("record")), scratch(spark, "groups"), transpose=True)
+    m = _read(spark, path).select(M.decode_message(F.col("record"), spec).alias("m")).select("m.*")
+    return m.select("n_nationkey", "region.r_name", F.aggregate("keys", F.lit(0).cast("long"), lambda t, k: t + k["k"]).alias("key_sum"))
+
+
+def positions_text(spark, sf_dir):
+    """Every record's position as text gives chunk and index back, and orders as its number does."""
+    rows = _read(spark, _sorted_events(spark, sf_dir, "text")).select("_path", "pos", "chunk_begin", "record_index", P.position_text(F.col("chunk_begin"), F.col("record_index")).alias("text"))
+    parts = F.split("text", "/")
+    bad = (parts[0].cast("long") != F.col("chunk_begin")) | (parts[1].cast("long") != F.col("record_index")) | (parts[0].cast("long") + parts[1].cast("long") != F.col("pos"))
+    return rows.agg(F.sum(bad.cast("long")).alias("bad"), F.count_distinct("_path", "text").alias("n"))
+
+
 def nonproto_fallback(spark, sf_dir):
     """Events as messages among documents that are none; told apart by content."""
     events = _table(spark, sf_dir, "events").select(M.encode_message(EVENT).alias("record"))
@@ -436,6 +485,7 @@ QUERIES = {
         message_roundtrip, record_count, scan_count, extract_varint_column, extract_repeated, project_fields, project_nested, project_existence_only, filter_fields_file, search_key, seek_tail,
         seek_numeric_tail, seek_back_pairs, chunk_packing, varint_length, varint_hex, zigzag, field_tags, field_iterator, handlers_fold, nonproto_fallback, concat_files, recovery_skip, tail_stream, skipped_regions, validate_files,
         transposed_roundtrip, project_transposed_file, project_simple_file, file_metadata, mixed_codecs, damaged_tail, damaged_metadata, written_options, seek_position, search_absent, permissive_messages,
+        handlers_static, groups_roundtrip, positions_text,
     )
 }
 
@@ -481,6 +531,9 @@ ORACLE_SQL = {
     "damaged_metadata": "SELECT false AS damaged, 'regions' AS file_comment, CAST(5 AS BIGINT) AS num_records UNION ALL SELECT true, NULL, NULL",
     "written_options": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(6 AS BIGINT) AS n FROM nation",
     "seek_position": f"SELECT event_id FROM {_NUMBERED} WHERE n >= (((SELECT count(*) FROM events) - 1) // 256) * 256 + 3",
+    "handlers_static": "SELECT CAST(0 AS BIGINT) AS fields, CAST(0 AS BIGINT) AS total UNION ALL SELECT 1, CAST(sum(l_orderkey) AS BIGINT) FROM lineitem UNION ALL SELECT 2, CAST(sum(l_orderkey + l_partkey) AS BIGINT) FROM lineitem UNION ALL SELECT 3, CAST(sum(l_orderkey + l_partkey + l_suppkey) AS BIGINT) FROM lineitem",
+    "groups_roundtrip": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, r_name, CAST(n_regionkey * (n_regionkey + 1) // 2 AS BIGINT) AS key_sum FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "positions_text": "SELECT CAST(0 AS BIGINT) AS bad, count(*) AS n FROM events",
     "search_absent": "SELECT event_id FROM events WHERE false",
     "permissive_messages": "SELECT n_nationkey % 2 = 0 AS strict, true AS permissive, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1",
 }

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from helpers import random_message
 
+from chunkwell.functions import messages as M
 from chunkwell.functions import varint as V
 from chunkwell.functions.errors import MessageError
 from chunkwell.functions.messages import Spec, copy_fields, decode_events, encode_columns, encode_one, fields_of, is_message, parse, serialize_field
@@ -160,3 +161,49 @@ def test_positions():
     for bad in ("", "1", "1/", "/1", "-1/2", "1/2/3", f"{2**64}/0", f"{2**64 - 1}/1"):
         with pytest.raises(ValueError):
             Position.parse(bad)
+
+
+def test_groups_in_typed_columns():
+    inner = (M.Spec("a", 1, "uint64"), M.Spec("s", 2, "string"))
+    deep = (M.Spec("x", 1, "uint64"), M.Spec("again", 3, inner, group=True))
+    specs = (M.Spec("id", 1, "uint64"), M.Spec("one", 3, deep, group=True), M.Spec("many", 4, inner, repeated=True, group=True), M.Spec("sub", 5, deep))
+    rows = [
+        {"id": 7, "one": {"x": 1, "again": {"a": 5, "s": "in"}}, "many": [{"a": 1, "s": None}, {"a": None, "s": "q"}], "sub": {"x": None, "again": {"a": 9, "s": None}}},
+        {"id": 8, "one": None, "many": [], "sub": None},
+        {"id": None, "one": {"x": None, "again": None}, "many": [{"a": None, "s": None}], "sub": {"x": 3, "again": None}},
+    ]
+    records = M.encode_columns([pa.array([r[s.name] for r in rows], s.arrow) for s in specs], specs, 3)
+    got = M.decode_events(M.parse(records), specs, 3)
+    assert [dict(zip((s.name for s in specs), values, strict=True)) for values in zip(*(c.to_pylist() for c in got), strict=True)] == rows
+
+
+def test_writer_scopes_groups_and_raw_fields():
+    w = M.MessageWriter()
+    w.varint(1, 300).varint(2, -1).zigzag(3, -2).fixed32(4, 7).fixed64(5, 8).float32(6, 1.5).float64(7, -2.5).data(8, "text").data(9, b"\0\1")
+    with w.submessage(10):
+        w.varint(1, 1)
+        with w.group(2):
+            w.data(1, "deep")
+        assert w.as_bytes().endswith(V.encode_u64(V.make_tag(2, V.END_GROUP)))
+    with w.submessage(11):
+        pass
+    w.start_group(12).varint(1, 4).end_group(12).field(M.Field(13, V.BYTES, b"raw", 0, 0))
+    raw = w.finish()
+    assert M.is_message(raw) and len(w) == 0
+    events = [(f.number, f.wire, f.value) for f in M.fields_of(raw)]
+    assert events[:3] == [(1, V.VARINT, 300), (2, V.VARINT, 2**64 - 1), (3, V.VARINT, 3)] and events[-1] == (13, V.BYTES, b"raw")
+    assert (10, V.BYTES, M.MessageWriter().varint(1, 1).start_group(2).data(1, "deep").end_group(2).finish()) in events and (11, V.BYTES, b"") in events
+    open_one = M.MessageWriter()
+    with pytest.raises(Exception, match="scopes"), open_one.submessage(1):
+        open_one.finish()
+    for bad in (0, 1 << 29):
+        with pytest.raises(ValueError):
+            M.MessageWriter().varint(bad, 1)
+
+
+def test_projection_predicates():
+    assert Projection.all().is_all and Projection(Field(())).is_all and not Projection(Field((), existence_only=True)).is_all
+    p = Projection(Field((1, 2)), Field((3,), existence_only=True))
+    assert not p.is_all and p.has_full_include and p.mentions(2) and p.mentions(3) and not p.mentions(4)
+    assert not Projection(Field((3,), existence_only=True)).has_full_include
+    assert Projection.all().add(Field((1,))).is_all
