@@ -20,10 +20,6 @@ SIGNATURE, METADATA, PADDING, SIMPLE, TRANSPOSED = b"smprt"
 MAX_RECORDS = (1 << 56) - 1
 
 
-def is_block_boundary(pos: int) -> bool:
-    return pos % BLOCK == 0
-
-
 def block_start(pos: int) -> int:
     """The block boundary at or before ``pos``."""
     return pos - pos % BLOCK
@@ -33,10 +29,6 @@ def remaining_in_block(pos: int) -> int:
     return -pos % BLOCK
 
 
-def remaining_in_block_header(pos: int) -> int:
-    return max(0, BLOCK_HEADER - pos % BLOCK)
-
-
 def is_chunk_boundary(pos: int) -> bool:
     """Whether a chunk can begin at ``pos``: not within or just behind a block header."""
     return remaining_in_block(pos) < USABLE

@@ -90,10 +90,11 @@ def explode_fields(records: DataFrame, record: str = "record", keep: Iterable[st
     return rows.select(*keep, "field_index", "field.*")
 
 
-def copy_message_fields(record: Column, numbers: Iterable[int]) -> Column:
+def copy_message_fields(record: Column, numbers: Iterable[int], path: Column | None = None, pos: Column | None = None) -> Column:
     """The top-level fields with ``numbers``, groups whole; a record that is no message passes unchanged.
 
-    A record that parses but is not canonical is an error that names the record in its batch.
+    A record that parses but is not canonical is an error.  With the ``_path`` and ``pos`` columns of a scan it
+    names the record's file and position, which are the same whatever the splits; else its place in the batch.
     """
     from chunkwell.operators.projection import Field, Projection
 
@@ -101,15 +102,17 @@ def copy_message_fields(record: Column, numbers: Iterable[int]) -> Column:
     top = Projection(*[Field((n,)) for n in sorted(wanted)])
 
     @F.arrow_udf("binary")
-    def run(v: pa.Array) -> pa.Array:
+    def run(v: pa.Array, *where: pa.Array) -> pa.Array:
         bad = np.flatnonzero(~parse(v).ok)
         for i in bad.tolist():
             r = v[i].as_py()
             if r is not None and is_message(r, canonical=False):
+                if where:
+                    raise MessageError(f"a message that is not canonical at {where[0][i].as_py()}:{where[1][i].as_py()}")
                 raise MessageError("a message that is not canonical", i)
         return top.apply_array(v)
 
-    return run(record)
+    return run(record) if path is None or pos is None else run(record, path, pos)
 
 
 def extract_varints(records: DataFrame, number: int, record: str = "record", keep: Iterable[str] = ()) -> DataFrame:

@@ -117,7 +117,7 @@ def project_existence_only(spark, sf_dir):
 def filter_fields_file(spark, sf_dir):
     """File to file: only fields 1 and 3 of each message."""
     source = _write(_lineitem(spark, sf_dir), scratch(spark, "filter-in"), chunkSize=65_536)
-    kept = _read(spark, source).select(M.copy_message_fields(F.col("record"), [1, 3]).alias("record"))
+    kept = _read(spark, source).select(M.copy_message_fields(F.col("record"), [1, 3], F.col("_path"), F.col("pos")).alias("record"))
     target = _write(kept, scratch(spark, "filter-out"), compression="snappy", chunkSize=65_536)
     return _read(spark, target).select(M.decode_message(F.col("record"), LINEITEM).alias("m")).select("m.l_orderkey", "m.l_suppkey")
 

@@ -75,3 +75,58 @@ def test_empty_inputs(spark, tmp_path):
     rows = spark.read.format("recordfile").load(path)
     assert rows.count() == 0
     assert M.extract_varints(rows, 1).count() == 0
+
+
+def test_errors_name_file_and_position(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "n")
+    rows = spark.range(3000).selectExpr("case when id = 2500 then unhex('088000') else unhex('0801') end as record").coalesce(1)
+    rows.write.format("recordfile").option("chunkSize", 4096).mode("append").save(path)
+    read = spark.read.format("recordfile").load(path)
+    at = read.where("record = unhex('088000')").select("_path", "pos").first()
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match=f"canonical at .*{at['pos']}"):
+        read.select(M.copy_message_fields(F.col("record"), [1], F.col("_path"), F.col("pos"))).collect()
+
+
+def test_writer_takes_the_record_column_alone(spark, tmp_path):
+    register(spark)
+    with pytest.raises(Exception, match="one binary column"):
+        spark.range(2).selectExpr("id", "cast('x' as binary) as record").write.format("recordfile").mode("append").save(str(tmp_path / "w"))
+
+
+def test_stream_is_the_batch_under_damage(spark, tmp_path):
+    register(spark)
+    path, out = tmp_path / "s", str(tmp_path / "out")
+    spark.range(40_000).selectExpr("unhex(lpad(hex(id), 16, '0')) as record").coalesce(1).write.format("recordfile").option("chunkSize", 4096).mode("append").save(str(path))
+    file = next(path.glob("*.rec"))
+    whole = file.read_bytes()
+    bad = bytearray(whole)
+    for at in (64 + 3, 200_000, 300_007):
+        bad[at] ^= 255
+    # the file grows in three steps, the last of which completes it
+    for i, size in enumerate((150_000, 333_333, len(bad))):
+        file.write_bytes(bytes(bad[:size]))
+        q = spark.readStream.format("recordfile").option("mode", "DROPMALFORMED").option("splitBytes", 65_536).load(str(path))
+        q.select("pos", "record").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    batch = spark.read.format("recordfile").option("mode", "DROPMALFORMED").load(str(path)).select("pos", "record")
+    streamed = spark.read.parquet(out)
+    assert 0 < batch.count() < 40_000
+    assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
+
+
+def test_ranges_of_index_tables_agree(spark, tmp_path):
+    register(spark)
+    path = tmp_path / "i"
+    spark.range(60_000).selectExpr("unhex(lpad(hex(id), 16, '0')) as record").coalesce(1).write.format("recordfile").option("chunkSize", 4096).mode("append").save(str(path))
+    assert index.record_count(spark, str(path), split_bytes=65_536).first()[0] == 60_000
+    file = next(path.glob("*.rec"))
+    bad = bytearray(file.read_bytes())
+    for at in (64 + 60, 200_000, 300_007):
+        bad[at] ^= 255
+    file.write_bytes(bytes(bad))
+    for table in (index.validate, index.skipped_regions):
+        whole, cut = (sorted(map(tuple, table(spark, str(path), split_bytes=n).collect()), key=str) for n in (1 << 30, 65_536))
+        assert whole == cut
+    assert index.last_skipped_region(spark, str(path)).first()["begin"] == max(r["begin"] for r in index.skipped_regions(spark, str(path)).collect())
