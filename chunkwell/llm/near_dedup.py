@@ -15,7 +15,7 @@ the limit, all words but the edited ones are common to both, so they share one o
 rarest words of each (a word's occurrences count as different words).  A frequent passage of less than ``SIMILARITY``
 of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
 rare word are of several classes, those outside the largest class are compared with all of other classes
-that share a sketch with them.
+whose word counts allow a link.
 So every pair of a bucket is compared or in one class already.  This grows with the product of
 the two sides: many documents that share even their rarest words and yet are unlike are compared pair by pair.
 
@@ -45,7 +45,7 @@ SKETCHES = 64
 PER_SKETCH = 2
 SIMILARITY = 0.8
 #: Of each text, so many of its rarest words are marked, and of those in more texts than FREQUENT.
-FIRST, FIRST_FREQUENT = 4, 16
+FIRST, FIRST_FREQUENT = 4, 8
 FREQUENT = 64
 BAG = 64
 _WORD = re.compile(WORD_PY)
@@ -234,7 +234,8 @@ def _rows_of_words(batches):
             found = [labelled_kmers(c.astype(np.uint64), 1).view(np.int64) for c in codes]
             ends = np.cumsum([0, *map(len, found)])
             words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            bags = pa.array([np.bincount(c % BAG, minlength=BAG).tolist() for c in codes], pa.list_(pa.int32()))
+            # at most 127 in a group: that can only make bags look more alike
+            bags = pa.array([np.minimum(np.bincount(c % BAG, minlength=BAG), 127).tolist() for c in codes], pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words, bags], names=["doc_id", "class", "all_words", "bag"])
 
 
@@ -245,7 +246,7 @@ def _rare_buckets(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[D
     """
     own = base.select(F.col("doc_id").alias("id1"), "codes")
     texts = ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "codes")
-    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>, bag array<int>"), "near-texts")
+    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>, bag array<byte>"), "near-texts")
     each = texts.select("doc_id", "class", F.size("all_words").cast("long").alias("words"), F.explode("all_words").alias("word"))
     counts, counts_path = store(each.groupBy(F.col("word").alias("w2")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-counts")
     shared = each.join(counts, F.col("word") == F.col("w2"))
@@ -278,28 +279,27 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
 
 
-def _pairs_of_classes(rest: DataFrame, undecided: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes whose lengths allow a link
-    and that share one of their undecided sketches (``undecided``: ``doc_id, sketches, bag``).
-    An edit lessens the excess of either bag over the other by one at most.
+def _pairs_of_classes(rest: DataFrame, bags: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes that may be alike.
 
-    Texts that share many words would meet once for each; if their first words have some in
-    common, they meet for the first of these alone.
+    Their lengths have to allow a link, and so do their ``bags``: an edit lessens the excess of either bag
+    over the other by one at most.  Texts that share many words would meet once for each; if their first
+    words have some in common, they meet for the first of these alone.
     """
     counted = rest.groupBy("sketch", "class").agg(F.count(F.lit(1)).alias("n"))
     several = counted.groupBy(F.col("sketch").alias("s3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     several, several_path = store(several, "near-several")
     marked = rest.where("first").groupBy(F.col("doc_id").alias("id3")).agg(F.transform(F.sort_array(F.collect_set(F.struct("size", "sketch"))), lambda x: x["sketch"]).alias("firsts"))
-    of_text = undecided.select(F.col("doc_id").alias("id4"), "sketches", "bag")
+    of_text = bags.select(F.col("doc_id").alias("id4"), "bag")
     mixed = rest.join(several, F.col("sketch") == F.col("s3")).join(marked, F.col("doc_id") == F.col("id3"), "left").join(of_text, F.col("doc_id") == F.col("id4"))
-    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", "sketches", "bag", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
-    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("sketches").alias("k"), F.col("bag").alias("bag2"))
+    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", "bag", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
+    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("bag").alias("bag2"))
     fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
-    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
+    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
     near = F.greatest(excess("bag", "bag2"), excess("bag2", "bag")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
     common = F.array_intersect("firsts", "f2")
     once = (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == F.col("sketch"))
-    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & F.arrays_overlap("sketches", "k") & near & once)
+    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & once & near)
     return met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct(), [several_path, mixed_path]
 
 
@@ -330,16 +330,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
     classed = _with_class(distinct.select("doc_id", "sketches"), found).select("doc_id", "class", F.explode("sketches").alias("sketch"))
     inner = classed.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "class")
-    undecided, undecided_path = store(_mixed_buckets(inner).groupBy("doc_id").agg(F.min("class").alias("class"), F.collect_set("sketch").alias("sketches")), "near-undecided")
-    rest, bags, rest_paths = _rare_buckets(undecided.select("doc_id", "class"), base, similarity)
-    drop_stored(docs.sparkSession, buckets_path, leaders_path)
-    more, more_paths = _pairs_of_classes(rest, undecided.join(bags, "doc_id"), similarity)
+    undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
+    rest, bags, rest_paths = _rare_buckets(undecided, base, similarity)
+    drop_stored(docs.sparkSession, buckets_path, leaders_path, undecided_path)
+    more, more_paths = _pairs_of_classes(rest, bags, similarity)
     more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
     new = _links(more, payload, similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links
         found = components(found.toDF("a", "b").unionByName(new), "near-cc")
-    paths = [base_path, first_path, pairs_path, *rest_paths, undecided_path, more_path, *more_paths]
+    paths = [base_path, first_path, pairs_path, *rest_paths, more_path, *more_paths]
     drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out
