@@ -12,7 +12,7 @@ were compared.  First every document is compared with those of smallest and of l
 in its bucket, its leaders (pairs whose lengths alone rule a link out are left out everywhere).  A bucket whose members are then in one class is done.  The members of
 the others, such as unlike documents that share a passage, are dealt anew, exactly: of documents within
 the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
-rarest words of each (a word's occurrences count as different words).  A frequent passage of less than ``SIMILARITY``
+rarest words of each (a word's occurrences count as different words; rarity is counted in ``GROUPS`` groups of words).  A frequent passage of less than ``SIMILARITY``
 of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
 rare word are of several classes, those outside the largest class are compared with all of other classes
 whose word counts allow a link.
@@ -35,7 +35,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwell.llm.common import WORD_PY, components, drop_stored, map_texts, slices, store
@@ -44,9 +44,11 @@ SHINGLE = 4
 SKETCHES = 64
 PER_SKETCH = 2
 SIMILARITY = 0.8
-#: Of each text, so many of its rarest words are marked, and of those in more texts than FREQUENT.
+#: Groups in which words are counted, to tell frequent ones; a bound of what is broadcast.
+GROUPS = 1 << 18
+#: Of each text, so many of its rarest words are marked, and of those whose group counts FREQUENT times the mean.
 FIRST, FIRST_FREQUENT = 4, 8
-FREQUENT = 64
+FREQUENT = 4
 BAG = 64
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
@@ -224,42 +226,72 @@ def prefix_size(words: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * words + 1e-9) + 1
 
 
-def _rows_of_words(batches):
-    """The labelled words of each text, and how many of its words fall into each of ``BAG`` groups."""
+def _count_words(batches):
+    """How many labelled words of the texts of a task fall into each of ``GROUPS`` groups."""
     import pyarrow as pa
 
+    total = np.zeros(GROUPS, dtype=np.int64)
     for batch in batches:
-        for lo, hi in slices(batch.column(2), 500_000):
-            codes = [np.frombuffer(p, np.uint32) for p in batch.column(2).slice(lo, hi - lo).to_pylist()]
-            found = [labelled_kmers(c.astype(np.uint64), 1).view(np.int64) for c in codes]
-            ends = np.cumsum([0, *map(len, found)])
-            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            # at most 127 in a group: that can only make bags look more alike
-            bags = pa.array([np.minimum(np.bincount(c % BAG, minlength=BAG), 127).tolist() for c in codes], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words, bags], names=["doc_id", "class", "all_words", "bag"])
+        for lo, hi in slices(batch.column(0), 500_000):
+            codes = [np.frombuffer(p, np.uint32) for p in batch.column(0).slice(lo, hi - lo).to_pylist()]
+            words = np.concatenate([labelled_kmers(c.astype(np.uint64), 1) for c in codes])
+            total += np.bincount((words % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grp", "n"])
 
 
-def _rare_buckets(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``sketch, doc_id, class, words, size, first``, the bag of each text, and where they are stored: each of ``ids`` (``doc_id, class``) in a bucket for each of its rarest words.
+def rarest(codes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The ``prefix_size`` first labelled words of a text in an order that all texts share, and the marked ones of them.
 
-    ``first`` marks the few words of a text by which pairs that share many words are found once, see :func:`_pairs_of_classes`.
+    The order is by the count of a word's group, then by the word: rare words stand first (but for
+    those that share a group with a frequent one).  Any order would do; this one keeps buckets small.
+    """
+    words = labelled_kmers(codes.astype(np.uint64), 1)
+    n = counts[(words % np.uint64(GROUPS)).astype(np.int64)]
+    first = np.lexsort((words, n))[: prefix_size(len(words), similarity)]
+    words, n = words[first].view(np.int64), n[first]
+    frequent = np.flatnonzero(n > FREQUENT * max(1.0, counts.mean()))[:FIRST_FREQUENT]
+    return words, words[np.union1d(np.arange(min(FIRST, len(words))), frequent)]
+
+
+def _rows_of_words(counts, similarity: float):
+    """Of each text: its length, its rarest words, the marked ones, and how many of its words fall into each of ``BAG`` groups."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), 500_000):
+                codes = [np.frombuffer(p, np.uint32) for p in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                found = [rarest(c, counts.value, similarity) for c in codes]
+                # at most 127 in a group: that can only make bags look more alike
+                bags = [np.minimum(np.bincount(c % BAG, minlength=BAG), 127) for c in codes]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(c) for c in codes], pa.int64()), *(_lists(x, t) for x, t in (([f for f, _ in found], np.int64), ([m for _, m in found], np.int64), (bags, np.int8)))],
+                    names=["doc_id", "class", "words", "rare", "firsts", "bag"],
+                )
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray], kind):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, kind)]).astype(kind)))
+
+
+def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``doc_id, class, words, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
+
+    Words are counted in ``GROUPS`` groups over all of ``ids``; that table is all that goes to the driver and is broadcast.
     """
     own = base.select(F.col("doc_id").alias("id1"), "codes")
-    texts = ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "codes")
-    texts, texts_path = store(texts.mapInArrow(_rows_of_words, "doc_id long, class long, all_words array<long>, bag array<byte>"), "near-texts")
-    each = texts.select("doc_id", "class", F.size("all_words").cast("long").alias("words"), F.explode("all_words").alias("word"))
-    counts, counts_path = store(each.groupBy(F.col("word").alias("w2")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-counts")
-    shared = each.join(counts, F.col("word") == F.col("w2"))
-    # words that no other text has are the rarest, and those that others have follow; a window is one text
-    by_text = Window.partitionBy("doc_id")
-    in_order = by_text.orderBy("size", "word")
-    frequent = F.sum((F.col("size") > FREQUENT).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = shared.select("doc_id", "class", "words", "word", "size", F.row_number().over(in_order).alias("rank"), frequent.alias("frequent"), F.count(F.lit(1)).over(by_text).alias("n"))
-    room = F.floor((1 - similarity) * F.col("words") + 1e-9) + 1 - (F.col("words") - F.col("n"))  # prefix_size
-    first = (F.col("rank") <= FIRST) | F.col("frequent").between(1, FIRST_FREQUENT)
-    rest, rest_path = store(ranked.where(F.col("rank") <= room).select(F.col("word").alias("sketch"), "doc_id", "class", "words", "size", first.alias("first")), "near-rest")
-    drop_stored(ids.sparkSession, counts_path)
-    return rest, texts.select("doc_id", "bag"), [rest_path, texts_path]
+    codes, codes_path = store(ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "codes"), "near-codes")
+    counts, found = np.zeros(GROUPS, dtype=np.int64), codes.select("codes").mapInArrow(_count_words, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["grp"].to_numpy()] = found["n"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(counts)
+    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "doc_id long, class long, words long, rare array<long>, firsts array<long>, bag array<byte>"), "near-texts")
+    return texts, [codes_path, texts_path]
 
 
 def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
@@ -279,20 +311,18 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
 
 
-def _pairs_of_classes(rest: DataFrame, bags: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, leader``: of each bucket, the members outside its largest class with all members of other classes that may be alike.
+def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``doc_id, leader``: of the bucket of each rare word, the members outside its largest class with all members of other classes that may be alike.
 
-    Their lengths have to allow a link, and so do their ``bags``: an edit lessens the excess of either bag
-    over the other by one at most.  Texts that share many words would meet once for each; if their first
+    Their lengths have to allow a link, and so do their bags: an edit lessens the excess of either bag
+    over the other by one at most.  Texts that share many words would meet once for each; if their marked
     words have some in common, they meet for the first of these alone.
     """
-    counted = rest.groupBy("sketch", "class").agg(F.count(F.lit(1)).alias("n"))
-    several = counted.groupBy(F.col("sketch").alias("s3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    counted = texts.select("class", F.explode("rare").alias("word")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
+    several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     several, several_path = store(several, "near-several")
-    marked = rest.where("first").groupBy(F.col("doc_id").alias("id3")).agg(F.transform(F.sort_array(F.collect_set(F.struct("size", "sketch"))), lambda x: x["sketch"]).alias("firsts"))
-    of_text = bags.select(F.col("doc_id").alias("id4"), "bag")
-    mixed = rest.join(several, F.col("sketch") == F.col("s3")).join(marked, F.col("doc_id") == F.col("id3"), "left").join(of_text, F.col("doc_id") == F.col("id4"))
-    mixed, mixed_path = store(mixed.select("sketch", "doc_id", "class", "words", "main", "bag", F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts")), "near-mixed")
+    each = texts.select("doc_id", "class", "words", "firsts", "bag", F.explode("rare").alias("sketch"))
+    mixed, mixed_path = store(each.join(several, F.col("sketch") == F.col("w3")).drop("w3"), "near-mixed")
     outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("bag").alias("bag2"))
     fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
     excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
@@ -331,15 +361,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classed = _with_class(distinct.select("doc_id", "sketches"), found).select("doc_id", "class", F.explode("sketches").alias("sketch"))
     inner = classed.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "class")
     undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
-    rest, bags, rest_paths = _rare_buckets(undecided, base, similarity)
+    texts, texts_paths = _rare_words(undecided, base, similarity)
     drop_stored(docs.sparkSession, buckets_path, leaders_path, undecided_path)
-    more, more_paths = _pairs_of_classes(rest, bags, similarity)
+    more, more_paths = _pairs_of_classes(texts, similarity)
     more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
     new = _links(more, payload, similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links
         found = components(found.toDF("a", "b").unionByName(new), "near-cc")
-    paths = [base_path, first_path, pairs_path, *rest_paths, more_path, *more_paths]
+    paths = [base_path, first_path, pairs_path, *texts_paths, more_path, *more_paths]
     drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out
