@@ -82,7 +82,6 @@ def plan(base: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, bins: in
     t = targets(totals, weights, most)
     m = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     t = t.withColumn("__mix_whole", F.floor(m)).withColumn("f", m - F.floor(m))
-    t, _ = store(t, "mix-targets")
     left = F.col("f") * F.col("source_size")
     # from the largest documents on, certain ones are set aside until none of the others has c * x above 1
     larger = Window.partitionBy("source").orderBy(F.col("__mix_x").desc()).rowsBetween(Window.unboundedPreceding, -1)

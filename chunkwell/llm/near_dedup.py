@@ -9,7 +9,7 @@ are candidates; they are linked if the edit distance of their words is at most
 
 Classes are the connected components of the links, as if all members of a bucket of equal sketches
 were compared.  First every document is compared with those of smallest and of largest ``doc_id``
-in its bucket, its leaders (pairs whose lengths alone rule a link out are left out everywhere).  A bucket whose members are then in one class is done.  The members of
+in its bucket, its leaders.  A bucket whose members are then in one class is done.  The members of
 the others, such as unlike documents that share a passage, are dealt anew, exactly: of documents within
 the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
 rarest words of each (a word's occurrences count as different words; rarity is counted in ``GROUPS`` groups of words).  A frequent passage of less than ``SIMILARITY``
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import WORD_PY, components, drop_stored, map_texts, slices, store
+from chunkwell.llm.common import WORD_PY, components, drop_stored, give_back, map_texts, slices, store
 
 SHINGLE = 4
 SKETCHES = 64
@@ -213,6 +213,7 @@ def _verify(similarity: float):
                 ok = [alike(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), similarity) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 kept = part.filter(pa.array(ok, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -236,6 +237,7 @@ def _count_words(batches):
             codes = [np.frombuffer(p, np.uint32) for p in batch.column(0).slice(lo, hi - lo).to_pylist()]
             words = np.concatenate([labelled_kmers(c.astype(np.uint64), 1) for c in codes])
             total += np.bincount((words % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    give_back()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grp", "n"])
 
@@ -270,6 +272,7 @@ def _rows_of_words(counts, similarity: float):
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(c) for c in codes], pa.int64()), *(_lists(x, t) for x, t in (([f for f, _ in found], np.int64), ([m for _, m in found], np.int64), (bags, np.int8)))],
                     names=["doc_id", "class", "words", "rare", "firsts", "bag"],
                 )
+        give_back()
 
     return run
 
@@ -321,8 +324,10 @@ def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, l
     counted = texts.select("class", F.explode("rare").alias("word")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
     several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     several, several_path = store(several, "near-several")
-    each = texts.select("doc_id", "class", "words", "firsts", "bag", F.explode("rare").alias("sketch"))
-    mixed, mixed_path = store(each.join(several, F.col("sketch") == F.col("w3")).drop("w3"), "near-mixed")
+    # what is known of a text joins the words that are left of it, not every one
+    each = texts.select("doc_id", F.explode("rare").alias("sketch")).join(several, F.col("sketch") == F.col("w3")).drop("w3")
+    known = texts.select(F.col("doc_id").alias("id5"), "class", "words", "firsts", "bag")
+    mixed, mixed_path = store(each.join(known, F.col("doc_id") == F.col("id5")).drop("id5"), "near-mixed")
     outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("bag").alias("bag2"))
     fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
     excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
@@ -344,25 +349,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members, _ = store(with_rep.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-members")
 
     reps = members.where("rep = doc_id").select("rep")
-    distinct = wordy.select("doc_id", "sketches", F.expr("length(payload) div 2").alias("words")).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-    buckets = distinct.select("doc_id", "words", F.explode("sketches").alias("sketch"))
+    buckets = wordy.select("doc_id", "sketches").join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("sketches").alias("sketch"))
     buckets, buckets_path = store(buckets, "near-buckets")
-    ends = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.min_by("words", "doc_id").alias("leader_words"), F.max("doc_id").alias("last"), F.max_by("words", "doc_id").alias("last_words"), F.count(F.lit(1)).alias("size"))
-    leaders, leaders_path = store(ends.where("last > leader").withColumnRenamed("sketch", "s2"), "near-leaders")
-    fits = lambda other: F.abs(F.col("words") - other) <= F.floor((1 - similarity) * F.greatest("words", other) + 1e-9)
-    either = F.array(F.when(fits(F.col("leader_words")), F.col("leader")), F.when(fits(F.col("last_words")), F.col("last")))
-    met = buckets.join(leaders, F.col("sketch") == F.col("s2")).select("doc_id", F.explode(F.filter(either, lambda x: x != F.col("doc_id"))).alias("other"))
-    pairs = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
+    leaders = buckets.groupBy("sketch").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("last > leader")
+    leaders, leaders_path = store(leaders.withColumnRenamed("sketch", "s2"), "near-leaders")
+    met, met_path = store(buckets.join(leaders, F.col("sketch") == F.col("s2")).drop("s2"), "near-met")
+    drop_stored(docs.sparkSession, buckets_path, leaders_path)
+    others = met.select("doc_id", F.explode(F.filter(F.array("leader", "last"), lambda x: x != F.col("doc_id"))).alias("other"))
+    pairs = others.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
     payload = base.select("doc_id", "payload")
     links = _links(pairs, payload, similarity)
     found = components(links, "near-cc")
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
-    classed = _with_class(distinct.select("doc_id", "sketches"), found).select("doc_id", "class", F.explode("sketches").alias("sketch"))
-    inner = classed.join(leaders.where("size > 3"), F.col("sketch") == F.col("s2")).where("doc_id <> leader and doc_id <> last").select("sketch", "doc_id", "class")
+    inner = _with_class(met.where("size > 3 and doc_id <> leader and doc_id <> last").select("sketch", "doc_id"), found)
     undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
     texts, texts_paths = _rare_words(undecided, base, similarity)
-    drop_stored(docs.sparkSession, buckets_path, leaders_path, undecided_path)
+    drop_stored(docs.sparkSession, met_path, undecided_path)
     more, more_paths = _pairs_of_classes(texts, similarity)
     more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
     new = _links(more, payload, similarity)

@@ -269,6 +269,8 @@ def test_alike_texts_share_a_rare_word():
                 rank = {k: rng.random() for k in {*pairs[0], *pairs[1]}}  # any order that both share
                 first = [set(sorted(p, key=rank.get)[: near_dedup.prefix_size(len(v), similarity)]) for p, v in zip(pairs, (x, y), strict=True)]
                 assert first[0] & first[1]
+                counts = np.array([rng.choice([0, 1, 50]) for _ in range(near_dedup.GROUPS)]) if not rng.randrange(100) else np.zeros(near_dedup.GROUPS, dtype=np.int64)
+                assert set(near_dedup.rarest(x, counts, similarity)[0].tolist()) & set(near_dedup.rarest(y, counts, similarity)[0].tolist())
 
 
 def test_unlike_texts_with_a_common_passage(spark, monkeypatch):
@@ -500,3 +502,40 @@ def test_pipeline_stages(spark, docs, sf):
     assert counts[1] >= 0.98 * counts[0] and counts[2] < counts[1] and counts[3] == counts[2]
     out = corpus_pipeline.run(spark, sf).collect()
     assert all(r["parity"] and r["round_trip"] for r in out) and len(out) == counts[4]
+
+
+def _pipeline_of(spark, folder, rows, schema):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, very long texts, and columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sketch long, node long, __near long, size int, link long"
+    tail = (1, 2, 3, 4, 5)
+    english = "the cat sat on the mat and the dog lay near the old door while the rain fell softly outside"
+    assert _pipeline_of(spark, tmp_path / "empty", [], schema) == []
+    assert _pipeline_of(spark, tmp_path / "nulls", [(None,) * 10] * 4, schema) == []
+    rows = [
+        (1, english, "en", "s", 5, *tail), (1, english, "en", "s", 5, *tail), (2, english, "en", "s", 5, *tail), (3, None, "en", "s", 5, *tail), (4, "", None, None, None, *(None,) * 5), (5, "12 34", "en", "s", 5, *tail),
+        (6, "der hund und die katze liegen vor der alten tür und schlafen den ganzen tag", "de", "t", 5, *tail), (7, f"{english} again " * 3000, "en", None, 5, *tail), (None, english + " today", "en", "s", 5, *tail),
+    ]
+    got = _pipeline_of(spark, tmp_path / "odd", rows, schema)
+    assert all(r["parity"] and r["round_trip"] for r in got)
+    kept = {r["doc_id"] for r in got}
+    assert {2, 3, 4, 5}.isdisjoint(kept) and kept <= {None, 1, 6, 7}
+
+
+def test_stages_keep_columns_with_any_names(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"word{i * 50 + k}" for k in range(40)), "en", f"s{i % 3}", 5, i, "x", 1.0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, class long, digest string, target double")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == docs.columns
+    by_id = {r[0]: r for r in rows}
+    assert all(tuple(r) == by_id[r["doc_id"]] for r in now.collect())
