@@ -41,7 +41,7 @@ from chunkwell.llm.common import Numbers, map_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Segments kept between batches.
-CACHE = 150_000
+CACHE = 120_000
 #: New segments that are encoded as one text.
 GROUP = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -345,7 +345,7 @@ _CODECS: dict[tuple, Codec] = {}
 
 
 def _codec(data: bytes, threads: int) -> Codec:
-    """One codec for the task's model; :func:`encode` drops it when the task ends, as the worker goes on to other stages."""
+    """One codec for the worker's model; :func:`encode` drops its segments when the task ends."""
     key = (hash(data), threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -361,6 +361,11 @@ def load_model(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _forget() -> None:
+    for codec in _CODECS.values():
+        codec.forget()
+
+
 def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """``doc_id, n_tokens, ids, parity, round_trip`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -372,7 +377,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
         return doc_ids, pa.array(np.diff(borders)), lists, parity, whole
 
-    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean", _CODECS.clear)
+    return map_texts(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean", _forget)
 
 
 def decode(encoded: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
