@@ -15,9 +15,12 @@ the limit, all words but the edited ones are common to both, so they share one o
 rarest words of each (a word's occurrences count as different words; rarity is counted in ``GROUPS`` groups of words).  A frequent passage of less than ``SIMILARITY``
 of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
 rare word are of several classes, those outside the largest class are compared with all of other classes
-whose word counts allow a link.
+whose words allow a link.
 So every pair of a bucket is compared or in one class already.  This grows with the product of
-the two sides: many documents that share even their rarest words and yet are unlike are compared pair by pair.
+the two sides: many documents that share even their rarest words and yet are unlike meet pair by pair.
+
+They are aligned only if ``BITS`` marks of their words allow it: all words of either text but the edited ones
+are in the other, so of two texts within the limit neither has more marks than that which the other lacks.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
 buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
@@ -49,7 +52,10 @@ GROUPS = 1 << 18
 #: Of each text, so many of its rarest words are marked, and of those whose group counts FREQUENT times the mean.
 FIRST, FIRST_FREQUENT = 4, 8
 FREQUENT = 4
+#: Groups of words that a text's bag counts; small, for it travels with each rare word.
 BAG = 64
+#: Marks of a text, a bit for each labelled word; words said more than MANY times before have the last BITS_MANY alone.
+BITS, BITS_MANY, MANY = 2048, 256, 16
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,21 +85,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def occurrences(x: np.ndarray) -> np.ndarray:
+    """How many equal numbers stand before each one."""
+    order = np.argsort(x, kind="stable")
+    s, out = x[order], np.zeros(len(x), dtype=np.uint64)
+    same = s[1:] == s[:-1]
+    if same.any():
+        at = np.arange(len(x))
+        out[order] = (at - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))).astype(np.uint64)
+    return out
+
+
 def labelled_kmers(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """A hash of each k-mer with its occurrence number, in text order."""
     n = max(1, len(h) - size + 1)
     acc = np.zeros(n, dtype=np.uint64)
     for j in range(min(size, len(h))):
         acc = acc * _STEP + h[j : j + n]
-    order = np.argsort(acc, kind="stable")
-    s = acc[order]
-    same = s[1:] == s[:-1]
-    if same.any():
-        at = np.arange(n)
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
-        acc = acc.copy()
-        acc[order] += (at - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return _mixed(acc)
+    return _mixed(acc + occurrences(acc) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sketch(h: np.ndarray, count: int = 32, per: int = PER_SKETCH, size: int = SHINGLE) -> np.ndarray:
@@ -193,14 +202,28 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
+def marks(words: np.ndarray) -> np.ndarray:
+    """``BITS`` marks, as signed 64-bit numbers: a bit for each labelled word of a text's words as they are aligned."""
+    x, out = words.astype(np.uint64), np.zeros(BITS, dtype=bool)
+    h, few = labelled_kmers(x, 1)[: len(x)], np.uint64(BITS - BITS_MANY)
+    out[np.where(occurrences(x) < MANY, h % few, few + h % np.uint64(BITS_MANY)).astype(np.int64)] = True
+    return np.packbits(out).view(np.int64)
+
+
 def _sketch_rows(ids, digests, texts):
-    payload, codes, sketches = [], [], []
+    payload, low, counts, sketches = [], [], [], []
     for t in texts:
         h = word_hashes(t)
         payload.append((h >> np.uint64(48)).astype(np.uint16).tobytes())
-        codes.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
+        low.append((h >> np.uint64(32)).astype(np.uint16).tobytes())
+        counts.append(len(h))
         sketches.append(sketch(h, SKETCHES).tolist())
-    return ids, digests, payload, codes, sketches
+    return ids, digests, payload, low, counts, sketches
+
+
+def _codes(payload: bytes, low: bytes) -> np.ndarray:
+    """32 bits of each word's hash, of which the upper half is what travels to the alignment."""
+    return np.frombuffer(payload, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(low, np.uint16)
 
 
 def _verify(similarity: float):
@@ -233,8 +256,9 @@ def _count_words(batches):
 
     total = np.zeros(GROUPS, dtype=np.int64)
     for batch in batches:
-        for lo, hi in slices(batch.column(0), 500_000):
-            codes = [np.frombuffer(p, np.uint32) for p in batch.column(0).slice(lo, hi - lo).to_pylist()]
+        for lo, hi in slices(batch.column(0), 250_000):
+            part = batch.slice(lo, hi - lo)
+            codes = [_codes(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             words = np.concatenate([labelled_kmers(c.astype(np.uint64), 1) for c in codes])
             total += np.bincount((words % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
     give_back()
@@ -247,30 +271,33 @@ def rarest(codes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY
 
     The order is by the count of a word's group, then by the word: rare words stand first (but for
     those that share a group with a frequent one).  Any order would do; this one keeps buckets small.
+    Words are given by 32 bits of their hash: two that share these share a bucket, which loses nothing.
     """
     words = labelled_kmers(codes.astype(np.uint64), 1)
     n = counts[(words % np.uint64(GROUPS)).astype(np.int64)]
     first = np.lexsort((words, n))[: prefix_size(len(words), similarity)]
-    words, n = words[first].view(np.int64), n[first]
+    words, n = (words[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), n[first]
     frequent = np.flatnonzero(n > FREQUENT * max(1.0, counts.mean()))[:FIRST_FREQUENT]
     return words, words[np.union1d(np.arange(min(FIRST, len(words))), frequent)]
 
 
 def _rows_of_words(counts, similarity: float):
-    """Of each text: its length, its rarest words, the marked ones, and how many of its words fall into each of ``BAG`` groups."""
+    """Of each text: its length, its marks and their number, its rarest words and the marked ones of them, its bag."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for lo, hi in slices(batch.column(2), 500_000):
-                codes = [np.frombuffer(p, np.uint32) for p in batch.column(2).slice(lo, hi - lo).to_pylist()]
-                found = [rarest(c, counts.value, similarity) for c in codes]
+            for lo, hi in slices(batch.column(0), 250_000):
+                part = batch.slice(lo, hi - lo)
+                found = [rarest(_codes(*x), counts.value, similarity) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                bits = [marks(np.frombuffer(p, np.uint16)) for p in part.column(0).to_pylist()]
+                marked = [int(np.unpackbits(b.view(np.uint8)).sum()) for b in bits]
                 # at most 127 in a group: that can only make bags look more alike
-                bags = [np.minimum(np.bincount(c % BAG, minlength=BAG), 127) for c in codes]
+                bags = [np.minimum(np.bincount(np.frombuffer(p, np.uint16) % BAG, minlength=BAG), 127) for p in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(c) for c in codes], pa.int64()), *(_lists(x, t) for x, t in (([f for f, _ in found], np.int64), ([m for _, m in found], np.int64), (bags, np.int8)))],
-                    names=["doc_id", "class", "words", "rare", "firsts", "bag"],
+                    [*part.columns[2:], pa.array(marked, pa.int32()), _lists(bits, np.int64), _lists([f for f, _ in found], np.int32), _lists([m for _, m in found], np.int32), _lists(bags, np.int8)],
+                    names=["doc_id", "class", "words", "marked", "bits", "rare", "firsts", "bag"],
                 )
         give_back()
 
@@ -284,19 +311,48 @@ def _lists(arrays: list[np.ndarray], kind):
 
 
 def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, class, words, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
+    """``doc_id, class, words, marked, bits, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
 
     Words are counted in ``GROUPS`` groups over all of ``ids``; that table is all that goes to the driver and is broadcast.
     """
-    own = base.select(F.col("doc_id").alias("id1"), "codes")
-    codes, codes_path = store(ids.join(own, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "codes"), "near-codes")
-    counts, found = np.zeros(GROUPS, dtype=np.int64), codes.select("codes").mapInArrow(_count_words, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).toArrow()
+    own = base.select(F.col("doc_id").alias("id1"), "payload", "low", "words")
+    codes, codes_path = store(ids.join(own, F.col("doc_id") == F.col("id1")).select("payload", "low", "doc_id", "class", "words"), "near-codes")
+    counts, found = np.zeros(GROUPS, dtype=np.int64), codes.select("payload", "low").mapInArrow(_count_words, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).toArrow()
     counts[found["grp"].to_numpy()] = found["n"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(counts)
-    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "doc_id long, class long, words long, rare array<long>, firsts array<long>, bag array<byte>"), "near-texts")
+    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "doc_id long, class long, words int, marked int, bits array<long>, rare array<int>, firsts array<int>, bag array<byte>"), "near-texts")
     return texts, [codes_path, texts_path]
 
 
+def _most_edits(similarity: float):
+    return F.floor((1 - similarity) * F.greatest("words", "words2") + 1e-9)
+
+
+def _marks_fit(similarity: float):
+    """Whether the marks (``marked, bits`` and ``marked2, bits2``) allow a link; many terms, but compiled ones."""
+    common = F.bit_count(F.get("bits", 0).bitwiseAND(F.get("bits2", 0)))
+    for i in range(1, BITS // 64):
+        common = common + F.bit_count(F.get("bits", i).bitwiseAND(F.get("bits2", i)))
+    return F.greatest("marked", "marked2") - common <= _most_edits(similarity)
+
+
+def _bags_fit(similarity: float):
+    """Whether the bags allow a link: an edit lessens the excess of either bag over the other by one at most."""
+    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
+    return F.greatest(excess("bag", "bag2"), excess("bag2", "bag")) <= _most_edits(similarity)
+
+
+def _lengths_fit(similarity: float):
+    return F.abs(F.col("words") - F.col("words2")) <= _most_edits(similarity)
+
+
+def _fitting(pairs: DataFrame, known: DataFrame, fits) -> DataFrame:
+    """The pairs (``doc_id, leader``) for which ``fits`` holds of what is ``known`` of either text by its ``doc_id``."""
+    columns = known.columns[1:]
+    own = pairs.join(known.toDF("own_id", *columns), F.col("doc_id") == F.col("own_id"))
+    return own.join(known.toDF("leader_id", *(f"{c}2" for c in columns)), (F.col("leader") == F.col("leader_id")) & fits).select("doc_id", "leader")
+
+
 def _links(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
     """The pairs (``doc_id, leader``) that are alike, as edges ``a, b``."""
     with_own = pairs.join(payload.toDF("id1", "p1"), F.col("doc_id") == F.col("id1")).select("doc_id", "leader", "p1")
@@ -317,31 +373,27 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
 def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
     """``doc_id, leader``: of the bucket of each rare word, the members outside its largest class with all members of other classes that may be alike.
 
-    Their lengths have to allow a link, and so do their bags: an edit lessens the excess of either bag
-    over the other by one at most.  Texts that share many words would meet once for each; if their marked
-    words have some in common, they meet for the first of these alone.
+    Their lengths and bags have to allow a link.  Texts that share many words would meet once for each; if the
+    words of ``firsts`` have some in common, they meet for the least of these alone.
     """
     counted = texts.select("class", F.explode("rare").alias("word")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
     several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     several, several_path = store(several, "near-several")
     # what is known of a text joins the words that are left of it, not every one
     each = texts.select("doc_id", F.explode("rare").alias("sketch")).join(several, F.col("sketch") == F.col("w3")).drop("w3")
-    known = texts.select(F.col("doc_id").alias("id5"), "class", "words", "firsts", "bag")
-    mixed, mixed_path = store(each.join(known, F.col("doc_id") == F.col("id5")).drop("id5"), "near-mixed")
-    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), F.col("words").alias("w2"), F.col("firsts").alias("f2"), F.col("bag").alias("bag2"))
-    fits = F.abs(F.col("words") - F.col("w2")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
-    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
-    near = F.greatest(excess("bag", "bag2"), excess("bag2", "bag")) <= F.floor((1 - similarity) * F.greatest("words", "w2") + 1e-9)
-    common = F.array_intersect("firsts", "f2")
-    once = (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == F.col("sketch"))
-    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & fits & once & near)
+    known = texts.select(F.col("doc_id").alias("known_id"), "class", "words", "firsts", "bag")
+    mixed, mixed_path = store(each.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id"), "near-mixed")
+    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), *(F.col(c).alias(f"{c}2") for c in ("words", "firsts", "bag")))
+    common = F.array_intersect("firsts", "firsts2")
+    once = (F.size(common) == 0) | (F.array_min(common) == F.col("sketch"))
+    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & _lengths_fit(similarity) & once & _bags_fit(similarity))
     return met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct(), [several_path, mixed_path]
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` of its class."""
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, codes binary, sketches array<long>", _CACHE.clear), "near-base")
+    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, low binary, words int, sketches array<long>", _CACHE.clear), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
     first, first_path = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
@@ -359,7 +411,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = others.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
     pairs, pairs_path = store(pairs, "near-pairs")
     payload = base.select("doc_id", "payload")
-    links = _links(pairs, payload, similarity)
+    links = _links(_fitting(pairs, base.select("doc_id", "words"), _lengths_fit(similarity)), payload, similarity)
     found = components(links, "near-cc")
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
     inner = _with_class(met.where("size > 3 and doc_id <> leader and doc_id <> last").select("sketch", "doc_id"), found)
@@ -367,7 +419,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts, texts_paths = _rare_words(undecided, base, similarity)
     drop_stored(docs.sparkSession, met_path, undecided_path)
     more, more_paths = _pairs_of_classes(texts, similarity)
-    more, more_path = store(more.join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
+    more = _fitting(more.join(pairs, ["doc_id", "leader"], "left_anti"), texts.select("doc_id", "words", "marked", "bits"), _marks_fit(similarity))
+    more, more_path = store(more, "near-pairs")
     new = _links(more, payload, similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links

@@ -299,6 +299,43 @@ def test_unlike_texts_with_a_common_passage(spark, monkeypatch):
     assert sum(compared[1:]) < 1000  # of 88,000
 
 
+def test_no_marks_rule_a_link_out():
+    rng = random.Random(13)
+    for _ in range(300):
+        n, letters = rng.randint(1, 300), rng.choice([2, 30, 60_000])
+        a = [rng.randrange(letters) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, n // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(letters)] * rng.randint(0, 1)
+        x, y = np.array(a, np.uint16), np.array(b, np.uint16)
+        edits = near_dedup.banded_distance(a, b, len(a) + len(b))
+        p, q = (np.unpackbits(near_dedup.marks(v).view(np.uint8)).astype(int) for v in (x, y))
+        assert max(p.sum(), q.sum()) - (p & q).sum() <= edits
+
+
+def test_unlike_texts_of_common_words_are_not_aligned(spark, monkeypatch):
+    """Texts that share three quarters of their words and still more by chance: their bags allow a link, their words do not."""
+    rng = random.Random(14)
+    passage = [w for _ in range(150) for w in ("is", "so")]
+    rows = [(i, " ".join([*(f"w{rng.randrange(1500)}" for _ in range(100)), *passage])) for i in range(150)]
+    words = rows[7][1].split()
+    for at in rng.sample(range(400), 60):
+        words[at] = f"x{rng.randrange(10**9)}"
+    rows.append((1000, " ".join(words)))
+    aligned = []
+    links = near_dedup._links
+
+    def counted(pairs, payload, similarity):
+        aligned.append(pairs.count())
+        return links(pairs, payload, similarity)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(150)}, 1000: 7}
+    assert sum(aligned[1:]) < 2000  # of 11,175
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, None, "e"), (1, "", "e"), (2, "a b", "s"), (2, "a b", "s"), (4, "a b", "s"), (5, "zz", "e"), (None, "a b", "e"), (6, None, "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, rep string")
