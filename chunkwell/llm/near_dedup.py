@@ -16,11 +16,14 @@ rarest words of each (a word's occurrences count as different words; rarity is c
 of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
 rare word are of several classes, those outside the largest class are compared with all of other classes
 whose words allow a link.
-So every pair of a bucket is compared or in one class already.  This grows with the product of
-the two sides: many documents that share even their rarest words and yet are unlike meet pair by pair.
+So every pair of a bucket is compared or in one class already.
 
 They are aligned only if ``BITS`` marks of their words allow it: all words of either text but the edited ones
 are in the other, so of two texts within the limit neither has more marks than that which the other lacks.
+Documents that share a hot word, one with ``HOT`` such pairs or more, are not paired by joins: the documents of the
+word are dealt out in blocks, and a task counts the words that two texts of its blocks have in common; only pairs
+for which these allow a link become rows.  Nothing is left out, so the counting still grows with the product of the two
+sides, and so do the rows, if more slowly: many documents that share so much and yet are unlike are compared pair by pair.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
 buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
@@ -56,6 +59,8 @@ FREQUENT = 4
 BAG = 64
 #: Marks of a text, a bit for each labelled word; words said more than MANY times before have the last BITS_MANY alone.
 BITS, BITS_MANY, MANY = 2048, 256, 16
+#: Pairs of documents of several classes from which a rare word is hot, and documents of such a word in a block.
+HOT, BLOCK = 4_000, 512
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -282,7 +287,7 @@ def rarest(codes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY
 
 
 def _rows_of_words(counts, similarity: float):
-    """Of each text: its length, its marks and their number, its rarest words and the marked ones of them, its bag."""
+    """Of each text: its words as they are aligned, its length, its marks and their number, its rarest words and the marked ones of them, its bag."""
 
     def run(batches):
         import pyarrow as pa
@@ -296,8 +301,8 @@ def _rows_of_words(counts, similarity: float):
                 # at most 127 in a group: that can only make bags look more alike
                 bags = [np.minimum(np.bincount(np.frombuffer(p, np.uint16) % BAG, minlength=BAG), 127) for p in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.array(marked, pa.int32()), _lists(bits, np.int64), _lists([f for f, _ in found], np.int32), _lists([m for _, m in found], np.int32), _lists(bags, np.int8)],
-                    names=["doc_id", "class", "words", "marked", "bits", "rare", "firsts", "bag"],
+                    [part.column(0), *part.columns[2:], pa.array(marked, pa.int32()), _lists(bits, np.int64), _lists([f for f, _ in found], np.int32), _lists([m for _, m in found], np.int32), _lists(bags, np.int8)],
+                    names=["payload", "doc_id", "class", "words", "marked", "bits", "rare", "firsts", "bag"],
                 )
         give_back()
 
@@ -310,8 +315,8 @@ def _lists(arrays: list[np.ndarray], kind):
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, kind)]).astype(kind)))
 
 
-def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, class, words, marked, bits, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
+def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """``payload, doc_id, class, words, marked, bits, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
 
     Words are counted in ``GROUPS`` groups over all of ``ids``; that table is all that goes to the driver and is broadcast.
     """
@@ -320,8 +325,9 @@ def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[Dat
     counts, found = np.zeros(GROUPS, dtype=np.int64), codes.select("payload", "low").mapInArrow(_count_words, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).toArrow()
     counts[found["grp"].to_numpy()] = found["n"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(counts)
-    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "doc_id long, class long, words int, marked int, bits array<long>, rare array<int>, firsts array<int>, bag array<byte>"), "near-texts")
-    return texts, [codes_path, texts_path]
+    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "payload binary, doc_id long, class long, words int, marked int, bits array<long>, rare array<int>, firsts array<int>, bag array<byte>"), "near-texts")
+    drop_stored(ids.sparkSession, codes_path)
+    return texts, texts_path
 
 
 def _most_edits(similarity: float):
@@ -370,24 +376,85 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
 
 
-def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """``doc_id, leader``: of the bucket of each rare word, the members outside its largest class with all members of other classes that may be alike.
+def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``doc_id, leader``: of the bucket of each rare word, the members outside its largest class with all members of other classes that may be alike; those of hot words apart.
 
     Their lengths and bags have to allow a link.  Texts that share many words would meet once for each; if the
     words of ``firsts`` have some in common, they meet for the least of these alone.
     """
     counted = texts.select("class", F.explode("rare").alias("word")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
-    several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    several, several_path = store(several, "near-several")
+    several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several, several_path = store(several.withColumn("hot", (F.col("n") - F.col("most")) * F.col("n") >= HOT).drop("classes", "most"), "near-several")
+    each = texts.select("doc_id", F.explode("rare").alias("sketch"))
+    hot = each.join(several.where("hot").drop("hot"), F.col("sketch") == F.col("w3")).drop("w3")
+    hot, hot_path = store(hot, "near-hot")
+    hots, hots_path = store(hot.groupBy(F.col("doc_id").alias("hot_id")).agg(F.sort_array(F.collect_list("sketch")).alias("hots")), "near-hots")
     # what is known of a text joins the words that are left of it, not every one
-    each = texts.select("doc_id", F.explode("rare").alias("sketch")).join(several, F.col("sketch") == F.col("w3")).drop("w3")
-    known = texts.select(F.col("doc_id").alias("known_id"), "class", "words", "firsts", "bag")
+    each = each.join(several.where("not hot").select("w3", "main"), F.col("sketch") == F.col("w3")).drop("w3")
+    known = texts.select(F.col("doc_id").alias("known_id"), "class", "words", "firsts", "bag").join(hots, F.col("known_id") == F.col("hot_id"), "left").drop("hot_id")
     mixed, mixed_path = store(each.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id"), "near-mixed")
-    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), *(F.col(c).alias(f"{c}2") for c in ("words", "firsts", "bag")))
+    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), *(F.col(c).alias(f"{c}2") for c in ("words", "firsts", "bag", "hots")))
     common = F.array_intersect("firsts", "firsts2")
     once = (F.size(common) == 0) | (F.array_min(common) == F.col("sketch"))
-    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & _lengths_fit(similarity) & once & _bags_fit(similarity))
-    return met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct(), [several_path, mixed_path]
+    apart = ~F.coalesce(F.arrays_overlap("hots", "hots2"), F.lit(False))  # others meet in the blocks of a hot word
+    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & _lengths_fit(similarity) & apart & once & _bags_fit(similarity))
+    cold = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
+    return cold, _pairs_of_blocks(hot, hots, texts, similarity), [several_path, mixed_path, hot_path, hots_path]
+
+
+def _pairs_of_blocks(hot: DataFrame, hots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, leader``: the pairs of different classes that share one of the words of ``hot`` (``doc_id, sketch, main, n``) and whose words allow a link.
+
+    The documents of a word are dealt into blocks of about ``BLOCK``, and each two blocks meet in one group.
+    ``hots`` are a text's hot words in order: a pair is compared for the least common one alone.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("doc_id", "sketch", "main", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    known = texts.select(F.col("doc_id").alias("known_id"), "class", "payload").join(hots, F.col("known_id") == F.col("hot_id")).drop("hot_id")
+    rows = dealt.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id")
+    return rows.groupBy("sketch", "lo", "hi").applyInArrow(_meet(similarity), "doc_id long, leader long")
+
+
+#: Numbers that labelled words are given where common ones are counted; two that share one can only make texts look more alike.
+_NUMBERS = 1 << 20
+
+
+def _meet(similarity: float):
+    def run(key, table):
+        import pyarrow as pa
+
+        word, between = key[0].as_py(), key[1].as_py() != key[2].as_py()
+        ids, kinds, own = (table.column(c).to_numpy() for c in ("doc_id", "class", "own"))
+        outside = kinds != table.column("main")[0].as_py()
+        lower = [[x for x in found if x < word] for found in table.column("hots").to_pylist()]
+        place = {x: k for k, x in enumerate(sorted({x for found in lower for x in found}))}
+        has = np.zeros((len(ids), len(place) + 1), dtype=np.float32)
+        for k, found in enumerate(lower):
+            has[k, [place[x] for x in found]] = 1
+        codes = [np.frombuffer(p, np.uint16).astype(np.uint64) for p in table.column("payload").to_pylist()]
+        numbers = [(labelled_kmers(c, 1) % np.uint64(_NUMBERS)).astype(np.int32) for c in codes]
+        n = np.array([len(c) for c in codes])
+        seen, a, b = np.zeros(_NUMBERS, dtype=bool), [], []
+        for k in np.flatnonzero(outside):
+            longer = np.maximum(n, n[k])
+            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            meets = (kinds != kinds[k]) & (~outside | (ids < ids[k])) & (np.abs(n - n[k]) <= most) & (has @ has[k] == 0)
+            if between:
+                meets &= own != own[k]
+            others = np.flatnonzero(meets)
+            seen[numbers[k]] = True
+            for at in range(0, len(others), 64):
+                some = others[at : at + 64]
+                counts = np.add.reduceat(seen[np.concatenate([numbers[o] for o in some])], np.cumsum([0, *n[some[:-1]]]), dtype=np.int64)
+                fit = some[longer[some] - counts <= most[some]]
+                a.append(np.maximum(ids[fit], ids[k]))
+                b.append(np.minimum(ids[fit], ids[k]))
+            seen[numbers[k]] = False
+        none = np.empty(0, dtype=np.int64)
+        return pa.table({"doc_id": np.concatenate([none, *a]), "leader": np.concatenate([none, *b])})
+
+    return run
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -416,16 +483,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
     inner = _with_class(met.where("size > 3 and doc_id <> leader and doc_id <> last").select("sketch", "doc_id"), found)
     undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
-    texts, texts_paths = _rare_words(undecided, base, similarity)
+    texts, texts_path = _rare_words(undecided, base, similarity)
     drop_stored(docs.sparkSession, met_path, undecided_path)
-    more, more_paths = _pairs_of_classes(texts, similarity)
-    more = _fitting(more.join(pairs, ["doc_id", "leader"], "left_anti"), texts.select("doc_id", "words", "marked", "bits"), _marks_fit(similarity))
-    more, more_path = store(more, "near-pairs")
+    cold, hot, more_paths = _pairs_of_classes(texts, similarity)
+    cold = _fitting(cold.join(pairs, ["doc_id", "leader"], "left_anti"), texts.select("doc_id", "words", "marked", "bits"), _marks_fit(similarity))
+    more, more_path = store(cold.unionByName(hot.join(pairs, ["doc_id", "leader"], "left_anti")), "near-pairs")
     new = _links(more, payload, similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links
         found = components(found.toDF("a", "b").unionByName(new), "near-cc")
-    paths = [base_path, first_path, pairs_path, *texts_paths, more_path, *more_paths]
+    paths = [base_path, first_path, pairs_path, texts_path, more_path, *more_paths]
     drop_stored(docs.sparkSession, *paths)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out

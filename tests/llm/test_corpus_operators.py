@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -336,6 +337,70 @@ def test_unlike_texts_of_common_words_are_not_aligned(spark, monkeypatch):
     assert sum(aligned[1:]) < 2000  # of 11,175
 
 
+def _alike_copies_and_common_passages(rng):
+    base = [f"b{rng.randrange(80)}" for _ in range(100)]
+    rows = []
+    for i in range(70):  # like the original, but hardly like one another
+        words = list(base)
+        for at in rng.sample(range(100), 12):
+            words[at] = f"c{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows.append((35_000, " ".join(base)))
+    passage = ["is", "so"] * 60
+    return rows + [(50_000 + i, " ".join([*(f"w{rng.randrange(60)}" for _ in range(rng.randint(30, 50))), *passage])) for i in range(60)]
+
+
+@pytest.mark.parametrize(("hot", "block"), [(1, 7), (300, 512), (10**9, 512)])
+def test_no_pair_is_lost_between_blocks_and_joins(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    made, find = [], near_dedup._pairs_of_classes
+
+    def kept(texts, similarity):
+        cold, blocks, paths = find(texts, similarity)
+        made.append(([tuple(r) for r in cold.collect()], [tuple(r) for r in blocks.collect()], texts.select("doc_id", "class", "payload").collect()))
+        return cold, blocks, paths
+
+    monkeypatch.setattr(near_dedup, "_pairs_of_classes", kept)
+    near_dedup.classes(spark.createDataFrame(_alike_copies_and_common_passages(random.Random(15)), "doc_id long, text string")).collect()
+    cold, blocks, texts = made[0]
+    codes = {r["doc_id"]: np.frombuffer(r["payload"], np.uint16) for r in texts}
+    kinds = {r["doc_id"]: r["class"] for r in texts}
+    links = {(a, b) for a in codes for b in codes if a > b and kinds[a] != kinds[b] and near_dedup.alike(codes[a], codes[b])}
+    assert len(links) > 15 and links <= {*cold, *blocks}
+    assert len({*cold, *blocks}) == len(cold) + len(blocks)
+    assert bool(blocks) == (hot < 10**9) and (hot > 1 or not cold)
+    for a, b in blocks:
+        common = sum((Counter(codes[a].tolist()) & Counter(codes[b].tolist())).values())
+        assert kinds[a] != kinds[b] and common >= 0.8 * max(len(codes[a]), len(codes[b]))
+
+
+def test_texts_of_a_hot_word_are_not_joined_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(16)
+    passage = ["is", "so"] * 135
+    rows = [(i, " ".join([*(f"w{rng.randrange(500)}" for _ in range(130)), *passage])) for i in range(300)]
+    words = rows[7][1].split()
+    for at in rng.sample(range(400), 60):
+        words[at] = f"x{rng.randrange(10**9)}"
+    rows.append((1000, " ".join(words)))
+    joined, aligned, fitting, links = [], [], near_dedup._fitting, near_dedup._links
+
+    def counted(pairs, known, fits):
+        joined.append(pairs.count())
+        return fitting(pairs, known, fits)
+
+    def counted_links(pairs, payload, similarity):
+        aligned.append(pairs.count())
+        return links(pairs, payload, similarity)
+
+    monkeypatch.setattr(near_dedup, "HOT", 500, raising=False)
+    monkeypatch.setattr(near_dedup, "_fitting", counted)
+    monkeypatch.setattr(near_dedup, "_links", counted_links)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(300)}, 1000: 7}
+    assert sum(joined[1:]) + sum(aligned[1:]) < 2000  # of 44,850
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, None, "e"), (1, "", "e"), (2, "a b", "s"), (2, "a b", "s"), (4, "a b", "s"), (5, "zz", "e"), (None, "a b", "e"), (6, None, "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, rep string")
