@@ -488,7 +488,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cold, hot, more_paths = _pairs_of_classes(texts, similarity)
     cold = _fitting(cold.join(pairs, ["doc_id", "leader"], "left_anti"), texts.select("doc_id", "words", "marked", "bits"), _marks_fit(similarity))
     more, more_path = store(cold.unionByName(hot.join(pairs, ["doc_id", "leader"], "left_anti")), "near-pairs")
-    new = _links(more, payload, similarity)
+    new = _links(more, texts.select("doc_id", "payload"), similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links
         found = components(found.toDF("a", "b").unionByName(new), "near-cc")
