@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_PY = r"[^ \t-\r]+"
 
 _LOCAL_ROOT: list[str] = []
+#: Whether Spark deletes the shuffles of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,11 +60,17 @@ def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only tasks, as the files outlive it.  The
-    table is deleted when the process ends, or earlier by :func:`drop_stored`.
+    table is deleted when the process ends, or earlier by :func:`drop_stored`.  The shuffles that made it are deleted
+    at once, or they would stay on the disks until the driver's JVM happens to collect them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chunkwell-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_cleanup, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -1,6 +1,7 @@
 """URL filters, near-dedup, mixing, chats, components, pipeline: against brute force and edge cases."""
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkwell.llm import chat, mixing, near_dedup, url_filter
+from chunkwell.llm import chat, common, mixing, near_dedup, url_filter
 from chunkwell.llm.common import components
 
 
@@ -401,6 +402,21 @@ def test_texts_of_a_hot_word_are_not_joined_pair_by_pair(spark, monkeypatch):
     assert sum(joined[1:]) + sum(aligned[1:]) < 2000  # of 44,850
 
 
+def test_stored_tables_leave_no_shuffles(spark):
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
+        return {f for f in found if "shuffle_" in f}
+
+    before = shuffles()
+    stored, _ = common.store(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and stored.count() == 100
+    assert spark.conf.get(common._CLEANUP, "false") == "false"
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, None, "e"), (1, "", "e"), (2, "a b", "s"), (2, "a b", "s"), (4, "a b", "s"), (5, "zz", "e"), (None, "a b", "e"), (6, None, "e")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, rep string")
