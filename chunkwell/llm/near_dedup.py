@@ -10,20 +10,15 @@ are candidates; they are linked if the edit distance of their words is at most
 Classes are the connected components of the links, as if all members of a bucket of equal sketches
 were compared.  First every document is compared with those of smallest and of largest ``doc_id``
 in its bucket, its leaders.  A bucket whose members are then in one class is done.  The members of
-the others, such as unlike documents that share a passage, are dealt anew, exactly: of documents within
-the limit, all words but the edited ones are common to both, so they share one of the ``prefix_size``
-rarest words of each (a word's occurrences count as different words; rarity is counted in ``GROUPS`` groups of words).  A frequent passage of less than ``SIMILARITY``
-of a document is in no such prefix, so that documents are not compared for it.  Where the documents of a
-rare word are of several classes, those outside the largest class are compared with all of other classes
-whose words allow a link.
-So every pair of a bucket is compared or in one class already.
-
-They are aligned only if ``BITS`` marks of their words allow it: all words of either text but the edited ones
-are in the other, so of two texts within the limit neither has more marks than that which the other lacks.
-Documents that share a hot word, one with ``HOT`` such pairs or more, are not paired by joins: the documents of the
-word are dealt out in blocks, and a task counts the words that two texts of its blocks have in common; only pairs
-for which these allow a link become rows.  Nothing is left out, so the counting still grows with the product of the two
-sides, and so do the rows, if more slowly: many documents that share so much and yet are unlike are compared pair by pair.
+the others, such as unlike documents that share a passage, are compared with one another, exactly: in a bucket, those
+outside its largest class with all of other classes.  Of buckets with the same members one is taken, and a pair is
+compared in one of the buckets that it shares.  So every pair of a bucket is compared or in one class already.
+
+A task gets the members of some small buckets, or two blocks of one with ``HOT`` such pairs or more.  A pair becomes
+a row only if its words allow a link: all words of either text but the edited ones are in the other, so first of ``BITS``
+marks of their words, then of the words themselves, neither text has more than that which the other lacks.
+Nothing is left out, so the comparing of marks in a large bucket still grows with the product of the two sides, and so do
+the rows, if more slowly: many documents that share so much and yet are unlike are compared pair by pair.
 
 Exact copies (by MD5 of the text) are joined first, so only distinct texts are sketched into
 buckets.  Texts travel as 2 bytes a word: two different words look equal once in 65,536, which
@@ -50,17 +45,14 @@ SHINGLE = 4
 SKETCHES = 64
 PER_SKETCH = 2
 SIMILARITY = 0.8
-#: Groups in which words are counted, to tell frequent ones; a bound of what is broadcast.
+#: For :func:`rarest`: groups in which words are counted; so many of the rarest words are marked, and of those whose group counts FREQUENT times the mean.
 GROUPS = 1 << 18
-#: Of each text, so many of its rarest words are marked, and of those whose group counts FREQUENT times the mean.
 FIRST, FIRST_FREQUENT = 4, 8
 FREQUENT = 4
-#: Groups of words that a text's bag counts; small, for it travels with each rare word.
-BAG = 64
 #: Marks of a text, a bit for each labelled word; words said more than MANY times before have the last BITS_MANY alone.
 BITS, BITS_MANY, MANY = 2048, 256, 16
-#: Pairs of documents of several classes from which a rare word is hot, and documents of such a word in a block.
-HOT, BLOCK = 4_000, 512
+#: Pairs of members of several classes from which a bucket is hot, and its documents and words in a block; parts into which other buckets are dealt.
+HOT, BLOCK, BLOCK_WORDS, PARTS = 4_000, 4_096, 1 << 21, 1_024
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -216,19 +208,13 @@ def marks(words: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(ids, digests, texts):
-    payload, low, counts, sketches = [], [], [], []
+    payload, counts, sketches = [], [], []
     for t in texts:
         h = word_hashes(t)
         payload.append((h >> np.uint64(48)).astype(np.uint16).tobytes())
-        low.append((h >> np.uint64(32)).astype(np.uint16).tobytes())
         counts.append(len(h))
         sketches.append(sketch(h, SKETCHES).tolist())
-    return ids, digests, payload, low, counts, sketches
-
-
-def _codes(payload: bytes, low: bytes) -> np.ndarray:
-    """32 bits of each word's hash, of which the upper half is what travels to the alignment."""
-    return np.frombuffer(payload, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(low, np.uint16)
+    return ids, digests, payload, counts, sketches
 
 
 def _verify(similarity: float):
@@ -255,28 +241,13 @@ def prefix_size(words: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * words + 1e-9) + 1
 
 
-def _count_words(batches):
-    """How many labelled words of the texts of a task fall into each of ``GROUPS`` groups."""
-    import pyarrow as pa
-
-    total = np.zeros(GROUPS, dtype=np.int64)
-    for batch in batches:
-        for lo, hi in slices(batch.column(0), 250_000):
-            part = batch.slice(lo, hi - lo)
-            codes = [_codes(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-            words = np.concatenate([labelled_kmers(c.astype(np.uint64), 1) for c in codes])
-            total += np.bincount((words % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    give_back()
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grp", "n"])
-
-
 def rarest(codes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """The ``prefix_size`` first labelled words of a text in an order that all texts share, and the marked ones of them.
 
     The order is by the count of a word's group, then by the word: rare words stand first (but for
     those that share a group with a frequent one).  Any order would do; this one keeps buckets small.
     Words are given by 32 bits of their hash: two that share these share a bucket, which loses nothing.
+    :func:`classes` compares whole buckets instead, whose rows do not grow with the length of a text.
     """
     words = labelled_kmers(codes.astype(np.uint64), 1)
     n = counts[(words % np.uint64(GROUPS)).astype(np.int64)]
@@ -286,68 +257,10 @@ def rarest(codes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY
     return words, words[np.union1d(np.arange(min(FIRST, len(words))), frequent)]
 
 
-def _rows_of_words(counts, similarity: float):
-    """Of each text: its words as they are aligned, its length, its marks and their number, its rarest words and the marked ones of them, its bag."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for lo, hi in slices(batch.column(0), 250_000):
-                part = batch.slice(lo, hi - lo)
-                found = [rarest(_codes(*x), counts.value, similarity) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                bits = [marks(np.frombuffer(p, np.uint16)) for p in part.column(0).to_pylist()]
-                marked = [int(np.unpackbits(b.view(np.uint8)).sum()) for b in bits]
-                # at most 127 in a group: that can only make bags look more alike
-                bags = [np.minimum(np.bincount(np.frombuffer(p, np.uint16) % BAG, minlength=BAG), 127) for p in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array(marked, pa.int32()), _lists(bits, np.int64), _lists([f for f, _ in found], np.int32), _lists([m for _, m in found], np.int32), _lists(bags, np.int8)],
-                    names=["payload", "doc_id", "class", "words", "marked", "bits", "rare", "firsts", "bag"],
-                )
-        give_back()
-
-    return run
-
-
-def _lists(arrays: list[np.ndarray], kind):
-    import pyarrow as pa
-
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([*arrays, np.empty(0, kind)]).astype(kind)))
-
-
-def _rare_words(ids: DataFrame, base: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """``payload, doc_id, class, words, marked, bits, rare, firsts, bag`` of each of ``ids`` (``doc_id, class``), and where it is stored.
-
-    Words are counted in ``GROUPS`` groups over all of ``ids``; that table is all that goes to the driver and is broadcast.
-    """
-    own = base.select(F.col("doc_id").alias("id1"), "payload", "low", "words")
-    codes, codes_path = store(ids.join(own, F.col("doc_id") == F.col("id1")).select("payload", "low", "doc_id", "class", "words"), "near-codes")
-    counts, found = np.zeros(GROUPS, dtype=np.int64), codes.select("payload", "low").mapInArrow(_count_words, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["grp"].to_numpy()] = found["n"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(counts)
-    texts, texts_path = store(codes.mapInArrow(_rows_of_words(shared, similarity), "payload binary, doc_id long, class long, words int, marked int, bits array<long>, rare array<int>, firsts array<int>, bag array<byte>"), "near-texts")
-    drop_stored(ids.sparkSession, codes_path)
-    return texts, texts_path
-
-
 def _most_edits(similarity: float):
     return F.floor((1 - similarity) * F.greatest("words", "words2") + 1e-9)
 
 
-def _marks_fit(similarity: float):
-    """Whether the marks (``marked, bits`` and ``marked2, bits2``) allow a link; many terms, but compiled ones."""
-    common = F.bit_count(F.get("bits", 0).bitwiseAND(F.get("bits2", 0)))
-    for i in range(1, BITS // 64):
-        common = common + F.bit_count(F.get("bits", i).bitwiseAND(F.get("bits2", i)))
-    return F.greatest("marked", "marked2") - common <= _most_edits(similarity)
-
-
-def _bags_fit(similarity: float):
-    """Whether the bags allow a link: an edit lessens the excess of either bag over the other by one at most."""
-    excess = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda total, n: total + n)
-    return F.greatest(excess("bag", "bag2"), excess("bag2", "bag")) <= _most_edits(similarity)
-
-
 def _lengths_fit(similarity: float):
     return F.abs(F.col("words") - F.col("words2")) <= _most_edits(similarity)
 
@@ -370,50 +283,47 @@ def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc_id")).drop("node", "component")
 
 
-def _mixed_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (``sketch, doc_id, class`` and others) of buckets that hold several classes."""
-    several, _ = store(rows.groupBy("sketch").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select(F.col("sketch").alias("s2")), "near-several")
-    return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2")
+def _mixed_buckets(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows (``sketch, doc_id, class``) of buckets that hold several classes, and where their list is stored; of buckets with the same members, one."""
+    sums = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    several = rows.groupBy("sketch").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"), *sums).where("lo < hi")
+    several, path = store(several.groupBy("n", "x0", "x1").agg(F.min("sketch").alias("s2")).select("s2"), "near-several")
+    return rows.join(several, F.col("sketch") == F.col("s2")).drop("s2"), path
+
+
+def _texts_of_buckets(mixed: DataFrame, base: DataFrame) -> tuple[DataFrame, str]:
+    """``doc_id, class, words, payload, sketches`` of each document of ``mixed`` (``sketch, doc_id, class``), and where it is stored."""
+    members, members_path = store(mixed.groupBy(F.col("doc_id").alias("id1")).agg(F.min("class").alias("class"), F.sort_array(F.collect_list("sketch")).alias("sketches")), "near-undecided")
+    texts, path = store(base.select("doc_id", "payload", "words").join(members, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "words", "payload", "sketches"), "near-texts")
+    drop_stored(base.sparkSession, members_path)
+    return texts, path
 
 
 def _pairs_of_classes(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``doc_id, leader``: of the bucket of each rare word, the members outside its largest class with all members of other classes that may be alike; those of hot words apart.
+    """``doc_id, leader``: the pairs of different classes in a bucket of ``texts`` whose words allow a link, each once; those found in hot buckets apart.
 
-    Their lengths and bags have to allow a link.  Texts that share many words would meet once for each; if the
-    words of ``firsts`` have some in common, they meet for the least of these alone.
-    """
-    counted = texts.select("class", F.explode("rare").alias("word")).groupBy("word", "class").agg(F.count(F.lit(1)).alias("n"))
-    several = counted.groupBy(F.col("word").alias("w3")).agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    several, several_path = store(several.withColumn("hot", (F.col("n") - F.col("most")) * F.col("n") >= HOT).drop("classes", "most"), "near-several")
-    each = texts.select("doc_id", F.explode("rare").alias("sketch"))
-    hot = each.join(several.where("hot").drop("hot"), F.col("sketch") == F.col("w3")).drop("w3")
-    hot, hot_path = store(hot, "near-hot")
-    hots, hots_path = store(hot.groupBy(F.col("doc_id").alias("hot_id")).agg(F.sort_array(F.collect_list("sketch")).alias("hots")), "near-hots")
-    # what is known of a text joins the words that are left of it, not every one
-    each = each.join(several.where("not hot").select("w3", "main"), F.col("sketch") == F.col("w3")).drop("w3")
-    known = texts.select(F.col("doc_id").alias("known_id"), "class", "words", "firsts", "bag").join(hots, F.col("known_id") == F.col("hot_id"), "left").drop("hot_id")
-    mixed, mixed_path = store(each.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id"), "near-mixed")
-    outside = mixed.where("class <> main").select(F.col("sketch").alias("s2"), F.col("doc_id").alias("other"), F.col("class").alias("k2"), *(F.col(c).alias(f"{c}2") for c in ("words", "firsts", "bag", "hots")))
-    common = F.array_intersect("firsts", "firsts2")
-    once = (F.size(common) == 0) | (F.array_min(common) == F.col("sketch"))
-    apart = ~F.coalesce(F.arrays_overlap("hots", "hots2"), F.lit(False))  # others meet in the blocks of a hot word
-    met = mixed.join(outside, (F.col("sketch") == F.col("s2")) & (F.col("class") != F.col("k2")) & ((F.col("class") == F.col("main")) | (F.col("doc_id") < F.col("other"))) & _lengths_fit(similarity) & apart & once & _bags_fit(similarity))
-    cold = met.select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("leader")).distinct()
-    return cold, _pairs_of_blocks(hot, hots, texts, similarity), [several_path, mixed_path, hot_path, hots_path]
-
-
-def _pairs_of_blocks(hot: DataFrame, hots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``doc_id, leader``: the pairs of different classes that share one of the words of ``hot`` (``doc_id, sketch, main, n``) and whose words allow a link.
-
-    The documents of a word are dealt into blocks of about ``BLOCK``, and each two blocks meet in one group.
-    ``hots`` are a text's hot words in order: a pair is compared for the least common one alone.
+    The members outside the largest class of a bucket are dealt into blocks, and so are all members; each two
+    of these blocks meet.  So a few strangers among many near copies cost a row for each copy, and no more.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = hot.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("doc_id", "sketch", "main", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-    known = texts.select(F.col("doc_id").alias("known_id"), "class", "payload").join(hots, F.col("known_id") == F.col("hot_id")).drop("hot_id")
+    each = texts.select("doc_id", "class", "words", F.explode("sketches").alias("sketch"))
+    counted = each.groupBy("sketch", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    several = counted.groupBy(F.col("sketch").alias("s3")).agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    hot = (F.col("n") - F.col("most")) * F.col("n") >= HOT
+    blocks = lambda n: F.when(hot, F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("w") * n / (F.col("n") * BLOCK_WORDS)))).otherwise(1).cast("int")
+    several, several_path = store(several.select("s3", "main", hot.alias("hot"), blocks(F.col("n") - F.col("most")).alias("lefts"), blocks(F.col("n")).alias("rights")), "near-several")
+    left, right = (F.pmod(F.xxhash64("doc_id", F.lit(c)), F.col(c)).cast("int") for c in ("lefts", "rights"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # where there is one block of either, a task takes the members outside from among all
+    twice = (F.col("class") != F.col("main")) & (F.col("lefts") * F.col("rights") > 1)
+    lefts = F.transform(F.when(twice, upto("rights")).otherwise(F.array().cast("array<int>")), lambda k: F.struct(left.alias("a"), k.alias("b"), F.lit(True).alias("is_left")))
+    rights = F.transform(upto("lefts"), lambda k: F.struct(k.alias("a"), right.alias("b"), F.lit(False).alias("is_left")))
+    dealt = each.drop("words").join(several, F.col("sketch") == F.col("s3")).withColumn("at", F.explode(F.concat(lefts, rights)))
+    part = F.when(F.col("hot"), F.xxhash64("sketch", "at.a", "at.b")).otherwise(F.pmod(F.xxhash64("sketch"), F.lit(PARTS)))
+    dealt = dealt.select("doc_id", "class", "sketch", "main", "hot", "at.a", "at.b", "at.is_left", part.alias("part"))
+    known = texts.select(F.col("doc_id").alias("known_id"), "payload", "sketches")
     rows = dealt.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id")
-    return rows.groupBy("sketch", "lo", "hi").applyInArrow(_meet(similarity), "doc_id long, leader long")
+    met, met_path = store(rows.groupBy("part").applyInArrow(_meet(similarity), "doc_id long, leader long, hot boolean"), "near-fitting")
+    return met.where("not hot").drop("hot"), met.where("hot").drop("hot"), [several_path, met_path]
 
 
 #: Numbers that labelled words are given where common ones are counted; two that share one can only make texts look more alike.
@@ -421,38 +331,46 @@ _NUMBERS = 1 << 20
 
 
 def _meet(similarity: float):
-    def run(key, table):
+    def run(table):
         import pyarrow as pa
 
-        word, between = key[0].as_py(), key[1].as_py() != key[2].as_py()
-        ids, kinds, own = (table.column(c).to_numpy() for c in ("doc_id", "class", "own"))
-        outside = kinds != table.column("main")[0].as_py()
-        lower = [[x for x in found if x < word] for found in table.column("hots").to_pylist()]
-        place = {x: k for k, x in enumerate(sorted({x for found in lower for x in found}))}
-        has = np.zeros((len(ids), len(place) + 1), dtype=np.float32)
-        for k, found in enumerate(lower):
-            has[k, [place[x] for x in found]] = 1
-        codes = [np.frombuffer(p, np.uint16).astype(np.uint64) for p in table.column("payload").to_pylist()]
-        numbers = [(labelled_kmers(c, 1) % np.uint64(_NUMBERS)).astype(np.int32) for c in codes]
+        ids, kinds, mains, sketches, hots, is_left = (table.column(c).to_numpy() for c in ("doc_id", "class", "main", "sketch", "hot", "is_left"))
+        _, first, text = np.unique(ids, return_index=True, return_inverse=True)
+        codes = [np.frombuffer(p, np.uint16) for p in table.column("payload").take(pa.array(first)).to_pylist()]
+        shared = [frozenset(x) for x in table.column("sketches").take(pa.array(first)).to_pylist()]
         n = np.array([len(c) for c in codes])
-        seen, a, b = np.zeros(_NUMBERS, dtype=bool), [], []
-        for k in np.flatnonzero(outside):
-            longer = np.maximum(n, n[k])
-            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-            meets = (kinds != kinds[k]) & (~outside | (ids < ids[k])) & (np.abs(n - n[k]) <= most) & (has @ has[k] == 0)
-            if between:
-                meets &= own != own[k]
-            others = np.flatnonzero(meets)
-            seen[numbers[k]] = True
-            for at in range(0, len(others), 64):
-                some = others[at : at + 64]
-                counts = np.add.reduceat(seen[np.concatenate([numbers[o] for o in some])], np.cumsum([0, *n[some[:-1]]]), dtype=np.int64)
-                fit = some[longer[some] - counts <= most[some]]
-                a.append(np.maximum(ids[fit], ids[k]))
-                b.append(np.minimum(ids[fit], ids[k]))
-            seen[numbers[k]] = False
-        none = np.empty(0, dtype=np.int64)
-        return pa.table({"doc_id": np.concatenate([none, *a]), "leader": np.concatenate([none, *b])})
+        numbers = [(labelled_kmers(c.astype(np.uint64), 1) % np.uint64(_NUMBERS)).astype(np.int32) for c in codes]
+        bits = np.array([marks(c) for c in codes]).view(np.uint64)
+        marked = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        seen, out = np.zeros(_NUMBERS, dtype=bool), []
+        keys = np.array([sketches, table.column("a").to_numpy(), table.column("b").to_numpy()])
+        order = np.lexsort(keys)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)]))
+        for rows in np.split(order, starts[1:]):
+            sketch, outside = sketches[rows[0]], kinds[rows] != mains[rows]
+            right = rows[~is_left[rows]]
+            lefts = rows[is_left[rows]] if is_left[rows].any() else rows[outside]
+            right = right[np.argsort(n[text[right]], kind="stable")]
+            of, strange = text[right], kinds[right] != mains[right]
+            lengths, held, count = n[of], bits[of], marked[of]
+            for k in lefts:
+                t = text[k]
+                lo, hi = np.searchsorted(lengths, [similarity * n[t] - 1, n[t] / similarity + 1 if similarity > 0 else np.inf])
+                longer = np.maximum(lengths[lo:hi], n[t])
+                most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+                meets = (kinds[right[lo:hi]] != kinds[k]) & (~strange[lo:hi] | (ids[right[lo:hi]] < ids[k])) & (np.abs(lengths[lo:hi] - n[t]) <= most)
+                some = np.flatnonzero(meets)
+                common = np.bitwise_count(held[lo + some] & bits[t]).sum(axis=1, dtype=np.int64)
+                some = some[np.maximum(count[lo + some], marked[t]) - common <= most[some]]
+                # of the buckets that two texts share, the first one compares them
+                some = [o for o in some.tolist() if min(shared[t] & shared[of[lo + o]]) == sketch]
+                if some:
+                    seen[numbers[t]] = True
+                    fit = [o for o in some if longer[o] - np.count_nonzero(seen[numbers[of[lo + o]]]) <= most[o]]
+                    seen[numbers[t]] = False
+                    out += [(max(x, ids[k]), min(x, ids[k]), hots[k]) for x in ids[right[lo:hi][fit]].tolist()] if fit else []
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "leader": pa.array(columns[1], pa.int64()), "hot": pa.array(columns[2], pa.bool_())})
 
     return run
 
@@ -460,7 +378,7 @@ def _meet(similarity: float):
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` of its class."""
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, low binary, words int, sketches array<long>", _CACHE.clear), "near-base")
+    base, base_path = store(map_texts(rows, ["doc_id", "digest", "text"], _sketch_rows, "doc_id long, digest string, payload binary, words int, sketches array<long>", _CACHE.clear), "near-base")
     wordy = base.where("doc_id is not null and size(sketches) > 0")
     # aggregated sides are stored before they are joined: only then can adaptive execution split a hot key
     first, first_path = store(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
@@ -482,12 +400,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = components(links, "near-cc")
     # what the leaders have not decided: members of buckets of several classes, if there are two besides them
     inner = _with_class(met.where("size > 3 and doc_id <> leader and doc_id <> last").select("sketch", "doc_id"), found)
-    undecided, undecided_path = store(_mixed_buckets(inner).select("doc_id", "class").distinct(), "near-undecided")
-    texts, texts_path = _rare_words(undecided, base, similarity)
-    drop_stored(docs.sparkSession, met_path, undecided_path)
+    mixed, several_path = _mixed_buckets(inner)
+    texts, texts_path = _texts_of_buckets(mixed, base)
+    drop_stored(docs.sparkSession, met_path, several_path)
     cold, hot, more_paths = _pairs_of_classes(texts, similarity)
-    cold = _fitting(cold.join(pairs, ["doc_id", "leader"], "left_anti"), texts.select("doc_id", "words", "marked", "bits"), _marks_fit(similarity))
-    more, more_path = store(cold.unionByName(hot.join(pairs, ["doc_id", "leader"], "left_anti")), "near-pairs")
+    more, more_path = store(cold.unionByName(hot).join(pairs, ["doc_id", "leader"], "left_anti"), "near-pairs")
     new = _links(more, texts.select("doc_id", "payload"), similarity)
     if not new.isEmpty():
         # the components so far are stars, which stand for their links

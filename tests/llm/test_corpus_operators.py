@@ -402,6 +402,28 @@ def test_texts_of_a_hot_word_are_not_joined_pair_by_pair(spark, monkeypatch):
     assert sum(joined[1:]) + sum(aligned[1:]) < 2000  # of 44,850
 
 
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    rows = [(sketch, doc, doc % 2) for sketch in (3, -7, 9) for doc in range(4)] + [(5, doc, doc % 2) for doc in range(1, 4)] + [(6, doc, 1) for doc in (1, 3)]
+    mixed, _ = near_dedup._mixed_buckets(spark.createDataFrame(rows, "sketch long, doc_id long, class long"))
+    assert sorted(tuple(r) for r in mixed.collect()) == sorted(r for r in rows if r[0] in (-7, 5))
+
+
+def test_rows_of_the_rest_do_not_grow_with_the_length_of_texts(spark, monkeypatch):
+    """Texts that share a passage: each comes once for each of its buckets, not once for each of its rare words."""
+    rng, rows = random.Random(17), []
+    passage = " ".join(f"p{i}" for i in range(200))
+    frame = spark.createDataFrame([(i, f"{passage} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(800))}") for i in range(80)], "doc_id long, text string")
+    find = near_dedup._pairs_of_classes
+
+    def kept(texts, similarity):
+        rows.extend(texts.collect())
+        return find(texts, similarity)
+
+    monkeypatch.setattr(near_dedup, "_pairs_of_classes", kept)
+    assert {r["class_id"] for r in near_dedup.classes(frame).collect()} == set(range(80))
+    assert rows and all("rare" not in r and len(r["sketches"]) <= near_dedup.SKETCHES for r in rows)
+
+
 def test_stored_tables_leave_no_shuffles(spark):
     def shuffles():
         found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
