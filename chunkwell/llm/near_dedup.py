@@ -53,6 +53,8 @@ FREQUENT = 4
 BITS, BITS_MANY, MANY = 2048, 256, 16
 #: Pairs of members of several classes from which a bucket is hot, and its documents and words in a block; parts into which other buckets are dealt.
 HOT, BLOCK, BLOCK_WORDS, PARTS = 4_000, 4_096, 1 << 21, 1_024
+#: So many ids are broadcast at most (16 MB or so in an executor).
+FEW_IDS = 500_000
 _WORD = re.compile(WORD_PY)
 _RNG = np.random.default_rng(0x0517)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -294,7 +296,10 @@ def _mixed_buckets(rows: DataFrame) -> tuple[DataFrame, str]:
 def _texts_of_buckets(mixed: DataFrame, base: DataFrame) -> tuple[DataFrame, str]:
     """``doc_id, class, words, payload, sketches`` of each document of ``mixed`` (``sketch, doc_id, class``), and where it is stored."""
     members, members_path = store(mixed.groupBy(F.col("doc_id").alias("id1")).agg(F.min("class").alias("class"), F.sort_array(F.collect_list("sketch")).alias("sketches")), "near-undecided")
-    texts, path = store(base.select("doc_id", "payload", "words").join(members, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "words", "payload", "sketches"), "near-texts")
+    own = base.select("doc_id", "payload", "words")
+    if members.count() <= FEW_IDS:  # else all texts are shuffled for those of few documents
+        own = own.join(F.broadcast(members.select(F.col("id1").alias("few_id"))), F.col("doc_id") == F.col("few_id"), "left_semi")
+    texts, path = store(own.join(members, F.col("doc_id") == F.col("id1")).select("doc_id", "class", "words", "payload", "sketches"), "near-texts")
     drop_stored(base.sparkSession, members_path)
     return texts, path
 
@@ -335,8 +340,10 @@ def _meet(similarity: float):
         import pyarrow as pa
 
         ids, kinds, mains, sketches, hots, is_left = (table.column(c).to_numpy() for c in ("doc_id", "class", "main", "sketch", "hot", "is_left"))
-        _, first, text = np.unique(ids, return_index=True, return_inverse=True)
-        codes = [np.frombuffer(p, np.uint16) for p in table.column("payload").take(pa.array(first)).to_pylist()]
+        found: dict[tuple, int] = {}  # rows of one doc_id may have several texts
+        text = np.array([found.setdefault(x, len(found)) for x in zip(ids.tolist(), table.column("payload").to_pylist(), strict=True)])
+        codes = [np.frombuffer(p, np.uint16) for _, p in found]
+        _, first = np.unique(text, return_index=True)
         shared = [frozenset(x) for x in table.column("sketches").take(pa.array(first)).to_pylist()]
         n = np.array([len(c) for c in codes])
         numbers = [(labelled_kmers(c.astype(np.uint64), 1) % np.uint64(_NUMBERS)).astype(np.int32) for c in codes]
